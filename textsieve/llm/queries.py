@@ -5,22 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textsieve.llm import decontaminate, mixing, secrets, tokencount, toxicity
+from textsieve.llm import ann, decontaminate, lmscore, mixing, neardup, pii, secrets, suffixdedup, tokencount, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digest(suffixdedup.remove_repeats(_read(spark, sf_dir, "documents")))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(_read(spark, sf_dir, "documents")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_read(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.digest(_read(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.digest(neardup.near_duplicates(_read(spark, sf_dir, "documents"), 2))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -35,7 +56,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op6_mix_sources, op8_toxicity, op9_decontaminate, op10_secrets)}
+    every = (op1_nearest, op2_suffix_dedup, op3_pii, op4_token_counts, op5_lm_score, op6_mix_sources, op7_near_duplicates, op8_toxicity, op9_decontaminate, op10_secrets)
+    return {f.__name__: f for f in every}
 
 
 OP9_SQL = r"""
@@ -55,5 +77,25 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP1_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS score FROM v AS q JOIN v ON v.vec_id <> q.vec_id AND len(v.e) = len(q.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, hash(s) AS s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) WHEN len(w) = 1 THEN w ELSE [] END) AS s FROM w)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g AS a JOIN g AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM i JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e2 AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, root) AS (SELECT DISTINCT a, a FROM e2 UNION SELECT e2.b, r.root FROM r JOIN e2 ON e2.a = r.doc_id WHERE r.root < e2.b),
+c AS (SELECT doc_id, min(root) AS root FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least(root, w.doc_id), w.doc_id) AS component_id, coalesce(least(root, w.doc_id), w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": OP9_SQL}
+    return {"op1_nearest": OP1_SQL, "op7_near_duplicates": OP7_SQL, "op9_decontaminate": OP9_SQL}

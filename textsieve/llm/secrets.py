@@ -57,10 +57,10 @@ def found(text: Column, kind: str) -> Column:
 
 
 def scan_secrets(docs: DataFrame, max_owners: int = 1, max_documents: int = 3) -> DataFrame:
-    """(doc_id, spans array<struct<kind, start, end, value_hash, documents, owners, live, base>>) for every row of docs."""
+    """(doc_id, mark, spans array<struct<start, kind, end, value_hash, documents, owners, live>>) for every row of docs; mark is xxhash64 of the text."""
     work = Workspace(docs.sparkSession, "secrets")
-    rows = texts(docs, "source").select("doc_id", F.col("source").cast("string").alias("source"), *(found(F.col("text"), k).alias(k) for k in KINDS))
-    rows = work.write(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", F.concat(*KINDS).alias("found")), "found")
+    rows = texts(docs, "source").select("doc_id", F.xxhash64("text").alias("mark"), F.col("source").cast("string").alias("source"), *(found(F.col("text"), k).alias(k) for k in KINDS))
+    rows = work.write(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "mark", "source", F.concat(*KINDS).alias("found")), "found")
     each = rows.where(F.size("found") > 0).select("rid", "doc_id", "source", F.explode("found").alias("f"))
     each = work.write(each.select("rid", "doc_id", "source", F.col("f.kind").alias("kind"), F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.sha2("f.value", 256).alias("value_hash")), "each")
     # one row per value, source and document first, then per value and source, so that no value's rows meet at once
@@ -74,7 +74,7 @@ def scan_secrets(docs: DataFrame, max_owners: int = 1, max_documents: int = 3) -
     inside = lambda x: F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     spans = F.filter("s", lambda x: (x["kind"] < KINDS.index("token")) | ~inside(x))
     empty = F.array().cast(by_row.schema["s"].dataType)
-    return rows.select("rid", "doc_id").join(by_row, "rid", "left").select("doc_id", F.coalesce(spans, empty).alias("spans"))
+    return rows.select("rid", "doc_id", "mark").join(by_row, "rid", "left").select("doc_id", "mark", F.coalesce(spans, empty).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -87,3 +87,27 @@ def digest(scanned: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"] < KINDS.index("token"))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == KINDS.index(k))).cast("long")
     return scanned.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS[:3]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"))
+
+
+def redact(docs: DataFrame, instead: str = "[SECRET]", max_owners: int = 1, max_documents: int = 3) -> DataFrame:
+    """docs with `instead` in place of every span that looks live; n_chars, if there is such a column, follows.
+
+    Only rows with such spans are joined, by id and a hash of the text.
+    """
+    live = F.filter("spans", lambda x: x["live"])
+    hits = scan_secrets(docs, max_owners, max_documents).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), live.alias("_spans")).where(F.size("_spans") > 0)
+    hits = Workspace(docs.sparkSession, "redact").write(hits.dropDuplicates(["_id", "_mark"]), "hits")
+    text = F.coalesce(docs["text"], F.lit(""))
+    joined = docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(hits["_id"]) & (F.xxhash64(text) == hits["_mark"]), "left")
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(instead))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+
+    cut = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    changed = hits["_mark"].isNotNull()
+    columns = {c: docs[c] for c in docs.columns} | {"text": F.when(changed, cut).otherwise(docs["text"])}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(changed, F.length(cut)).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(columns[c].alias(c) for c in docs.columns))
