@@ -1,15 +1,295 @@
-"""The registered queries of the text-anomaly engine, and the SQL that gives the same rows."""
+"""The registered queries of the text-anomaly engine. Each runs over its whole tables; limits are those of ranked reports."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textsieve.functions import text
+from textsieve.operators import corrupt as noise
+from textsieve.operators import embed, evaluate, features, lm, ml, report, suggest
+from textsieve.operators.sentences import sentence_ids, split_train_test, text_to_sentences
+from textsieve.plans.oracles import ORACLES
+
+SEED, P_DELETE, P_SUBSTITUTE, TOP_VOCAB, TOP = 7, 0.04, 0.12, 3000, 15
+KEYS = ("doc_id", "sent_pos")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_to_sentences(_table(spark, sf_dir, "documents"))
+
+
+def _six(c: Column | str) -> Column:
+    """Rounded for comparison, without a negative zero."""
+    return F.round(c, 6) + 0.0
+
+
+def normalize_text(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", text.normalize_raw(F.col("text")).alias("normalized"))
+
+
+def pages_text(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", text.normalize_raw(F.col("html")).alias("normalized"))
+
+
+def sentences(spark, sf_dir):
+    return _sentences(spark, sf_dir).select(*KEYS, F.array_join("tokens", " ").alias("tokens"), F.size("tokens").cast("long").alias("n_tokens"))
+
+
+def sentence_numbers(spark, sf_dir):
+    return sentence_ids(_sentences(spark, sf_dir)).select(*KEYS, "sent_id")
+
+
+def tokens(spark, sf_dir):
+    return _sentences(spark, sf_dir).select(*KEYS, F.posexplode("tokens").alias("token_idx", "token"))
+
+
+def sentence_lengths(spark, sf_dir):
+    return _sentences(spark, sf_dir).groupBy(F.size("tokens").cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_sentences"))
+
+
+def train_test_split(spark, sf_dir):
+    return split_train_test(_sentences(spark, sf_dir), 0.75, SEED).select(*KEYS, "is_train")
+
+
+def unigrams(spark, sf_dir):
+    return lm.fit(_sentences(spark, sf_dir)).uni.select("w", "c")
+
+
+def bigrams(spark, sf_dir):
+    return lm.fit(_sentences(spark, sf_dir)).bi.select("w1", "w", "c")
+
+
+def trigrams(spark, sf_dir):
+    return lm.fit(_sentences(spark, sf_dir)).tri.select("w2", "w1", "w", "c")
+
+
+def lm_stats(spark, sf_dir):
+    return lm.fit(_sentences(spark, sf_dir)).stats
+
+
+def _surprisal(direction: str):
+    def run(spark, sf_dir):
+        s = _sentences(spark, sf_dir)
+        return lm.token_surprisal(s, lm.fit(s), direction).select(*KEYS, F.col("idx").cast("long").alias("token_idx"), F.col("w").alias("token"), _six("surprisal").alias("surprisal"))
+
+    return run
+
+
+def _gap_rows(s: DataFrame) -> DataFrame:
+    return lm.gap_scores(s, lm.fit(s)).select(*KEYS, F.col("gap_idx").cast("long").alias("gap_idx"), "left", "right", _six("gap_score").alias("gap_score"))
+
+
+def gap_scores(spark, sf_dir):
+    return _gap_rows(_sentences(spark, sf_dir)).withColumnsRenamed({"left": "left_token", "right": "right_token"})
+
+
+def gap_top(spark, sf_dir):
+    return report.top_rows(_gap_rows(_sentences(spark, sf_dir)), "gap_score", "gap_idx", 20).withColumnsRenamed({"left": "left_token", "right": "right_token"})
+
+
+def bigram_neglogprob(spark, sf_dir):
+    s = _sentences(spark, sf_dir)
+    model = lm.fit(s)
+    pairs = model.bi.where((F.col("w1") != lm.BOS) & (F.col("w") != lm.EOS)).select(F.col("w1").alias("left"), F.col("w").alias("right"))
+    return lm.bigram_neglogprob(pairs, model).select(F.col("left").alias("left_token"), F.col("right").alias("right_token"), _six("neglogprob").alias("neglogprob"))
+
+
+def top_vocab(spark, sf_dir):
+    order = Window.orderBy(F.col("c").desc(), F.col("w").desc())
+    return lm.top_frequent_vocab(lm.fit(_sentences(spark, sf_dir)), TOP_VOCAB).withColumn("rank", F.row_number().over(order))
+
+
+def token_freq_len(spark, sf_dir):
+    s = _sentences(spark, sf_dir)
+    x = s.select(*KEYS, F.posexplode("tokens").alias("token_idx", "token"))
+    counts = lm.fit(s).uni.select(F.col("w").alias("token"), "c")
+    return x.join(counts, "token", "left").select(*KEYS, "token_idx", _six(F.log1p(F.coalesce("c", F.lit(0)).cast("double"))).alias("log_freq"), F.length("token").cast("long").alias("char_len"))
+
+
+def _corrupted(s: DataFrame) -> DataFrame:
+    return noise.corrupt_corpus(s, lm.fit(s).vocab_full, P_DELETE, P_SUBSTITUTE, 2, False, SEED + 1)
+
+
+def corrupt_deletions(spark, sf_dir):
+    return _corrupted(_sentences(spark, sf_dir)).select(*KEYS, F.explode("deletions").alias("d")).select(*KEYS, "d.pos", "d.token", F.col("d.left").alias("left_token"), F.col("d.right").alias("right_token"))
+
+
+def corrupt_substitutions(spark, sf_dir):
+    return _corrupted(_sentences(spark, sf_dir)).select(*KEYS, F.explode("substitutions").alias("s")).select(*KEYS, "s.pos", F.col("s.orig").alias("original"), F.col("s.new").alias("replacement"))
+
+
+def corrupted_sentences(spark, sf_dir):
+    return _corrupted(_sentences(spark, sf_dir)).select(*KEYS, F.array_join("tokens_corrupted", " ").alias("tokens_corrupted"))
+
+
+def confusables(spark, sf_dir):
+    s = _sentences(spark, sf_dir)
+    subs = _corrupted(s).select(F.explode("substitutions").alias("s")).select(F.col("s.orig").alias("target"))
+    return noise.confusable(subs, lm.fit(s).vocab_full, SEED)
+
+
+def levenshtein_limited(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    following = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next_name"))
+    return p.join(following, "p_partkey").select("p_partkey", text.levenshtein_limit(F.col("p_name"), F.col("next_name"), 8).cast("long").alias("distance"))
+
+
+def token_labels(spark, sf_dir):
+    return features.token_labels(_corrupted(_sentences(spark, sf_dir))).select(*KEYS, "token_idx", "label")
+
+
+def gap_labels(spark, sf_dir):
+    return features.gap_labels(_corrupted(_sentences(spark, sf_dir))).select(*KEYS, "gap_idx", "label")
+
+
+def located_deletions(spark, sf_dir):
+    return features.located_gaps(_corrupted(_sentences(spark, sf_dir))).select(*KEYS, "token", F.col("gap_idx").cast("long").alias("gap_idx"))
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").select((F.col("event_type") == "purchase").cast("int").alias("label"), "value", (F.col("user_id") % 17).alias("user_mod"))
+    return evaluate.unpivot_methods(rows, {"value": "value", "user_mod": "user_mod"})
+
+
+def pr_curve(spark, sf_dir):
+    return evaluate.pr_curve(_scored(spark, sf_dir)).select("method", "position", "threshold", _six("precision").alias("precision"), _six("recall").alias("recall"))
+
+
+def average_precision(spark, sf_dir):
+    return evaluate.average_precision(_scored(spark, sf_dir)).select("method", _six("average_precision").alias("average_precision"))
+
+
+def _best_f1(mode: str):
+    def run(spark, sf_dir):
+        return evaluate.best_f1_threshold(_scored(spark, sf_dir), mode).select("method", "threshold", _six("f1").alias("f1"))
+
+    return run
+
+
+def prf_at_threshold(spark, sf_dir):
+    at = spark.createDataFrame([("value", 10.0), ("user_mod", 8.0)], "method string, threshold double")
+    return evaluate.prf_at_threshold(_scored(spark, sf_dir), at).select("method", "threshold", *(_six(c).alias(c) for c in ("precision", "recall", "f1")))
+
+
+def compare_methods(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "purchase").cast("int").alias("label"), "value", (F.col("user_id") % 17).alias("user_mod"))
+    scored = lambda x: evaluate.unpivot_methods(x, {"value": "value", "user_mod": "user_mod"})
+    is_train = text.uniform(str(SEED), F.lit("events"), F.col("event_id")) < 0.75
+    found = evaluate.compare_methods(scored(rows.where(is_train)), scored(rows.where(~is_train)))
+    return found.select("method", "threshold", *(_six(c).alias(c) for c in ("precision", "recall", "f1", "average_precision")))
+
+
+def suggest_replacements(spark, sf_dir):
+    s = _sentences(spark, sf_dir)
+    model = lm.fit(s)
+    scored = lm.token_surprisal(s, model, "forward").select(*KEYS, "idx", _six("surprisal").alias("surprisal"))
+    top = report.top_rows(scored, "surprisal", "idx", TOP).withColumnRenamed("rank", "place").join(s, [*KEYS])
+    return suggest.suggest_replacements(top.select("place", "tokens", "idx"), ["place"], model, lm.top_frequent_vocab(model, TOP_VOCAB))
+
+
+def suggest_insertions(spark, sf_dir):
+    s = _sentences(spark, sf_dir)
+    model = lm.fit(s)
+    top = report.top_rows(_gap_rows(s), "gap_score", "gap_idx", TOP).withColumnRenamed("rank", "place").join(s, [*KEYS])
+    return suggest.suggest_insertions(top.select("place", "tokens", F.col("gap_idx").cast("int").alias("gap_idx")), ["place"], model, lm.top_frequent_vocab(model, TOP_VOCAB))
+
+
+def correction_topk(spark, sf_dir):
+    s = split_train_test(_sentences(spark, sf_dir), 0.75, SEED)
+    model = lm.fit(s.where("is_train"))
+    test = noise.corrupt_corpus(s.where("not is_train"), model.vocab_full, P_DELETE, P_SUBSTITUTE, 2, False, SEED + 2)
+    ranks = suggest.correction_ranks(test, features.located_gaps(test), model, lm.top_frequent_vocab(model, TOP_VOCAB))
+    return evaluate.topk_rates(ranks).select("kind", "events", _six("top1").alias("top1"), _six("topk").alias("topk"))
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    v = _table(spark, sf_dir, "embeddings")
+    return v.select((F.col("vec_id") / 50).cast("long").alias("grp"), (F.col("vec_id") % 50).alias("idx"), "embedding")
+
+
+def embedding_outlier(spark, sf_dir):
+    out = embed.neighbour_outliers(_vectors(spark, sf_dir), "grp", "idx", "embedding")
+    return out.select((F.col("grp") * 50 + F.col("idx")).alias("vec_id"), _six("outlier").alias("outlier"))
+
+
+def cosine_pairs(spark, sf_dir):
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    following = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("following"))
+    return v.join(following, "vec_id").select("vec_id", _six(embed.cosine(F.col("embedding"), F.col("following"))).alias("cosine"))
+
+
+def scaler_stats(spark, sf_dir):
+    found = ml.scaler_stats(token_freq_len(spark, sf_dir).withColumn("char_len", F.col("char_len").cast("double")), ("log_freq", "char_len"))
+    return found.select("feature", _six("mean").alias("mean"), _six("std").alias("std"))
+
+
+def class_weights(spark, sf_dir):
+    return ml.class_weights(token_labels(spark, sf_dir)).select("label", "n", _six("weight").alias("weight"))
+
+
+def render_sentence(spark, sf_dir):
+    c = _corrupted(_sentences(spark, sf_dir)).where(F.size("substitutions") > 0)
+    return c.select(*KEYS, text.render_sentence(F.col("tokens_corrupted"), F.col("substitutions")[0]["pos"]).alias("rendered"))
+
+
+def render_gap(spark, sf_dir):
+    c = features.located_gaps(_corrupted(_sentences(spark, sf_dir))).where("gap_idx is not null")
+    return c.select(*KEYS, text.render_gap(F.col("tokens_corrupted"), F.col("gap_idx")).alias("rendered"))
+
+
+def top_examples(spark, sf_dir):
+    s = _sentences(spark, sf_dir)
+    model = lm.fit(s)
+    top = report.top_rows(_gap_rows(s), "gap_score", "gap_idx", TOP).join(s, [*KEYS]).withColumn("gap_idx", F.col("gap_idx").cast("int"))
+    found = suggest.suggest_insertions(top.select(F.col("rank").alias("place"), "tokens", "gap_idx"), ["place"], model, lm.top_frequent_vocab(model, TOP_VOCAB))
+    listed = found.groupBy(F.col("place").alias("rank")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate"))), lambda x: x["candidate"]), ", ").alias("suggestions"))
+    return top.join(listed, "rank", "left").select("rank", "gap_score", F.concat_ws(" ", "left", "right").alias("item"), text.render_gap(F.col("tokens"), F.col("gap_idx")).alias("sentence"), F.coalesce("suggestions", F.lit("(нет)")).alias("suggestions"))
+
+
+def _labelled_features(spark, sf_dir) -> DataFrame:
+    s = _sentences(spark, sf_dir)
+    model = lm.fit(s)
+    c = _corrupted(s)
+    shown = c.select(*KEYS, F.col("tokens_corrupted").alias("tokens"))
+    rows = features.token_features(shown, model, embed.train_embedding(s, model))
+    return features.attach_labels(rows, features.token_labels(c), [*KEYS, "token_idx"])
+
+
+def lr_scores(spark, sf_dir):
+    rows = _labelled_features(spark, sf_dir).persist()
+    return ml.train_token_classifier(rows).predict(rows).select(*KEYS, "token_idx", "token", "label", "lr_score")
+
+
+def subword_outlier(spark, sf_dir):
+    s = _sentences(spark, sf_dir)
+    return embed.token_outliers(s, embed.train_embedding(s, lm.fit(s)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        normalize_text, pages_text, sentences, sentence_numbers, tokens, sentence_lengths, train_test_split, unigrams, bigrams, trigrams, lm_stats,
+        gap_scores, gap_top, bigram_neglogprob, top_vocab, token_freq_len, confusables, levenshtein_limited, corrupt_deletions, corrupt_substitutions,
+        corrupted_sentences, token_labels, gap_labels, located_deletions, pr_curve, average_precision, prf_at_threshold, compare_methods,
+        suggest_replacements, suggest_insertions, correction_topk, embedding_outlier, cosine_pairs, scaler_stats, class_weights, render_sentence,
+        render_gap, top_examples, lr_scores, subword_outlier,
+    )
+} | {
+    "token_surprisal_fwd": _surprisal("forward"), "token_surprisal_bwd": _surprisal("backward"), "token_surprisal_bidi": _surprisal("both"),
+    "best_f1_compat": _best_f1("compat"), "best_f1_corrected": _best_f1("corrected"),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
