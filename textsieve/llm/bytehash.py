@@ -72,8 +72,11 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool = True, spans: bool = False):
-    """(hash, document) of every word in order; with spans also each word's bytes from and to, in data."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool = True, spans: bool = False, prefixes: tuple[int, ...] = ()):
+    """(hash, document) of every word in order; with spans also each word's bytes from and to, in data.
+
+    With prefixes the hash is a row per length more: of the word's first so many bytes, or of all if it has no more.
+    """
     hashes, owners, froms, tos = [], [], [], []
     for lo, hi in _cuts(data, offsets, is_word):
         b = data[lo:hi]
@@ -89,13 +92,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lowe
         first[edge] |= w[edge]
         last[edge - 1] |= w[edge - 1]
         i, j = np.flatnonzero(first), np.flatnonzero(last) + 1
-        hashes.append(mix(substring(prefix(b), i, j)))
+        sums = prefix(b)
+        h = mix(substring(sums, i, j))
+        hashes.append(np.stack([h, *(np.where(j - i > n, mix(substring(sums, i, np.minimum(i + n, j)) + np.uint64(n)), h) for n in prefixes)]) if prefixes else h)
         owners.append(np.searchsorted(offsets, i + lo, "right") - 1)
         if spans:
             froms.append(i + lo)
             tos.append(j + lo)
-    join = lambda xs, t: np.concatenate(xs) if xs else np.empty(0, t)
-    out = join(hashes, np.uint64), join(owners, np.int64)
+    join = lambda xs, t: np.concatenate(xs, -1) if xs else np.empty(0, t)
+    out = join(hashes, np.uint64) if hashes or not prefixes else np.empty((1 + len(prefixes), 0), np.uint64), join(owners, np.int64)
     return (*out, join(froms, np.int64), join(tos, np.int64)) if spans else out
 
 

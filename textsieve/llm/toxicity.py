@@ -1,11 +1,13 @@
 """Toxicity by maximum-scoring segments over token log-odds, calibrated by extreme-value statistics.
 
-Tokens are runs of ASCII letters, digits and non-ASCII characters after A-Z became a-z, hashed to 2^18 buckets (so the
-model has a fixed size). A bucket's score is its log-odds between toxic and clean documents under an informative
-Dirichlet prior (Monroe et al. 2008) in proportion to its frequency, shrunk by its standard error, less a drift that
-makes clean text lose score. A linear scan (Ruzzo and Tompa 1999) finds every maximal segment; by Karlin and Altschul
-(1990) a segment of score S in n tokens has the E-value K n exp(-lambda S). lambda solves E[exp(lambda s)] = 1 over clean
-tokens, K comes from the clean documents' best segments. A logistic curve maps the best segment's and all significant
+Tokens are runs of ASCII letters, digits and non-ASCII characters after A-Z became a-z. A token stands for itself and for
+its first four, five and six bytes, so that forms of a known stem count; all are hashed to 2^20 buckets, which gives the
+model a fixed size. A bucket's score is its log-odds between toxic and clean documents under an informative Dirichlet
+prior (Monroe et al. 2008) in proportion to its frequency, shrunk by its standard error; buckets met in fewer than
+`least` documents or with odds above 0 and below `weak` score 0. A token takes the one of its scores that is furthest from 0, less a drift that makes clean
+text lose score; it counts once in a document. A linear scan (Ruzzo and Tompa 1999) finds every maximal segment; by Karlin and Altschul
+(1990) a segment of score S in n tokens has the E-value K n exp(-lambda S). lambda solves E[exp(lambda s)] = 1 over the tokens
+of clean documents, K comes from the clean documents' best segments. A logistic curve maps the best segment's and all significant
 segments' evidence to a probability.
 
 Learning uses a bounded sample: of each label the `sample` rows with the smallest hash of the id.
@@ -29,19 +31,32 @@ from pyspark.sql import functions as F
 from textsieve.llm.bytehash import ALNUM, raw, word_hashes
 from textsieve.llm.common import fold, texts
 
-BITS = 18
+BITS = 20
+PREFIXES = (4, 5, 6)
+LAMBDAS = tuple(0.05 * 1.25**k for k in range(24))
 SEGMENTS = "array<struct<first:int,last:int,score:double,e_value:double>>"
 
 
 @dataclass
 class ToxicityModel:
     score: np.ndarray  # by bucket
+    drift: float = 0.05
     decay: float = 1.0  # lambda
     size: float = 1.0  # K
     weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
     e_max: float = 0.01
     constant: float | None = None
 
+    def tokens(self, buckets: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Scores of tokens, given the buckets of each in a column. A token that its document had before scores nothing again."""
+        s = self.score[buckets]
+        s = np.take_along_axis(s, np.abs(s).argmax(0)[None], 0)[0]
+        docs = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+        _, first = np.unique((docs << BITS) | buckets[0], return_index=True)
+        new = np.zeros(len(s), bool)
+        new[first] = True
+        return np.where(new, s, 0) - self.drift
+
     def features(self, segments: list[tuple[int, int, float]], n: int) -> tuple[float, float]:
         base = np.log(self.size * max(n, 1))
         evidence = [self.decay * s - base for _, _, s in segments]
@@ -81,9 +96,9 @@ def maximal_segments(x: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all tokens, and where each document's begin (n + 1)."""
+    """Buckets of all tokens (a row each for the token and its beginnings), and where each document's begin (n + 1)."""
     data, offsets = raw(column)
-    h, owner = word_hashes(data, offsets, ALNUM)
+    h, owner = word_hashes(data, offsets, ALNUM, prefixes=PREFIXES)
     return (h >> np.uint64(64 - BITS)).astype(np.int64), np.searchsorted(owner, np.arange(len(offsets)))
 
 
@@ -93,13 +108,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bucket, begins = _tokens(batch.column(0))
         for d, toxic in enumerate(batch.column(1).to_pylist()):
-            n[toxic, np.unique(bucket[begins[d] : begins[d + 1]])] += 1
+            n[toxic, np.unique(bucket[:, begins[d] : begins[d + 1]])] += 1
             docs[toxic] += 1
     k = np.flatnonzero(n.any(0))
     yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(n[0, k], docs[0])), pa.array(np.append(n[1, k], docs[1]))], ["bucket", "clean", "toxic"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, prior: float = 500.0, shrink: float = 1.0, drift: float = 0.05) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, prior: float = 500.0, shrink: float = 1.5, weak: float = 1.5, drift: float = 0.05, least: int = 3) -> ToxicityModel:
     """A model from the labelled documents among docs whose ids are in the training folds (crc32 modulo 5 not 0)."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold() != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -111,7 +126,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, prior
     ids = {t: [r["doc_id"] for r in picked.where(F.col("toxic") == t).collect()] for t in (0, 1)}  # 2 * sample rows at most
     picked = docs.sparkSession.createDataFrame([(i, t) for t in ids for i in ids[t]], "doc_id long, toxic int")
     rows = texts(docs).join(F.broadcast(picked), "doc_id").select("text", "toxic")
-    found = rows.mapInArrow(_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+    found = rows.mapInArrow(_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= least).toPandas()  # 2^BITS rows at most
     size = found[found.bucket < 0].iloc[0] if len(found) else None
     if size is None or not size.clean or not size.toxic:
         return ToxicityModel(np.zeros(1 << BITS), constant=share[1] / (share[0] + share[1]))
@@ -119,24 +134,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, prior
     found = found[found.bucket >= 0]
     y[0, found.bucket], y[1, found.bucket] = found.clean, found.toxic
     n = y.sum(1)
-    alpha = prior * (y.sum(0) + 0.5) / (y.sum() + 0.5 * y.shape[1])
-    odds = [np.log((y[k] + alpha) / (n[k] + prior - y[k] - alpha)) for k in (0, 1)]
-    delta, error = odds[1] - odds[0], np.sqrt(1 / (y[0] + alpha) + 1 / (y[1] + alpha))
-    model = ToxicityModel(np.sign(delta) * np.maximum(np.abs(delta) - shrink * error, 0) - drift)
-    clean = (y[0] + 1e-3) / (y[0] + 1e-3).sum()
-    mean = float(clean @ model.score)
-    if mean > -drift:
-        model.score -= mean + drift  # clean text must lose score
-    low, high = 1e-6, 1.0
-    while clean @ np.exp(high * model.score) < 1 and high < 64:
-        high *= 2
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if clean @ np.exp(mid * model.score) < 1 else (low, mid)
-    model.decay = low
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    best = rows.mapInArrow(_best(sent), "toxic int, best double, strong string, n long").toPandas()
-    c = best[best.toxic == 0]
+    # pseudo-counts: 1 and prior * frequency, in the classes' proportions, so that without evidence the odds are even
+    alpha = [(1 + prior * y.sum(0) / y.sum()) * n[k] / n.sum() for k in (0, 1)]
+    odds = [np.log((y[k] + alpha[k]) / (n[k] + alpha[k].sum() - y[k] - alpha[k])) for k in (0, 1)]
+    delta, error = odds[1] - odds[0], np.sqrt(1 / (y[0] + alpha[0]) + 1 / (y[1] + alpha[1]))
+    score = np.sign(delta) * np.maximum(np.abs(delta) - shrink * error, 0) * (y.sum(0) > 0)
+    model = ToxicityModel(np.where((score > 0) & (score < weak), 0, score).astype(np.float32), drift)
+    while True:
+        sent = docs.sparkSession.sparkContext.broadcast(model)
+        best = rows.mapInArrow(_best(sent), "toxic int, best double, strong string, n long, total double, powers array<double>").toPandas()
+        c = best[best.toxic == 0]
+        n_clean = max(int(c.n.sum()), 1)
+        mean = float(c.total.sum()) / n_clean
+        if mean < 0 or not c.n.sum():
+            break
+        model.drift += mean + drift  # clean text must lose score
+    power = np.sum(np.stack(c.powers.to_list()), 0) / n_clean
+    above = np.flatnonzero(power >= 1)
+    k = int(above[0]) if len(above) else len(LAMBDAS) - 1
+    if k and power[k] > power[k - 1]:  # between the last below 1 and the first above
+        part = np.clip((1 - power[k - 1]) / (power[k] - power[k - 1]), 0, 1)
+        model.decay = float(LAMBDAS[k - 1] + part * (LAMBDAS[k] - LAMBDAS[k - 1]))
+    else:
+        model.decay = LAMBDAS[k]
     model.size = float(np.exp(np.mean(model.decay * c.best - np.log(np.maximum(c.n, 1))) - np.euler_gamma))
     x = np.array([[1.0, *model.features([(0, 0, float(s)) for s in segs.split()] if segs else [], k)] for segs, k in zip(best.strong, best.n, strict=True)])
     t = best.toxic.to_numpy(float)
@@ -156,11 +176,13 @@ def _best(sent):
         model = sent.value
         for batch in batches:
             bucket, begins = _tokens(batch.column(0))
-            x = model.score[bucket]
+            x = model.tokens(bucket, begins)
+            powers = np.stack([np.add.reduceat(np.append(np.exp(v * x), 0.0), begins[:-1]) * (np.diff(begins) > 0) for v in LAMBDAS], 1) if batch.num_rows else np.empty((0, len(LAMBDAS)))
+            totals = [float(x[i:j].sum()) for i, j in zip(begins[:-1], begins[1:], strict=True)]
             segments = [maximal_segments(x[i:j]) for i, j in zip(begins[:-1], begins[1:], strict=True)]
             best = [max((s for *_, s in g), default=0.0) for g in segments]
             top = [" ".join(repr(float(s)) for s in sorted((s for *_, s in g), reverse=True)[:64]) for g in segments]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(best, pa.float64()), pa.array(top), pa.array(np.diff(begins))], ["toxic", "best", "strong", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(best, pa.float64()), pa.array(top), pa.array(np.diff(begins)), pa.array(totals, pa.float64()), pa.array(powers.tolist(), pa.list_(pa.float64()))], ["toxic", "best", "strong", "n", "total", "powers"])
 
     return run
 
@@ -174,7 +196,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         m = sent.value
         for batch in batches:
             bucket, begins = _tokens(batch.column(at))
-            x, k = m.score[bucket], batch.num_columns
+            x, k = m.tokens(bucket, begins), batch.num_columns
             scores, spans = [], []
             for i, j in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
                 g, n = maximal_segments(x[i:j]), j - i
