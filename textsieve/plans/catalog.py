@@ -138,7 +138,7 @@ def confusables(spark, sf_dir):
 def levenshtein_limited(spark, sf_dir):
     p = _table(spark, sf_dir, "part").select("p_partkey", "p_name")
     following = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next_name"))
-    return p.join(following, "p_partkey").select("p_partkey", text.levenshtein_limit(F.col("p_name"), F.col("next_name"), 8).cast("long").alias("distance"))
+    return p.join(following, "p_partkey").select("p_partkey", text.levenshtein_limit(F.col("p_name"), F.col("next_name"), 8).cast("long").alias("distance")).fillna(-1, ["distance"])
 
 
 def token_labels(spark, sf_dir):
@@ -150,7 +150,7 @@ def gap_labels(spark, sf_dir):
 
 
 def located_deletions(spark, sf_dir):
-    return features.located_gaps(_corrupted(_sentences(spark, sf_dir))).select(*KEYS, "token", F.col("gap_idx").cast("long").alias("gap_idx"))
+    return features.located_gaps(_corrupted(_sentences(spark, sf_dir))).select(*KEYS, "token", F.coalesce("gap_idx", F.lit(-1)).cast("long").alias("gap_idx"))
 
 
 def _scored(spark, sf_dir) -> DataFrame:

@@ -176,13 +176,13 @@ ORACLES: dict[str, str] = {
     "confusables": f"""{_COR}, tgt AS (SELECT DISTINCT orig AS target FROM cor WHERE s IS NOT NULL),
 near AS (SELECT target, w FROM (SELECT target, w, row_number() OVER (PARTITION BY target ORDER BY w) AS k FROM tgt JOIN vocab ON substr(w, 1, 1) = substr(target, 1, 1) AND abs(length(w) - length(target)) <= 2 AND w <> target) WHERE k <= 2000 AND levenshtein(target, w) <= 2)
 SELECT target, choice FROM tgt LEFT JOIN (SELECT target, arg_min(w, md5('7|' || target || '|' || w)) AS choice FROM near GROUP BY 1) USING (target)""",
-    "levenshtein_limited": "SELECT p.p_partkey, CASE WHEN levenshtein(p.p_name, q.p_name) <= 8 THEN levenshtein(p.p_name, q.p_name) END AS distance FROM part AS p JOIN part AS q ON q.p_partkey = p.p_partkey + 1",
+    "levenshtein_limited": "SELECT p.p_partkey, CASE WHEN levenshtein(p.p_name, q.p_name) <= 8 THEN levenshtein(p.p_name, q.p_name) ELSE -1 END AS distance FROM part AS p JOIN part AS q ON q.p_partkey = p.p_partkey + 1",
     "corrupt_deletions": f"{_COR} SELECT doc_id, sent_pos, d AS pos, dtok AS token, dl AS left_token, dr AS right_token FROM cor WHERE d IS NOT NULL",
     "corrupt_substitutions": f"{_COR} SELECT doc_id, sent_pos, s AS pos, orig AS original, new AS replacement FROM cor WHERE s IS NOT NULL",
     "corrupted_sentences": f"{_COR} SELECT doc_id, sent_pos, array_to_string(tc, ' ') AS tokens_corrupted FROM cor",
     "token_labels": f"{_TOKEN_LABELS} SELECT * FROM tl",
     "gap_labels": f"{_COR} SELECT cg.doc_id, cg.sent_pos, cg.gap_idx::INTEGER AS gap_idx, (loc.gap_idx IS NOT NULL)::INTEGER AS label FROM cg LEFT JOIN loc ON loc.doc_id = cg.doc_id AND loc.sent_pos = cg.sent_pos AND loc.gap_idx = cg.gap_idx",
-    "located_deletions": f"{_COR} SELECT doc_id, sent_pos, dtok AS token, gap_idx FROM loc",
+    "located_deletions": f"{_COR} SELECT doc_id, sent_pos, dtok AS token, coalesce(gap_idx, -1) AS gap_idx FROM loc",
     "pr_curve": f"WITH {_SCORED}, {_curve()} SELECT method, position::INTEGER AS position, threshold, round(precision, 6) + 0.0 AS precision, round(recall, 6) + 0.0 AS recall FROM curve",
     "average_precision": f"WITH {_SCORED}, {_curve()} SELECT method, round(average_precision, 6) + 0.0 AS average_precision FROM ap",
     "best_f1_compat": f"WITH {_SCORED}, {_curve()}, {_best()} SELECT method, threshold, round(f1, 6) + 0.0 AS f1 FROM best",
