@@ -193,6 +193,27 @@ def _matcher(model, at: int):
     return run
 
 
+def _cutter(at: int):
+    """Texts without the bytes of their hits, which begin and end between characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, hits in zip(batch.column(at), batch.column(batch.num_columns - 2), strict=True):
+                if len(hits.values):
+                    data, last, kept = text.as_buffer().to_pybytes(), 0, []
+                    for h in hits.as_py():
+                        kept.append(data[last : h["from"]])
+                        last = h["to"]
+                    out.append(b"".join([*kept, data[last:]]).decode())
+                else:
+                    out.append(text.as_py())
+            columns = [pa.array(out, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return run
+
+
 def n_hit():
     return F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + x["last"] - x["first"] + 1)
 
@@ -212,9 +233,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     names = docs.columns
     plain = docs.select(*(docs[c].alias(f"_{k}") for k, c in enumerate(names)), docs["text"].alias("text"))
     found = find_contamination(plain, benchmark, window).where((F.col("n_words") == 0) | (n_hit() <= max_coverage * F.col("n_words")))
-    raw_bytes = F.col("text").cast("binary")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(b"").alias("out"))
-    cut = F.aggregate("hits", start, lambda acc, x: F.struct(x["to"].alias("at"), F.concat(acc["out"], F.substring(raw_bytes, acc["at"].cast("int") + 1, (x["from"] - acc["at"]).cast("int"))).alias("out")), lambda acc: F.concat(acc["out"], F.substring(raw_bytes, acc["at"].cast("int") + 1, F.octet_length(raw_bytes))))
-    text = F.when(F.size("hits") > 0, F.decode(cut, "UTF-8")).otherwise(F.col("text"))
+    at = found.columns.index("text")
+    found = found.mapInArrow(_cutter(at), found.schema)
+    text = F.when(F.size("hits") > 0, F.col("text")).otherwise(F.col(f"_{names.index('text')}"))
     new = {"text": text, "n_chars": F.when(F.size("hits") > 0, F.length(text)).otherwise(F.col(f"_{names.index('n_chars')}")) if "n_chars" in names else None}
     return found.select(*((new[c] if new.get(c) is not None else F.col(f"_{k}")).cast(docs.schema[c].dataType).alias(c) for k, c in enumerate(names)))
