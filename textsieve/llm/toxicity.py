@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textsieve.llm.bytehash import ALNUM, raw, word_hashes
+from textsieve.llm.bytehash import ALNUM, raw, slices, word_hashes
 from textsieve.llm.common import fold, texts
 
 BITS = 20
 PREFIXES = (4, 5, 6)
+BATCH_BYTES = 4 << 20
 LAMBDAS = tuple(0.05 * 1.25**k for k in range(24))
 SEGMENTS = "array<struct<first:int,last:int,score:double,e_value:double>>"
 
@@ -105,7 +106,7 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros((2, 1 << BITS), np.int64)
     docs = np.zeros(2, np.int64)
-    for batch in batches:
+    for batch in (part for b in batches for part in slices(b, "text", BATCH_BYTES)):
         bucket, begins = _tokens(batch.column(0))
         for d, toxic in enumerate(batch.column(1).to_pylist()):
             n[toxic, np.unique(bucket[:, begins[d] : begins[d + 1]])] += 1
@@ -174,7 +175,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, prior
 def _best(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, "text", BATCH_BYTES)):
             bucket, begins = _tokens(batch.column(0))
             x = model.tokens(bucket, begins)
             powers = np.stack([np.add.reduceat(np.append(np.exp(v * x), 0.0), begins[:-1]) * (np.diff(begins) > 0) for v in LAMBDAS], 1) if batch.num_rows else np.empty((0, len(LAMBDAS)))
@@ -194,7 +195,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, "text", BATCH_BYTES)):
             bucket, begins = _tokens(batch.column(at))
             x, k = m.tokens(bucket, begins), batch.num_columns
             scores, spans = [], []
