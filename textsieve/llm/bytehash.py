@@ -72,6 +72,17 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most `most` bytes of a text column (a longer text is a part of its own)."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        before = sizes[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(sizes, before + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool = True, spans: bool = False, prefixes: tuple[int, ...] = ()):
     """(hash, document) of every word in order; with spans also each word's bytes from and to, in data.
 
