@@ -34,6 +34,10 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/textsieve/{name}-{uuid.uuid4().hex}"
 
+    def again(self) -> Workspace:
+        """Another folder beside this one, for steps whose tags repeat."""
+        return Workspace(self.spark, "part")
+
     def write(self, df: DataFrame, tag: str) -> DataFrame:
         path = f"{self.root}/{tag}"
         df.write.parquet(path)
@@ -68,14 +72,14 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
-    """(node, root) for every node of edges (a, b): root is the smallest node reachable.
+    """(node, root) for every node of edges (a, b) but the roots themselves: root is the smallest node reachable.
 
     Alternates large-star and small-star (Kiveris et al. 2014) until no edge changes. Each step is an aggregation and
     a join over edges, written to the shared folder; only a count comes to the driver.
     """
     least, most = F.least("a", "b"), F.greatest("a", "b")
     now = work.write(edges.where("a <> b").select(most.alias("a"), least.alias("b")).distinct(), "cc0")
-    step = 0
+    step, seen = 0, None
     while True:
         step += 1
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -87,7 +91,8 @@ def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
         small = large.join(small_low, "a").select("b", "m", "a")
         turned = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         after = work.write(turned, f"cc{step}")
-        changed = after.join(now, ["a", "b"], "left_anti").limit(1).count() + now.join(after, ["a", "b"], "left_anti").limit(1).count()
+        mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        changed, seen = mark != seen, mark  # the same edges have the same count and sum of hashes
         work.drop(f"cc{step - 1}", f"low{step}", f"large{step}", f"small{step}")
         now = after
         if not changed:

@@ -6,14 +6,17 @@ the start: one node, whose copies are never compared.
 
 A node has TREES * DEPTH minimum hashes. Tree t orders all nodes by their hashes from the t-th group on, around the
 ring, so an order can be followed to any depth. Nodes that share the first DEPTH hashes of an order form a region; a
-pair of similarity 0.8 shares none of the 32 regions with a chance of about 5e-8.
+pair of similarity 0.8 shares none of the 48 regions with a chance of about 5e-7.
 
 1. Neighbours: within a region the order goes on with the following hashes, so that the neighbours of a node have the
    longest prefixes in common with it: the depth adapts to how crowded the region is. Orders are range-partitioned, so
-   a crowded region is spread over many tasks. Each node's best neighbour (most trees, then longest prefix) is confirmed
-   on full sets, and confirmed links are joined to components.
+   a crowded region is spread over many tasks. Each node's BEST neighbours (most trees, then longest prefix) are
+   confirmed and joined to components; then all other neighbours that lie in different components.
 2. Rest: a region whose nodes are all in one component is done. Where several meet, every pair across components is
-   compared, first by its hashes (only pairs 7 standard errors below the threshold are left out), then on full sets.
+   confirmed.
+
+A pair is confirmed by its hashes first (only pairs 7 standard errors below the threshold are left out), then on full
+sets.
 
 So no region is cut or capped, and pairs inside a component, however large, are never listed.
 
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from textsieve.llm.bytehash import NOT_SPACE, mix, raw, word_hashes
 from textsieve.llm.common import Workspace, connected_components, texts
 
-TREES, DEPTH, MORE = 32, 4, 4
+TREES, DEPTH, MORE, BEST = 48, 6, 2, 3
 HASHES = TREES * DEPTH
 _rng = np.random.Generator(np.random.PCG64(71))
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,51 +122,42 @@ def _set_batch(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each node and tree: the region (hash of tree and first DEPTH hashes) and the next MORE hashes."""
+    """For each node and tree: the region (hash of tree and first DEPTH hashes) and the next MORE hashes as one number."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 2000):
             part = batch.slice(lo, 2000)
-            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), ">u4").reshape(-1, HASHES)
+            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), ">u4").reshape(-1, HASHES).astype(np.uint64)
             nodes = part.column("node").to_numpy()
             with np.errstate(over="ignore"):
                 first = np.zeros((len(nodes), TREES), np.uint64) + np.arange(1, TREES + 1, dtype=np.uint64)
                 for k in range(DEPTH):
-                    first = mix(first * _STEP[k] + sig[:, k::DEPTH].astype(np.uint64))
-            after = np.concatenate([sig, sig[:, : DEPTH + MORE]], 1)
-            after = np.stack([after[:, t * DEPTH + DEPTH : t * DEPTH + DEPTH + MORE] for t in range(TREES)], 1)
-            after = np.ascontiguousarray(after).tobytes()
-            width = 4 * MORE
-            labels = [after[i : i + width] for i in range(0, len(after), width)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, TREES)), pa.array(first.ravel().view(np.int64)), pa.array(labels, pa.binary())], ["node", "region", "label"])
-
-
-def _common(a: bytes, b: bytes) -> int:
-    return next((k // 4 for k in range(0, len(a), 4) if a[k : k + 4] != b[k : k + 4]), len(a) // 4)
+                    first = mix(first * _STEP[k] + sig[:, k::DEPTH])
+            ring = np.roll(sig, -DEPTH, 1)
+            label = ((ring[:, ::DEPTH] << np.uint64(32)) | ring[:, 1::DEPTH]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, TREES)), pa.array(first.ravel().view(np.int64)), pa.array(label.ravel())], ["node", "region", "label"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that follow each other in sorted rows; kind 1 marks the partition's first and last row, to be paired later."""
+    """Pairs that follow each other in sorted rows, with how many more hashes they share; kind 1 marks the partition's
+    first and last row, to be paired later."""
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    names = ["kind", "a", "b", "depth", "region", "label"]
     last = first = None
     for batch in batches:
-        node, region, label = batch.column("node").to_numpy(), batch.column("region").to_numpy(), batch.column("label").to_pylist()
+        node, region, label = (batch.column(c).to_numpy() for c in ("node", "region", "label"))
         if not len(node):
             continue
-        out = []
-        if last is not None and last[1] == region[0]:
-            out.append((last[0], int(node[0]), _common(last[2], label[0])))
-        for i in np.flatnonzero(region[1:] == region[:-1]).tolist():
-            out.append((int(node[i]), int(node[i + 1]), _common(label[i], label[i + 1])))
-        first = first or (int(node[0]), int(region[0]), label[0])
-        last = (int(node[-1]), int(region[-1]), label[-1])
-        if out:
-            yield _pair_batch([(0, a, b, n, None, None) for a, b, n in out])
+        if last is not None:
+            node, region, label = (np.concatenate(([x], y)) for x, y in zip(last, (node, region, label), strict=True))
+        first = first or (node[0], region[0], label[0])
+        last = (node[-1], region[-1], label[-1])
+        i = np.flatnonzero(region[1:] == region[:-1])
+        depth = (label[i] == label[i + 1]).astype(np.int32) + (label[i] >> 32 == label[i + 1] >> 32)
+        zero = np.zeros(len(i), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((zero, node[i], node[i + 1], depth, region[i], label[i]), kinds, strict=True)], names)
     if first is not None:
-        yield _pair_batch([(1, x[0], None, 0, x[1], x[2]) for x in (first, last)])
-
-
-def _pair_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["kind", "a", "b", "depth", "region", "label"])
+        rows = [(1, int(x[0]), None, 0, int(x[1]), int(x[2])) for x in (first, last)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
 
 def _alike(least: float):
@@ -189,48 +183,59 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     work = Workspace(docs.sparkSession, "neardup")
     rows = texts(docs).withColumn("mark", F.xxhash64("text"))
     signed = work.write(rows.mapInArrow(_signed(shingle), "doc_id long, mark long, n long, node long, sig binary"), "signed")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min_by("sig", "mark").alias("sig"), F.min("doc_id").alias("rep"))
-    nodes = work.write(nodes, "nodes")
-    orders = work.write(nodes.mapInArrow(_orders, "node long, region long, label binary"), "orders")
-    shared = work.write(orders.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("region"), "shared")
-    orders = work.write(orders.join(shared, "region"), "crowded")
+    orders = work.write(signed.where("node is not null").select("node", "sig").mapInArrow(_orders, "node long, region long, label long"), "orders")
+    shared = orders.groupBy("region").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("region")
+    orders = work.write(orders.join(work.write(shared, "shared"), "region").select("node", "region", "label").distinct(), "crowded")
     work.drop("orders", "shared")
+    wanted = work.write(orders.select("node").distinct(), "wanted")
+    reps = work.write(signed.select("node", "doc_id").join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
+    first_rows = signed.select("node", "doc_id", "sig").join(reps, "node").where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    sigs = work.write(first_rows.select("node", "sig").dropDuplicates(["node"]), "sigs")
+    with_text = rows.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    sets = work.write(with_text.mapInArrow(_sets(shingle), "node long, set array<bigint>").dropDuplicates(["node"]), "sets")
+
+    def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
+        error = (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
+        x = pairs.select("a", "b").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a")
+        xy = x.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y")
+        likely = work.write(xy.mapInArrow(_alike(percent / 100 - 7 * error), "a long, b long"), f"likely_{tag}")
+        return work.write(_confirm(likely, sets, percent), f"links_{tag}")
+
+    def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Adds ra and rb, the components of a and b."""
+        x = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+        return x.join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")})
 
     # 1. neighbours in the sorted orders
     sorted_rows = orders.repartitionByRange("region", "label", "node").sortWithinPartitions("region", "label", "node").select("node", "region", "label")
-    found = work.write(sorted_rows.mapInArrow(_neighbours, "kind int, a long, b long, depth int, region long, label binary"), "neighbours")
+    found = work.write(sorted_rows.mapInArrow(_neighbours, "kind int, a long, b long, depth int, region long, label long"), "neighbours")
     across = Window.orderBy("region", "label", "a")  # two rows of each partition
     edge = found.where("kind = 1").dropDuplicates(["region", "label", "a"]).withColumn("p", F.lag(F.struct("region", "a")).over(across)).where("p.region = region").select("a", F.col("p.a").alias("b"), F.lit(0).alias("depth"))
     pairs = found.where("kind = 0").select("a", "b", "depth").union(edge).where("a <> b")
     pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("trees"), F.sum("depth").alias("depth"))
     pairs = work.write(pairs, "pairs")
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "trees", "depth"))
-    best = both.groupBy("a").agg(F.max(F.struct("trees", "depth", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    best = work.write(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
-    wanted = nodes.join(orders.select("node").distinct(), "node", "left_semi").select("node", "rep")
-    reps = rows.join(work.write(wanted, "wanted"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    sets = work.write(reps.mapInArrow(_sets(shingle), "node long, set array<bigint>").dropDuplicates(["node"]), "sets")
-    links = work.write(_confirm(best, sets, percent), "links")
-    roots = work.write(connected_components(links, work), "roots")
+    mine = Window.partitionBy("a").orderBy(F.col("trees").desc(), F.col("depth").desc(), "b")  # 2 * TREES neighbours at most
+    best = both.withColumn("k", F.row_number().over(mine)).where(F.col("k") <= BEST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    best = work.write(best, "best")
+    links = confirmed(best, "best")
+    roots = work.write(connected_components(links, work), "roots_best")
+    others = rooted(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots).where("ra <> rb").select("a", "b")
+    others = work.write(others, "others")
+    links = links.union(confirmed(others, "others"))
+    roots = work.write(connected_components(links, work.again()), "roots_others")
 
     # 2. pairs across components that meet in a region
     placed = orders.select("region", "node").join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root"))
     placed = work.write(placed, "placed")
     mixed = placed.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
     open_rows = work.write(placed.join(work.write(mixed, "mixed"), "region"), "open")
-    l, r = open_rows.select("region", F.col("node").alias("a"), F.col("root").alias("ra")), open_rows.select("region", F.col("node").alias("b"), F.col("root").alias("rb"))
-    cross = l.join(r, "region").where("a < b and ra <> rb").select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
-    cross = work.write(cross, "cross")
-    error = (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
-    sigs = nodes.select("node", "sig")
-    compared = cross.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
-    likely = work.write(compared.select("a", "b", "x", "y").mapInArrow(_alike(percent / 100 - 7 * error), "a long, b long"), "likely")
-    more = work.write(_confirm(likely, sets, percent), "more")
+    left, right = open_rows.select("region", F.col("node").alias("a"), F.col("root").alias("ra")), open_rows.select("region", F.col("node").alias("b"), F.col("root").alias("rb"))
+    cross = left.join(right, "region").where("a < b and ra <> rb").select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    more = confirmed(work.write(cross, "cross"), "cross")
     if more.limit(1).count():
-        # roots stand for what is known, so only the new links have to be joined up
-        again = connected_components(links.union(more), Workspace(docs.sparkSession, "neardup"))
-        roots = work.write(again, "roots2")
-    work.drop("crowded", "neighbours", "pairs", "sets", "placed", "open", "cross", "likely", "orders")
+        roots = work.write(connected_components(links.union(more), work.again()), "roots_cross")
+    work.drop("crowded", "neighbours", "pairs", "sets", "sigs", "placed", "open", "cross", "best", "others")
     named = signed.select("doc_id", "mark", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = work.write(named.select("doc_id", "mark", "n", "node", "root"), "named")
     least = work.write(named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
