@@ -310,6 +310,16 @@ def test_toxicity(spark):
     assert toxicity.digest(table(spark, []), names).count() == 0
 
 
+def test_toxicity_scores_every_occurrence():
+    model = toxicity.ToxicityModel(np.array([-1.0, 2.0], np.float32), drift=0.1, weights=(-4.0, 0.5, 1.0))
+    words = np.array([[1] + [0] * 9 + [1] * 6 + [0] * 9 + [1] * 3])
+    x = model.tokens(words)
+    assert np.allclose(x, np.where(words[0] == 1, 1.9, -1.1))
+    assert [s[:2] for s in toxicity.maximal_segments(x)] == [(0, 0), (10, 15), (25, 27)]
+    p = [model.probability(toxicity.maximal_segments(model.tokens(np.array([[1, 0] + [1, 1, 0, 1] * k + [0] * (400 - 4 * k)]))), 402) for k in (0, 10, 100)]
+    assert p[0] < 0.5 < p[1] < p[2]
+
+
 def test_decontamination(spark):
     rng = random.Random(1)
     v = "a b c d e é F".split()

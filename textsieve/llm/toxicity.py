@@ -5,7 +5,7 @@ its first four, five and six bytes, so that forms of a known stem count; all are
 model a fixed size. A bucket's score is its log-odds between toxic and clean documents under an informative Dirichlet
 prior (Monroe et al. 2008) in proportion to its frequency, shrunk by its standard error; buckets met in fewer than
 `least` documents or with odds above 0 and below `weak` score 0. A token takes the one of its scores that is furthest from 0, less a drift that makes clean
-text lose score; it counts once in a document. A linear scan (Ruzzo and Tompa 1999) finds every maximal segment; by Karlin and Altschul
+text lose score; in the log-odds it counts once in a document, in the scan every occurrence scores. A linear scan (Ruzzo and Tompa 1999) finds every maximal segment; by Karlin and Altschul
 (1990) a segment of score S in n tokens has the E-value K n exp(-lambda S). lambda solves E[exp(lambda s)] = 1 over the tokens
 of clean documents, K comes from the clean documents' best segments. A logistic curve maps the best segment's and all significant
 segments' evidence to a probability.
@@ -48,15 +48,10 @@ class ToxicityModel:
     e_max: float = 0.01
     constant: float | None = None
 
-    def tokens(self, buckets: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Scores of tokens, given the buckets of each in a column. A token that its document had before scores nothing again."""
+    def tokens(self, buckets: np.ndarray) -> np.ndarray:
+        """Scores of tokens, given the buckets of each in a column. Every occurrence scores, wherever its document had the token before."""
         s = self.score[buckets]
-        s = np.take_along_axis(s, np.abs(s).argmax(0)[None], 0)[0]
-        docs = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-        _, first = np.unique((docs << BITS) | buckets[0], return_index=True)
-        new = np.zeros(len(s), bool)
-        new[first] = True
-        return np.where(new, s, 0) - self.drift
+        return np.take_along_axis(s, np.abs(s).argmax(0)[None], 0)[0] - self.drift
 
     def features(self, segments: list[tuple[int, int, float]], n: int) -> tuple[float, float]:
         base = np.log(self.size * max(n, 1))
@@ -177,7 +172,7 @@ def _best(sent):
         model = sent.value
         for batch in (part for b in batches for part in slices(b, "text", BATCH_BYTES)):
             bucket, begins = _tokens(batch.column(0))
-            x = model.tokens(bucket, begins)
+            x = model.tokens(bucket)
             powers = np.stack([np.add.reduceat(np.append(np.exp(v * x), 0.0), begins[:-1]) * (np.diff(begins) > 0) for v in LAMBDAS], 1) if batch.num_rows else np.empty((0, len(LAMBDAS)))
             totals = [float(x[i:j].sum()) for i, j in zip(begins[:-1], begins[1:], strict=True)]
             segments = [maximal_segments(x[i:j]) for i, j in zip(begins[:-1], begins[1:], strict=True)]
@@ -197,7 +192,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         m = sent.value
         for batch in (part for b in batches for part in slices(b, "text", BATCH_BYTES)):
             bucket, begins = _tokens(batch.column(at))
-            x, k = m.tokens(bucket, begins), batch.num_columns
+            x, k = m.tokens(bucket), batch.num_columns
             scores, spans = [], []
             for i, j in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
                 g, n = maximal_segments(x[i:j]), j - i
