@@ -220,6 +220,24 @@ def test_mixer_is_a_distribution_and_learns():
     assert 0 < np.sum(10.0 ** model.log10(code, *lp(every))) <= 1
 
 
+def test_mixer_learns_every_occurrence_however_the_texts_are_cut():
+    import pyarrow as pa
+
+    code = lmscore.Code(np.ones(256))
+    lines = ["the cat " + "the " * 50, "the dog", "a cat the"] * 3
+
+    def learned(groups):
+        sent = type("Sent", (), {"value": code})
+        batches = [pa.RecordBatch.from_arrays([pa.array(g)], ["text"]) for g in groups]
+        tables = [np.frombuffer(lmscore.zlib.decompress(p), np.uint64) for out in lmscore._learned(sent)(iter(batches)) for kind, p in zip(out["kind"].to_pylist(), out["payload"].to_pylist(), strict=True) if kind == 1]
+        return np.stack(tables)
+
+    whole = learned([lines])
+    bits = sum(code.length[list((w + " ").encode())].sum() for line in lines for w in line.split())
+    assert whole.sum() == bits * lmscore.ORDERS
+    assert (whole == learned([[x] for x in lines])).all()
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, " ".join("w" * rng.randint(0, 60)), rng.choice(("b", "b", "b", "b", "a", "c", None, "É"))) for i in range(300)]
