@@ -370,6 +370,16 @@ def test_secrets(spark):
     assert secrets.digest(secrets.scan_secrets(table(spark, []))).count() == 0
 
 
+def test_secrets_of_one_owner_are_live_in_any_number_of_documents(spark):
+    copied, spread, shared = ("key " + c * 9 + " end" for c in ("Ab3", "Cd4", "Ef5"))
+    rows = [(i, copied, "s1") for i in range(6)] + [(10 + i, f"{spread} {i}", "s1") for i in range(6)] + [(20 + i, f"{shared} {i}", f"s{i % 2}") for i in range(2)]
+    scanned = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(table(spark, rows)).collect()}
+    assert [(scanned[d][0]["documents"], scanned[d][0]["owners"], scanned[d][0]["live"]) for d in (0, 5, 10, 15)] == [(1, 1, True)] * 2 + [(6, 1, True)] * 2
+    assert scanned[20] == scanned[21] == []
+    red = {r["doc_id"]: r["text"] for r in secrets.redact(table(spark, rows)).collect()}
+    assert red == {d: t if d >= 20 else t.replace(t.split()[1], "[SECRET]") for d, t, _ in rows}
+
+
 def test_pipeline(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     work, columns = Workspace(spark, "t"), docs.columns

@@ -2,15 +2,15 @@
 
 Candidates are what three patterns find (assign, access, hex) and mixed tokens (24 or more characters of
 [A-Za-z0-9+/_=-] with a capital, a small letter and a digit). Every candidate's value is hashed; over the whole corpus
-a hash has so many documents (in place of repositories) and so many sources (owners). A value in at most
-`max_owners` sources and `max_documents` documents is owner-specific and looks live; one copied more widely is an
-example. Candidates of the three base kinds are always reported; a mixed token is reported, as kind `token`, only
+a hash has so many documents (distinct texts, in place of repositories) and so many sources (owners). A value in at most
+`max_owners` sources is owner-specific and looks live, in however many documents these have it; one that more sources
+have is an example. Documents are reported and do not decide. Candidates of the three base kinds are always reported; a mixed token is reported, as kind `token`, only
 where it looks live and lies in no base span.
 
 Spans are kind:start:end in code points, end exclusive, by start, then by kind as listed in KINDS.
 
 Defined cases: a null or empty text has no spans; a null source counts as one owner; repeated rows are documents of
-their own and count once in the frequencies if id and source agree; an empty table gives no rows; other columns are
+their own and count once in the frequencies if text and source agree; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -56,17 +56,17 @@ def found(text: Column, kind: str) -> Column:
     return F.when(text.rlike(HINTS[kind]), F.aggregate(each, zero, step, lambda acc: acc["out"])).otherwise(none)
 
 
-def scan_secrets(docs: DataFrame, max_owners: int = 1, max_documents: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, max_owners: int = 1) -> DataFrame:
     """(doc_id, mark, spans array<struct<start, kind, end, value_hash, documents, owners, live>>) for every row of docs; mark is xxhash64 of the text."""
     work = Workspace(docs.sparkSession, "secrets")
     rows = texts(docs, "source").select("doc_id", F.xxhash64("text").alias("mark"), F.col("source").cast("string").alias("source"), *(found(F.col("text"), k).alias(k) for k in KINDS))
     rows = work.write(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "mark", "source", F.concat(*KINDS).alias("found")), "found")
-    each = rows.where(F.size("found") > 0).select("rid", "doc_id", "source", F.explode("found").alias("f"))
-    each = work.write(each.select("rid", "doc_id", "source", F.col("f.kind").alias("kind"), F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.sha2("f.value", 256).alias("value_hash")), "each")
-    # one row per value, source and document first, then per value and source, so that no value's rows meet at once
-    per = each.groupBy("value_hash", "source", "doc_id").agg(F.lit(1).alias("one")).groupBy("value_hash", "source").agg(F.count(F.lit(1)).alias("documents"))
+    each = rows.where(F.size("found") > 0).select("rid", "mark", "source", F.explode("found").alias("f"))
+    each = work.write(each.select("rid", "mark", "source", F.col("f.kind").alias("kind"), F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.sha2("f.value", 256).alias("value_hash")), "each")
+    # one row per value, source and text first, then per value and source, so that no value's rows meet at once
+    per = each.groupBy("value_hash", "source", "mark").agg(F.lit(1).alias("one")).groupBy("value_hash", "source").agg(F.count(F.lit(1)).alias("documents"))
     frequency = work.write(per.groupBy("value_hash").agg(F.sum("documents").alias("documents"), F.count(F.lit(1)).alias("owners")), "frequency")
-    live = (F.col("owners") <= max_owners) & (F.col("documents") <= max_documents)
+    live = F.col("owners") <= max_owners
     judged = each.join(frequency, "value_hash").where(live | (F.col("kind") < KINDS.index("token")))
     one = F.struct("start", "kind", "end", "value_hash", "documents", "owners", live.alias("live"))
     by_row = work.write(judged.groupBy("rid").agg(F.sort_array(F.collect_list(one)).alias("s")), "judged")
@@ -89,13 +89,13 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS[:3]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"))
 
 
-def redact(docs: DataFrame, instead: str = "[SECRET]", max_owners: int = 1, max_documents: int = 3) -> DataFrame:
+def redact(docs: DataFrame, instead: str = "[SECRET]", max_owners: int = 1) -> DataFrame:
     """docs with `instead` in place of every span that looks live; n_chars, if there is such a column, follows.
 
     Only rows with such spans are joined, by id and a hash of the text.
     """
     live = F.filter("spans", lambda x: x["live"])
-    hits = scan_secrets(docs, max_owners, max_documents).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), live.alias("_spans")).where(F.size("_spans") > 0)
+    hits = scan_secrets(docs, max_owners).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), live.alias("_spans")).where(F.size("_spans") > 0)
     hits = Workspace(docs.sparkSession, "redact").write(hits.dropDuplicates(["_id", "_mark"]), "hits")
     text = F.coalesce(docs["text"], F.lit(""))
     joined = docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(hits["_id"]) & (F.xxhash64(text) == hits["_mark"]), "left")
