@@ -338,6 +338,21 @@ def test_toxicity_scores_every_occurrence():
     assert p[0] < 0.5 < p[1] < p[2]
 
 
+def test_toxicity_is_fitted_on_all_segments():
+    import pyarrow as pa
+
+    text = "bad ok ok ok " * 100
+    score = np.full(1 << toxicity.BITS, -1.0, np.float32)
+    score[toxicity._tokens(pa.array(["bad"]))[0][:, 0]] = 2.0
+    model = toxicity.ToxicityModel(score, decay=5.0)
+    batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array([1], pa.int32())], ["text", "toxic"])
+    (out,) = toxicity._best(type("Sent", (), {"value": model}))(iter([batch]))
+    fitted = [(0, 0, float(s)) for s in out["scores"][0].as_py().split()]
+    bucket, _ = toxicity._tokens(batch.column(0))
+    scored = toxicity.maximal_segments(model.tokens(bucket))
+    assert len(scored) == 100 and model.features(fitted, 400) == model.features(scored, 400)
+
+
 def test_decontamination(spark):
     rng = random.Random(1)
     v = "a b c d e é F".split()

@@ -138,7 +138,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, prior
     model = ToxicityModel(np.where((score > 0) & (score < weak), 0, score).astype(np.float32), drift)
     while True:
         sent = docs.sparkSession.sparkContext.broadcast(model)
-        best = rows.mapInArrow(_best(sent), "toxic int, best double, strong string, n long, total double, powers array<double>").toPandas()
+        best = rows.mapInArrow(_best(sent), "toxic int, best double, scores string, n long, total double, powers array<double>").toPandas()
         c = best[best.toxic == 0]
         n_clean = max(int(c.n.sum()), 1)
         mean = float(c.total.sum()) / n_clean
@@ -154,7 +154,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, prior
     else:
         model.decay = LAMBDAS[k]
     model.size = float(np.exp(np.mean(model.decay * c.best - np.log(np.maximum(c.n, 1))) - np.euler_gamma))
-    x = np.array([[1.0, *model.features([(0, 0, float(s)) for s in segs.split()] if segs else [], k)] for segs, k in zip(best.strong, best.n, strict=True)])
+    x = np.array([[1.0, *model.features([(0, 0, float(s)) for s in segs.split()] if segs else [], k)] for segs, k in zip(best.scores, best.n, strict=True)])
     t = best.toxic.to_numpy(float)
     weight = np.where(t > 0, share[1] / max(t.sum(), 1), share[0] / max((1 - t).sum(), 1))  # the sample's labels back to their shares
     weight *= len(t) / weight.sum()
@@ -177,8 +177,8 @@ def _best(sent):
             totals = [float(x[i:j].sum()) for i, j in zip(begins[:-1], begins[1:], strict=True)]
             segments = [maximal_segments(x[i:j]) for i, j in zip(begins[:-1], begins[1:], strict=True)]
             best = [max((s for *_, s in g), default=0.0) for g in segments]
-            top = [" ".join(repr(float(s)) for s in sorted((s for *_, s in g), reverse=True)[:64]) for g in segments]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(best, pa.float64()), pa.array(top), pa.array(np.diff(begins)), pa.array(totals, pa.float64()), pa.array(powers.tolist(), pa.list_(pa.float64()))], ["toxic", "best", "strong", "n", "total", "powers"])
+            every = [" ".join(repr(float(s)) for *_, s in g) for g in segments]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(best, pa.float64()), pa.array(every), pa.array(np.diff(begins)), pa.array(totals, pa.float64()), pa.array(powers.tolist(), pa.list_(pa.float64()))], ["toxic", "best", "scores", "n", "total", "powers"])
 
     return run
 
