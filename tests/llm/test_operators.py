@@ -353,6 +353,17 @@ def test_toxicity_is_fitted_on_all_segments():
     assert len(scored) == 100 and model.features(fitted, 400) == model.features(scored, 400)
 
 
+def test_toxicity_curve_is_fitted_to_the_optimum():
+    rng = np.random.default_rng(3)
+    t = (np.arange(20_000) < 10_000).astype(float)
+    b = np.where(t > 0, rng.uniform(1, 4, len(t)), 0.0)
+    x = np.stack([np.ones(len(t)), np.where(t > 0, rng.uniform(2, 40, len(t)), rng.uniform(-8, -2, len(t))), b], 1)
+    weight = np.where(t > 0, 0.2, 1.8)
+    w, penalty = toxicity._logistic(x, t, weight), np.array([1e-3, 1e-2, 1e-2])
+    p = 1 / (1 + np.exp(-x @ w))
+    assert np.abs(x.T @ (weight * (t - p)) - penalty * w).max() < 1e-3 and ((p >= 0.5) == (t > 0)).all()
+
+
 def test_decontamination(spark):
     rng = random.Random(1)
     v = "a b c d e é F".split()

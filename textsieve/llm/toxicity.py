@@ -110,6 +110,22 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(n[0, k], docs[0])), pa.array(np.append(n[1, k], docs[1]))], ["bucket", "clean", "toxic"])
 
 
+def _logistic(x: np.ndarray, t: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted, penalised logistic regression by Newton steps, each halved until the loss falls."""
+    w, penalty = np.zeros(3), np.array([1e-3, 1e-2, 1e-2])
+    loss = lambda v: float(np.sum(weight * (np.logaddexp(0, x @ v) - t * (x @ v))) + np.sum(penalty * v * v) / 2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        step = np.linalg.solve(h, x.T @ (weight * (t - p)) - penalty * w)
+        while np.abs(step).max() > 1e-9 and not loss(w + step) <= loss(w):
+            step /= 2
+        if np.abs(step).max() <= 1e-9:
+            break
+        w = w + step
+    return w
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, prior: float = 500.0, shrink: float = 1.5, weak: float = 1.5, drift: float = 0.05, least: int = 3) -> ToxicityModel:
     """A model from the labelled documents among docs whose ids are in the training folds (crc32 modulo 5 not 0)."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold() != 0)
@@ -158,12 +174,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, prior
     t = best.toxic.to_numpy(float)
     weight = np.where(t > 0, share[1] / max(t.sum(), 1), share[0] / max((1 - t).sum(), 1))  # the sample's labels back to their shares
     weight *= len(t) / weight.sum()
-    w = np.zeros(3)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1e-2, 1e-2])
-        w += np.clip(np.linalg.solve(h, x.T @ (weight * (t - p)) - np.array([1e-3, 1e-2, 1e-2]) * w), -5, 5)
-    model.weights = tuple(float(v) for v in w)
+    model.weights = tuple(float(v) for v in _logistic(x, t, weight))
     return model
 
 
