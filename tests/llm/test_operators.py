@@ -354,14 +354,15 @@ def test_toxicity_is_fitted_on_all_segments():
 
 
 def test_toxicity_curve_is_fitted_to_the_optimum():
-    rng = np.random.default_rng(3)
-    t = (np.arange(20_000) < 10_000).astype(float)
-    b = np.where(t > 0, rng.uniform(1, 4, len(t)), 0.0)
-    x = np.stack([np.ones(len(t)), np.where(t > 0, rng.uniform(2, 40, len(t)), rng.uniform(-8, -2, len(t))), b], 1)
-    weight = np.where(t > 0, 0.2, 1.8)
-    w, penalty = toxicity._logistic(x, t, weight), np.array([1e-3, 1e-2, 1e-2])
+    rng, n = np.random.default_rng(3), 4000
+    t = (np.arange(n) < n // 2).astype(float)
+    strong = np.where(t > 0, rng.uniform(2.5, 2.6, n), 0.0)
+    best = np.where(t > 0, rng.uniform(5, 10, n), rng.uniform(-8, -2, n))
+    strong[n // 2 : n // 2 + 5], best[n // 2 : n // 2 + 5] = 2.0, 5.0  # a few clean ones with a segment
+    x, weight, penalty = np.stack([np.ones(n), best, strong], 1), np.where(t > 0, 0.2, 1.8), np.array([1e-3, 1e-2, 1e-2])
+    w = toxicity._logistic(x, t, weight)
     p = 1 / (1 + np.exp(-x @ w))
-    assert np.abs(x.T @ (weight * (t - p)) - penalty * w).max() < 1e-3 and ((p >= 0.5) == (t > 0)).all()
+    assert np.abs(x.T @ (weight * (t - p)) - penalty * w).max() < 1e-3 and ((p >= 0.5) == (t > 0)).mean() > 0.99
 
 
 def test_decontamination(spark):
