@@ -172,3 +172,10 @@ def test_stream_scores_like_a_table(spark, tmp_path):
     scoring.score_gaps(scoring.read_documents(spark, str(tmp_path / "in")), model, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     want = sorted(map(str, lm.gap_scores(s, model).collect()))
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).drop("batch").collect())) == want
+
+
+def test_bench_times_every_operator_and_the_pipeline():
+    import __spark_entry__
+    import bench
+
+    assert {n for n in __spark_entry__.queries() if n == "pipeline" or n.startswith("op")} <= set(bench.HEADLINE)
