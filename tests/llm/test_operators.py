@@ -289,6 +289,36 @@ def test_near_duplicates(spark):
     assert neardup.digest(neardup.near_duplicates(table(spark, []), 2)).count() == 0
 
 
+def test_crowded_regions_lose_no_link_and_list_few_pairs(spark, monkeypatch):
+    """A family with edits of all strengths, a part of it with edits in common, truncated copies, and texts that share a passage."""
+    rng, tested = random.Random(12), []
+    base = [f"b{i}" for i in range(120)]
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(500):
+        w = list(base)
+        if i % 5 == 0:  # a family in the family
+            for k in range(0, 30, 4):
+                w[k] = f"sub{k}"
+        for _ in range(rng.randint(0, 16)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(3000)}"
+        rows.append((i, " ".join(w[: rng.randint(70, 120)] if i % 7 == 0 else w)))
+    rows += [(600 + i, " ".join([*passage, *(f"o{rng.randrange(400)}" for _ in range(rng.randint(10, 60)))])) for i in range(200)]
+    confirm = neardup._confirm
+
+    def counted(pairs, *more):
+        tested.append(pairs.count())
+        return confirm(pairs, *more)
+
+    monkeypatch.setattr(neardup, "_confirm", counted)
+    got = neardup.near_duplicates(table(spark, rows), 2).collect()
+    want = brute.components(rows, 2)
+    assert keyed((r["doc_id"], r["n"], r["component_id"]) for r in got) == keyed(want)
+    roots = [c for *_, c in want[:500]]
+    across = sum(x != y for i, x in enumerate(roots) for y in roots[:i])
+    assert len(tested) > 2 and sum(tested) < across / 2 and len(set(roots)) > 50
+
+
 def test_maximal_segments():
     rng = np.random.default_rng(0)
 

@@ -45,10 +45,16 @@ class Workspace:
 
     def drop(self, *tags: str) -> None:
         """Deletes tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for tag in tags:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{tag}")
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(f"{self.root}/{tag}")
+
+    def clear(self) -> None:
+        """Deletes the whole folder."""
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -9,16 +9,17 @@ ring, so an order can be followed to any depth. Nodes that share the first DEPTH
 pair of similarity 0.8 shares none of the 48 regions with a chance of about 5e-7.
 
 1. Neighbours: within a region the order goes on with the following hashes, so that the neighbours of a node have the
-   longest prefixes in common with it: the depth adapts to how crowded the region is. Orders are range-partitioned, so
-   a crowded region is spread over many tasks. Each node's BEST neighbours (most trees, then longest prefix) are
-   confirmed and joined to components; then all other neighbours that lie in different components.
-2. Rest: a region whose nodes are all in one component is done. Where several meet, every pair across components is
-   confirmed.
-
-A pair is confirmed by its hashes first (only pairs 7 standard errors below the threshold are left out), then on full
-sets.
-
-So no region is cut or capped, and pairs inside a component, however large, are never listed.
+   longest prefixes in common with it. Orders are range-partitioned, so a crowded region is spread over many tasks. Each
+   node's BEST neighbours (most trees, then longest prefix) are confirmed and joined to components.
+2. Depth by region: a region whose nodes are all in one component is done. Where several components meet, FEW nodes or
+   less are compared in pairs. A more crowded region is split further: more minimum hashes can't do that, as texts of
+   similarity 0.75 share them nearly as often as texts of 0.8. Its node with the most company becomes the pivot, to
+   which every other is compared. Then a node goes on, in a region of the next level each, under the shingles by which
+   it can still be linked across components (see `_deeper`), and these smaller regions are treated in the same way. From
+   level LEVELS on regions are compared in pairs.
+
+A pair is confirmed by its hashes first (only pairs SIGMAS standard errors below the threshold are left out), then on
+full sets. No region is cut or capped, and pairs inside a component, however large, are never listed.
 
 Shingles are 64-bit hashes, and so are nodes. Defined cases: a null or empty text has the empty set and is linked with
 nothing; rows with a null id take part and get the smallest id of their component (null if there is none); repeated rows
@@ -36,11 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textsieve.llm.bytehash import NOT_SPACE, mix, raw, word_hashes
+from textsieve.llm.bytehash import NOT_SPACE, mix, raw, slices, word_hashes
 from textsieve.llm.common import Workspace, connected_components, texts
 
 TREES, DEPTH, MORE, BEST = 48, 6, 2, 3
 HASHES = TREES * DEPTH
+FEW, LEVELS, SIGMAS, SAMPLE = 8, 5, 6, 64
+BATCH_BYTES = 8 << 20
+RARITY_BITS = 16
+DEEPER = {"kind": np.int32, "key": np.int64, "group": np.int64, "node": np.int64, "root": np.int64, "n": np.int32, "room": np.float64, "mask": np.int64}
 _rng = np.random.Generator(np.random.PCG64(71))
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -73,70 +78,73 @@ def node_of(s: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) if len(s) else None
 
 
-def signature(s: np.ndarray) -> bytes | None:
-    """Minimum hashes, 32 bits each, most significant byte first so that bytes sort as numbers."""
-    if not len(s):
-        return None
+def signature(s: np.ndarray) -> np.ndarray:
+    """Minimum hashes, 32 bits each."""
     low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 2048):
         np.minimum(low, (s[i : i + 2048, None] * _A + _B).min(0), out=low)
-    return (low >> np.uint64(32)).astype(">u4").tobytes()
+    return low >> np.uint64(32)
+
+
+def _regions(sig: np.ndarray) -> np.ndarray:
+    """Of signatures (n, HASHES): the region in each tree, a hash of the tree and its first DEPTH hashes."""
+    first = np.zeros((len(sig), TREES), np.uint64) + np.arange(1, TREES + 1, dtype=np.uint64)
+    for k in range(DEPTH):
+        first = mix(first * _STEP[k] + sig[:, k::DEPTH])
+    return first.view(np.int64)
+
+
+def _list_array(values: np.ndarray, lengths: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values))
 
 
 def _signed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
-                out: list[list] = [[], [], []]
+            for batch in (part for b in batches for part in slices(b, "text", BATCH_BYTES)):
+                sizes, nodes, regions = [], [], []
                 for s in shingle_sets(batch.column("text"), size):
-                    for column, x in zip(out, (len(s), node_of(s), signature(s)), strict=True):
-                        column.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], ["doc_id", "mark", "n", "node", "sig"])
+                    sizes.append(len(s))
+                    nodes.append(node_of(s))
+                    if len(s):
+                        regions.append(signature(s))
+                flat = _regions(np.stack(regions)).ravel() if regions else np.empty(0, np.int64)
+                columns = [batch.column("doc_id"), batch.column("mark"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), _list_array(flat, [TREES * (n > 0) for n in sizes])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n", "node", "regions"])
 
     return run
 
 
 def _sets(size: int):
+    """Of every text that makes the node it is named for: the set, the low bytes of its signature, and in each tree the
+    region and the next MORE hashes as one number."""
+
+    def packed(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        sig = np.stack([signature(s) for s in sets]) if sets else np.empty((0, HASHES), np.uint64)
+        ring = np.roll(sig, -DEPTH, 1)
+        labels = ((ring[:, ::DEPTH] << np.uint64(32)) | ring[:, 1::DEPTH]).view(np.int64)
+        values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+        each = [TREES] * len(sets)
+        columns = [pa.array(nodes, pa.int64()), _list_array(values, [len(s) for s in sets]), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary()), _list_array(_regions(sig).ravel(), each), _list_array(labels.ravel(), each)]
+        return pa.RecordBatch.from_arrays(columns, ["node", "set", "sig", "regions", "labels"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in (part for b in batches for part in slices(b, "text", BATCH_BYTES)):
                 nodes, sets, total = [], [], 0
                 for wanted, s in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text"), size), strict=True):
                     if node_of(s) == wanted:
                         nodes.append(wanted)
-                        sets.append(s.view(np.int64))
+                        sets.append(s)
                         total += len(s)
-                    if total > 1 << 20:
-                        yield _set_batch(nodes, sets)
+                    if total > 1 << 19:
+                        yield packed(nodes, sets)
                         nodes, sets, total = [], [], 0
-                yield _set_batch(nodes, sets)
+                yield packed(nodes, sets)
 
     return run
 
 
-def _set_batch(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-    offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-    values = np.concatenate(sets) if sets else np.empty(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["node", "set"])
-
-
-def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each node and tree: the region (hash of tree and first DEPTH hashes) and the next MORE hashes as one number."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 2000):
-            part = batch.slice(lo, 2000)
-            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), ">u4").reshape(-1, HASHES).astype(np.uint64)
-            nodes = part.column("node").to_numpy()
-            with np.errstate(over="ignore"):
-                first = np.zeros((len(nodes), TREES), np.uint64) + np.arange(1, TREES + 1, dtype=np.uint64)
-                for k in range(DEPTH):
-                    first = mix(first * _STEP[k] + sig[:, k::DEPTH])
-            ring = np.roll(sig, -DEPTH, 1)
-            label = ((ring[:, ::DEPTH] << np.uint64(32)) | ring[:, 1::DEPTH]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, TREES)), pa.array(first.ravel().view(np.int64)), pa.array(label.ravel())], ["node", "region", "label"])
-
-
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that follow each other in sorted rows, with how many more hashes they share; kind 1 marks the partition's
     first and last row, to be paired later."""
@@ -163,48 +171,125 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _alike(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("x", "y"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("x", "y"))
             keep = pa.array((x == y).mean(1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return run
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
-    x = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    xy = x.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, work: Workspace, tag: str) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union on full sets; signatures, 8 bits a hash, come first."""
+    least = percent / 100 + (1 - percent / 100) / 256
+    least -= SIGMAS * (least * (1 - least) / HASHES) ** 0.5
+    sides = lambda df, column: df.join(sets.select(F.col("node").alias("a"), F.col(column).alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col(column).alias("y")), "b")
+    likely = work.write(sides(pairs.select("a", "b"), "sig").select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long"), f"likely_{tag}")
     both = F.size(F.array_intersect("x", "y"))
-    return xy.withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+    xy = sides(likely, "set").withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both")))
+    return work.write(xy.select("a", "b"), f"links_{tag}")
+
+
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many shingles of sets hash to each of 2^RARITY_BITS buckets: a fixed size for any number of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in batches:
+            n += np.bincount(_bucket(batch.column(0).flatten().to_numpy().view(np.uint64)), minlength=len(n))
+        k = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[k])], ["k", "n"])
+
+    out = np.zeros(1 << RARITY_BITS, np.int64)
+    found = sets.select("set").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # 2^RARITY_BITS rows at most
+    out[found["k"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+
+def _consensus(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(group, core) for members (group, node, m): the shingles of more than half of about SAMPLE members of each group.
+
+    What follows holds for any core; a good one only makes the next regions small.
+    """
+    drawn = members.where(F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / SAMPLE)) == 0)
+    drawn = drawn.select("group", "node").join(sets.select("node", "set"), "node")
+    n = drawn.groupBy("group").agg(F.count(F.lit(1)).alias("drawn"))
+    each = drawn.select("group", F.explode("set").alias("shingle")).groupBy("group", "shingle").agg(F.count(F.lit(1)).alias("c"))
+    return each.join(n, "group").where("2 * c > drawn").groupBy("group").agg(F.collect_list("shingle").alias("core"))  # 2 mean set sizes at most
+
+
+def _deeper(sent, percent: int):
+    """Where a member of a group, set x, goes on, given a core P that all members share: A = x - P, R = P - x.
+
+    A link needs 0.8 of the larger set in common, so of the first |x| - 0.8 |x| + 1 shingles of x in one order for all,
+    one is among those of its partner. The order puts A before what lies in P, and rare shingles first. So x is placed
+    under the first of A (kind 0).
+
+    If A has fewer shingles than that (x is near), a link to a near y that has no shingle of A in common lies within P:
+    |P| - |R(x) u R(y)| >= c (|x| + |y|), c = 0.8 / 1.8. With room(x) = |P| - |R(x)| - c |x| that is
+    c |y| + |R(y) - R(x)| <= room(x). Near members are listed by size (kind 1), and those outside the pivot's component
+    under each size that leaves them room (kind 2). A mask of R in 64 bits bounds |R(y) - R(x)| from below.
+    """
+    c = percent / (100 + percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = sent.value
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            out: list[list[np.ndarray]] = [[] for _ in DEEPER]
+            columns = (batch.column(k) for k in ("group", "node", "root", "outside", "x", "core"))
+            for group, node, root, outside, x, core in zip(*(v.to_pylist() if k < 4 else v for k, v in enumerate(columns)), strict=True):
+                x = np.sort(x.values.to_numpy().view(np.uint64))
+                core = np.sort(core.values.to_numpy().view(np.uint64)) if core.is_valid else np.empty(0, np.uint64)
+                more, less = np.setdiff1d(x, core, True), np.setdiff1d(core, x, True)
+                first = len(x) + (-percent * len(x)) // 100 + 1
+                top = more[np.lexsort((more, rarity[_bucket(more)]))][:first]
+                room = len(core) - len(less) - c * len(x)
+                mask = int(np.bitwise_or.reduce(np.uint64(1) << (less & np.uint64(63)), initial=np.uint64(0)).view(np.int64))
+                mine = [(0, mix(top + mix(np.array([group], np.int64).view(np.uint64))).view(np.int64))]
+                if len(more) < first:
+                    mine.append((1, np.array([len(x)])))
+                    if outside:
+                        mine.append((2, np.arange(-(-percent * len(x) // 100), min(int((room + 1e-9) / c), len(x) * 100 // percent) + 1)))
+                for kind, keys in mine:
+                    values = (kind, keys, group, node, root, len(x), room, mask)
+                    for column, v, t in zip(out, values, DEEPER.values(), strict=True):
+                        column.append(v if v is keys else np.full(len(keys), v, t))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.empty(0, t), pa.from_numpy_dtype(t)) for v, t in zip(out, DEEPER.values(), strict=True)], list(DEEPER))
+
+    def quiet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            yield from run(batches)
+
+    return quiet
+
+
+def _within_core(deeper: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of near members of different components that have room for a link within the core."""
+    c = percent / (100 + percent)
+    side = lambda k, s: deeper.where(F.col("kind") == k).select("group", F.col("key").alias("size"), *(F.col(v).alias(f"{v}_{s}") for v in ("node", "root", "n", "room", "mask")))
+    fits = lambda x, y: c * F.col(f"n_{y}") + F.bit_count(F.col(f"mask_{y}").bitwiseAND(F.bitwise_not(f"mask_{x}"))) <= F.col(f"room_{x}") + 1e-6
+    met = side(2, "x").join(side(1, "y"), ["group", "size"]).where((F.col("root_x") != F.col("root_y")) & fits("x", "y") & fits("y", "x"))
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, mark, n, node, root, component_id) for every row of docs; mark is xxhash64 of the text."""
-    work = Workspace(docs.sparkSession, "neardup")
+    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "neardup")
     rows = texts(docs).withColumn("mark", F.xxhash64("text"))
-    signed = work.write(rows.mapInArrow(_signed(shingle), "doc_id long, mark long, n long, node long, sig binary"), "signed")
-    orders = work.write(signed.where("node is not null").select("node", "sig").mapInArrow(_orders, "node long, region long, label long"), "orders")
-    shared = orders.groupBy("region").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("region")
-    orders = work.write(orders.join(work.write(shared, "shared"), "region").select("node", "region", "label").distinct(), "crowded")
-    work.drop("orders", "shared")
-    wanted = work.write(orders.select("node").distinct(), "wanted")
+    signed = work.write(rows.mapInArrow(_signed(shingle), "doc_id long, mark long, n long, node long, regions array<bigint>"), "signed")
+    placed = signed.select("node", F.explode("regions").alias("region"))
+    shared = placed.groupBy("region").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("region")
+    shared = work.write(shared, "shared")
+    wanted = work.write(placed.join(shared, "region").select("node").distinct(), "wanted")
     reps = work.write(signed.select("node", "doc_id").join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
-    first_rows = signed.select("node", "doc_id", "sig").join(reps, "node").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    sigs = work.write(first_rows.select("node", "sig").dropDuplicates(["node"]), "sigs")
     with_text = rows.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    sets = work.write(with_text.mapInArrow(_sets(shingle), "node long, set array<bigint>").dropDuplicates(["node"]), "sets")
-
-    def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
-        error = (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
-        x = pairs.select("a", "b").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a")
-        xy = x.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y")
-        likely = work.write(xy.mapInArrow(_alike(percent / 100 - 7 * error), "a long, b long"), f"likely_{tag}")
-        return work.write(_confirm(likely, sets, percent), f"links_{tag}")
-
-    def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """Adds ra and rb, the components of a and b."""
-        x = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-        return x.join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")})
+    made = with_text.mapInArrow(_sets(shingle), "node long, set array<bigint>, sig binary, regions array<bigint>, labels array<bigint>")
+    sets = work.write(made.dropDuplicates(["node"]), "sets")
+    orders = sets.select("node", F.explode(F.arrays_zip("regions", "labels")).alias("o")).select("node", F.col("o.regions").alias("region"), F.col("o.labels").alias("label"))
+    orders = work.write(orders.join(shared, "region").select("node", "region", "label"), "orders")
 
     # 1. neighbours in the sorted orders
     sorted_rows = orders.repartitionByRange("region", "label", "node").sortWithinPartitions("region", "label", "node").select("node", "region", "label")
@@ -217,25 +302,60 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "trees", "depth"))
     mine = Window.partitionBy("a").orderBy(F.col("trees").desc(), F.col("depth").desc(), "b")  # 2 * TREES neighbours at most
     best = both.withColumn("k", F.row_number().over(mine)).where(F.col("k") <= BEST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    best = work.write(best, "best")
-    links = confirmed(best, "best")
-    roots = work.write(connected_components(links, work), "roots_best")
-    others = rooted(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots).where("ra <> rb").select("a", "b")
-    others = work.write(others, "others")
-    links = links.union(confirmed(others, "others"))
-    roots = work.write(connected_components(links, work.again()), "roots_others")
-
-    # 2. pairs across components that meet in a region
-    placed = orders.select("region", "node").join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root"))
-    placed = work.write(placed, "placed")
-    mixed = placed.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
-    open_rows = work.write(placed.join(work.write(mixed, "mixed"), "region"), "open")
-    left, right = open_rows.select("region", F.col("node").alias("a"), F.col("root").alias("ra")), open_rows.select("region", F.col("node").alias("b"), F.col("root").alias("rb"))
-    cross = left.join(right, "region").where("a < b and ra <> rb").select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    more = confirmed(work.write(cross, "cross"), "cross")
-    if more.limit(1).count():
-        roots = work.write(connected_components(links.union(more), work.again()), "roots_cross")
-    work.drop("crowded", "neighbours", "pairs", "sets", "sigs", "placed", "open", "cross", "best", "others")
+    roots = work.write(connected_components(_confirm(work.write(best, "best"), sets, percent, work, "best"), work), "roots")
+    work.drop("neighbours", "pairs", "best", "shared", "wanted")
+
+    # 2. regions where components meet, level by level
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    regions, more, level, rarity = orders.select("region", "node"), None, 0, None
+    while True:
+        step = work.again()
+
+        def rooted(df: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
+            return df.join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))  # noqa: B023
+
+        inside = step.write(rooted(regions), "inside")
+        mixed = inside.groupBy("region", "root").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("node") % (1 << 40)).alias("h"))
+        mixed = mixed.groupBy("region").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.sum("h").alias("h"))
+        mixed = mixed.withColumn("cross", (F.col("m") * F.col("m") - F.col("same")) / 2).where("cross > 0")
+        mixed = mixed.select("region", "m", "h", (F.col("cross") <= FEW * F.col("m")).alias("few")) if level < LEVELS else mixed.select("region", "m", "h", F.lit(True).alias("few"))
+        mixed = step.write(mixed, "mixed")
+        once = mixed.groupBy("m", "h").agg(F.min(F.struct("region", "few")).alias("r")).select("r.region", "m", "r.few")  # regions of the same nodes are one
+        inside = step.write(inside.join(once, "region"), "open")
+        left, right = (inside.where("few").select("region", F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+        tests = left.join(right, "region").where("a < b and ra <> rb").select("a", "b")
+        large = inside.where("not few")
+        members = None
+        if large.limit(1).count():
+            company = step.write(large.groupBy("node").agg(F.sum("m").alias("company")), "company")
+            pivots = large.join(company, "node").groupBy("region").agg(F.max(F.struct("company", "node")).alias("p")).select("region", F.col("p.node").alias("pivot"))
+            # at first regions with the same pivot are one group; later each stays alone, so that groups shrink
+            placed = large.select("region", "node").join(step.write(pivots, "pivots"), "region")
+            members = step.write(placed.select((F.col("pivot") if level == 0 else F.col("region")).alias("group"), "pivot", "node").distinct(), "members")
+            tests = tests.union(rooted(rooted(members), "pivot", "rp").where("root <> rp").select(*pair("pivot", "node")))
+        if more is not None:
+            tests = tests.union(rooted(rooted(more, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b"))
+        links = _confirm(step.write(tests.distinct(), "tests"), sets, percent, step, "step")
+        if links.limit(1).count():
+            roots = work.write(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), step), f"roots{level}")
+        if members is None:
+            break
+        placed = rooted(rooted(members), "pivot", "rp").select("group", "node", "root", (F.col("root") != F.col("rp")).alias("outside"))
+        placed = step.write(placed, "placed")
+        still = placed.groupBy("group").agg(F.max("outside").alias("any"), F.count(F.lit(1)).alias("m")).where("any").select("group", "m")
+        placed = step.write(placed.join(step.write(still, "still"), "group"), "left")
+        cores = step.write(_consensus(placed, sets), "cores")
+        rarity = spark.sparkContext.broadcast(_rarity(sets)) if rarity is None else rarity
+        with_sets = placed.join(sets.select("node", F.col("set").alias("x")), "node").join(cores, "group", "left")
+        kinds = "kind int, key long, group long, node long, root long, n int, room double, mask long"
+        deeper = step.write(with_sets.select("group", "node", "root", "outside", "x", "core").mapInArrow(_deeper(rarity, percent), kinds), "deeper")
+        more = work.write(_within_core(deeper, percent), f"more{level}")
+        lists = deeper.where("kind = 0").select(F.col("key").alias("region"), "node", "root")
+        useful = lists.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
+        regions = work.write(lists.join(step.write(useful, "useful"), "region").select("region", "node").distinct(), f"regions{level}")
+        step.clear()
+        level += 1
+    work.drop("orders", "sets")
     named = signed.select("doc_id", "mark", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = work.write(named.select("doc_id", "mark", "n", "node", "root"), "named")
     least = work.write(named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
