@@ -5,26 +5,37 @@ an item; an item of fewer words (but not none) is one window. The automaton of a
 words; wherever the length matched so far reaches a window, its words are hit and the window's items are noted.
 Only runs of words in which every neighbouring pair occurs in some item are streamed, as no window can lie elsewhere.
 
-Items are collected in blocks of at most `block_words` words, so that an automaton has a bounded size; with more items
-than one block holds, the documents pass through the blocks one after the other and hits and items are united.
+Items come to the driver in blocks of at most `block_words` words, so that an automaton has a bounded size; with more
+items than one block holds, the texts pass through the blocks one after the other and written hits are united.
 
 Defined cases: a null or empty text has no words; a null or wordless item has no windows; items with a null id mark
-words but are never named; repeated items count once; empty tables give no rows or no hits; other columns are
-carried along unread.
+words but are never named; repeated items count once; repeated rows are documents of their own; a very long text is
+one part of its own; empty tables give no rows or no hits; other columns are carried along unread.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from textsieve.llm.bytehash import ALNUM, mix, raw, word_hashes
+from textsieve.llm.bytehash import ALNUM, mix, raw, slices, word_hashes
+from textsieve.llm.common import Workspace
 
-SPANS = "array<struct<first:int,last:int,from:bigint,to:bigint>>"
+BATCH_BYTES = 4 << 20
+_SPAN = StructType([StructField("first", IntegerType()), StructField("last", IntegerType()), StructField("from", LongType()), StructField("to", LongType())])
+FOUND = [StructField("n_words", LongType()), StructField("hits", ArrayType(_SPAN)), StructField("items", ArrayType(LongType()))]
+_FOUND_ARROW = [
+    pa.field("n_words", pa.int64()),
+    pa.field("hits", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("from", pa.int64()), ("to", pa.int64())]))),
+    pa.field("items", pa.list_(pa.int64())),
+]
 
 
 def pair_hashes(h: np.ndarray) -> np.ndarray:
@@ -145,71 +156,105 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int |
     yield now
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 500_000) -> DataFrame:
-    """docs with n_words, hits (maximal runs of hit words: first, last word and bytes from, to) and items (ids, sorted)."""
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast(SPANS), "items": F.array().cast("array<bigint>")})
-    schema, at = out.schema, docs.columns.index("text")
-    for block in _blocks(benchmark, block_words):
-        model = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window))
-        out = out.mapInArrow(_matcher(model, at), schema)
-    return out
+def _scan(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, names: list[str], max_coverage: float | None = None) -> DataFrame:
+    """docs with n_words, hits and items under the given names at the end. With max_coverage, rows of more coverage go and
+    hits are cut from the text of the others. One pass in Python over parts of bounded size; docs has the column text.
 
+    If the items fill more than one block, each block is run on its own over the texts first and its hits are written, so
+    that one automaton at a time is in memory; the pass then reads the hits by a hash of the text.
+    """
+    spark = docs.sparkSession
+    automata = (SuffixAutomaton(block, window) for block in _blocks(benchmark, block_words))
+    first, second = next(automata), next(automata, None)
+    columns = docs.columns
+    out = StructType([*(StructField(f"c{k}", f.dataType, True) for k, f in enumerate(docs.schema)), *FOUND])
+    rows = docs.toDF(*(f"c{k}" for k in range(len(columns))))
+    at = columns.index("text")
+    if second is None:
+        sent = spark.sparkContext.broadcast(first)
+        found = rows.mapInArrow(_matcher(sent, at, False, max_coverage), out)
+    else:
+        work = Workspace(spark, "blocks")
+        mark = F.xxhash64(F.coalesce(f"c{at}", F.lit("")))
+        once = rows.select(F.col(f"c{at}").alias("text"), mark.alias("mark"))
+        parts = []
+        for k, automaton in enumerate(chain((first, second), automata)):
+            sent = spark.sparkContext.broadcast(automaton)
+            part = once.mapInArrow(_matcher(sent, 0, False, None), StructType([StructField("text", StringType()), StructField("mark", LongType()), *FOUND]))
+            parts.append(work.write(part.where("size(hits) > 0").select("mark", "hits", "items").dropDuplicates(["mark"]), f"block{k}"))
+            sent.destroy()
+        every = reduce(DataFrame.union, parts).groupBy("mark").agg(F.flatten(F.collect_list("hits")).alias("old_hits"), F.flatten(F.collect_list("items")).alias("old_items"))  # a row per block and text
+        every = work.write(every, "every")
+        joined = rows.withColumn("mark", mark).join(every, "mark", "left").select(*rows.columns, "old_hits", "old_items")
+        found = joined.mapInArrow(_matcher(None, at, True, max_coverage), out)
+    return found.toDF(*columns, *names)
 
-def _matcher(model, at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = model.value
-        for batch in batches:
-            n = batch.num_columns
-            data, offsets = raw(batch.column(at))
-            h, owner, froms, tos = word_hashes(data, offsets, ALNUM, spans=True)
-            hits: dict[int, np.ndarray] = {}
-            items: dict[int, set] = {}
-            begins = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            for i, j in automaton.runs(h, owner):
-                doc = int(owner[i])
-                for a, b, named in automaton.matches(h[i:j].tolist()):
-                    if doc not in hits:
-                        hits[doc], items[doc] = np.zeros(begins[doc + 1] - begins[doc], bool), set()
-                    hits[doc][a + i - begins[doc] : b + i - begins[doc]] = True
-                    items[doc] |= named
-            old_hits, old_items = batch.column(n - 2), batch.column(n - 1)
-            out_hits, out_items = [], []
-            for d in range(batch.num_rows):
-                if d not in hits:
-                    out_hits.append(old_hits[d].as_py())
-                    out_items.append(old_items[d].as_py())
-                    continue
-                mask = hits[d]
-                for s in old_hits[d].as_py():
-                    mask[s["first"] : s["last"] + 1] = True
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-                a, b = edge[::2], edge[1::2] - 1
-                f, t = froms[begins[d] + a] - offsets[d], tos[begins[d] + b] - offsets[d]
-                out_hits.append([{"first": w, "last": x, "from": y, "to": z} for w, x, y, z in zip(a.tolist(), b.tolist(), f.tolist(), t.tolist(), strict=True)])
-                out_items.append(sorted({*old_items[d].as_py(), *(x for x in items[d] if x is not None)}))
-            columns = [batch.column(k) for k in range(n - 3)] + [pa.array(np.diff(begins), pa.int64()), pa.array(out_hits, batch.schema.field(n - 2).type), pa.array(out_items, batch.schema.field(n - 1).type)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return run
 
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 500_000) -> DataFrame:
+    """docs with n_words, hits (maximal runs of hit words: first, last word and bytes from, to) and items (ids, sorted).
 
-def _cutter(at: int):
-    """Texts without the bytes of their hits, which begin and end between characters."""
+    Columns of docs with these three names are replaced.
+    """
+    names = ["n_words", "hits", "items"]
+    return _scan(docs.select(*(docs[c] for c in docs.columns if c not in names)), benchmark, window, block_words, names)
+
+
+def _matcher(sent, at: int, given: bool, max_coverage: float | None):
+    """sent: the automaton, or none if the last two columns (given) have the hits and items."""
+
+    def found_in(batch: pa.RecordBatch) -> pa.RecordBatch:
+        automaton = sent.value if sent is not None else None
+        n = batch.num_columns - 2 * given
+        data, offsets = raw(batch.column(at))
+        h, owner, froms, tos = word_hashes(data, offsets, ALNUM, spans=True)
+        begins = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+        masks: dict[int, np.ndarray] = {}
+        items: dict[int, set] = {}
+        mask_of = lambda d: masks.setdefault(d, np.zeros(begins[d + 1] - begins[d], bool))
+        if automaton is not None:
+            for i, j in automaton.runs(h, owner):
+                d = int(owner[i])
+                for a, b, named in automaton.matches(h[i:j].tolist()):
+                    mask_of(d)[a + i - begins[d] : b + i - begins[d]] = True
+                    items.setdefault(d, set()).update(named)
+        if given:
+            for d in np.flatnonzero(batch.column(n).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                for s in batch.column(n)[d].as_py():
+                    mask_of(d)[s["first"] : s["last"] + 1] = True
+                items[d] = set(batch.column(n + 1)[d].as_py())
+        hits, named, keep, texts = [], [], [], batch.column(at)
+        new: dict[int, str] = {}
+        for d in range(batch.num_rows):
+            if d not in masks:
+                hits.append([])
+                named.append([])
+                keep.append(True)
+                continue
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], masks[d].view(np.int8), [0]))))
+            a, b = edge[::2], edge[1::2] - 1
+            f, t = froms[begins[d] + a] - offsets[d], tos[begins[d] + b] - offsets[d]
+            hits.append([{"first": w, "last": x, "from": y, "to": z} for w, x, y, z in zip(a.tolist(), b.tolist(), f.tolist(), t.tolist(), strict=True)])
+            named.append(sorted(x for x in items[d] if x is not None))
+            keep.append(max_coverage is None or masks[d].sum() <= max_coverage * len(masks[d]))
+            if max_coverage is not None and keep[-1]:  # hits begin and end between characters
+                whole = data[offsets[d] : offsets[d + 1]]
+                cut = [whole[i:j].tobytes() for i, j in zip([0, *t.tolist()], [*f.tolist(), len(whole)], strict=True)]
+                new[d] = b"".join(cut).decode()
+        if new:
+            pieces, last = [], 0  # unchanged stretches are shared, not copied
+            for d, text in sorted(new.items()):
+                pieces += [texts.slice(last, d - last), pa.array([text], texts.type)]
+                last = d + 1
+            texts = pa.concat_arrays([*pieces, texts.slice(last)])
+        kinds = [f.type for f in _FOUND_ARROW]
+        columns = [texts if k == at else batch.column(k) for k in range(n)] + [pa.array(np.diff(begins), kinds[0]), pa.array(hits, kinds[1]), pa.array(named, kinds[2])]
+        made = pa.RecordBatch.from_arrays(columns, [f"c{k}" for k in range(n)] + [f.name for f in _FOUND_ARROW])
+        return made if all(keep) else made.filter(pa.array(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, hits in zip(batch.column(at), batch.column(batch.num_columns - 2), strict=True):
-                if len(hits.values):
-                    data, last, kept = text.as_buffer().to_pybytes(), 0, []
-                    for h in hits.as_py():
-                        kept.append(data[last : h["from"]])
-                        last = h["to"]
-                    out.append(b"".join([*kept, data[last:]]).decode())
-                else:
-                    out.append(text.as_py())
-            columns = [pa.array(out, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            for part in slices(batch, at, BATCH_BYTES):
+                yield found_in(part)
 
     return run
 
@@ -223,18 +268,15 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit() > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, block_words: int = 500_000) -> DataFrame:
     """docs without those of whose words more than max_coverage are hit; from the others the hit spans are cut.
 
     A cut goes from the first byte of the first hit word to the end of the last; the column n_chars, if there is one,
-    follows the new text. Documents without a hit stay as they are.
+    follows the new text. Documents without a hit stay as they are, null texts too.
     """
-    # the columns stand apart under positions, so that no name of the table can clash
-    names = docs.columns
-    plain = docs.select(*(docs[c].alias(f"_{k}") for k, c in enumerate(names)), docs["text"].alias("text"))
-    found = find_contamination(plain, benchmark, window).where((F.col("n_words") == 0) | (n_hit() <= max_coverage * F.col("n_words")))
-    at = found.columns.index("text")
-    found = found.mapInArrow(_cutter(at), found.schema)
-    text = F.when(F.size("hits") > 0, F.col("text")).otherwise(F.col(f"_{names.index('text')}"))
-    new = {"text": text, "n_chars": F.when(F.size("hits") > 0, F.length(text)).otherwise(F.col(f"_{names.index('n_chars')}")) if "n_chars" in names else None}
-    return found.select(*((new[c] if new.get(c) is not None else F.col(f"_{k}")).cast(docs.schema[c].dataType).alias(c) for k, c in enumerate(names)))
+    names, extra = docs.columns, [f"_found{k}" for k in range(3)]  # the columns go by position, so that no name can clash
+    found = _scan(docs, benchmark, window, block_words, extra, max_coverage)
+    if "n_chars" not in names:
+        return found.drop(*extra)
+    n_chars = F.when(F.size(extra[1]) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.withColumn("n_chars", n_chars).drop(*extra)
