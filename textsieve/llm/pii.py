@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textsieve.llm.bytehash import slices
 from textsieve.llm.common import texts
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS, WINDOW, AROUND = 5, 32, 2
+BATCH_BYTES = 8 << 20
 # The base patterns. The look-behinds only skip starts that cannot match or lie in a longer match.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -214,7 +216,7 @@ class SemiMarkov:
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows as own texts, with their base spans, and a hash to order them by."""
-    for batch in batches:
+    for batch in (part for b in batches for part in slices(b, 0, BATCH_BYTES)):
         out = []
         for text in batch.column(0).to_pylist():
             spans = base_spans(text)
@@ -251,7 +253,7 @@ def find_pii(docs: DataFrame, model: SemiMarkov | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field_model, kind = sent.value, pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
         as_rows = lambda xs: [dict(zip(("start", "kind", "end"), x, strict=True)) for x in xs]
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1, BATCH_BYTES)):
             base, added = [], []
             for text in batch.column(1).to_pylist():
                 own = base_spans(text)

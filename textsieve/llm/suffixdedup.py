@@ -33,11 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textsieve.llm.bytehash import BLOCK, mix, prefix, raw, substring
+from textsieve.llm.bytehash import BLOCK, mix, prefix, raw, slices, substring
 from textsieve.llm.common import Workspace, texts
 
 W = 256
 CELLS = (32, 4, 1)
+BATCH_BYTES = 8 << 20
 _INDEX = np.uint64((1 << 24) - 1)
 
 
@@ -64,7 +65,7 @@ def elected(b: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, n
 
 def _positions(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1, BATCH_BYTES)):
             data, offsets = raw(batch.column(1))
             rids = batch.column(0).to_numpy()
             lo = 0
@@ -162,7 +163,7 @@ def repeated_spans(docs: DataFrame, work: Workspace, length: int) -> DataFrame:
 
 def _around(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, "text", BATCH_BYTES)):
             out: list[list] = [[], [], [], []]
             size = 0
             for rid, text, at in zip(batch.column("rid").to_pylist(), batch.column("text"), batch.column("at").to_pylist(), strict=True):
@@ -186,7 +187,7 @@ def _bytes_batch(out: list[list]) -> pa.RecordBatch:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for b in batches for part in slices(b, "text", BATCH_BYTES)):
         out: list[list] = [[], [], [], [], []]
         for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
             b = text.as_buffer().to_pybytes() if text.is_valid else b""

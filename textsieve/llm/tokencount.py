@@ -21,12 +21,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from textsieve.llm.bytehash import slices
 from textsieve.llm.common import texts
 
 #: Fixed value: the pattern that belongs to the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CACHE = 200_000
+BATCH_BYTES = 8 << 20
 
 
 def read_vocab(path: str = DEFAULT_VOCAB, max_vocab: int = 1_000_000) -> list[bytes]:
@@ -88,7 +90,7 @@ def count_tokens(docs: DataFrame, vocab: list[bytes] | None = None, pattern: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, words, seen = LongestMatch(sent.value), regex.compile(pattern), {}
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1, BATCH_BYTES)):
             out = [[], [], []]
             for text in batch.column(1).to_pylist():
                 tokens = n = 0
