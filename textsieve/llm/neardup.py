@@ -29,6 +29,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +44,8 @@ from textsieve.llm.common import Workspace, connected_components, texts
 TREES, DEPTH, MORE, BEST = 48, 6, 2, 3
 HASHES = TREES * DEPTH
 FEW, LEVELS, SIGMAS, SAMPLE = 8, 5, 6, 64
-BATCH_BYTES = 8 << 20
-RARITY_BITS = 16
+BATCH_BYTES = 4 << 20
+RARITY_BITS, MAP_BITS = 16, 27
 DEEPER = {"kind": np.int32, "key": np.int64, "group": np.int64, "node": np.int64, "root": np.int64, "n": np.int32, "room": np.float64, "mask": np.int64}
 _rng = np.random.Generator(np.random.PCG64(71))
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,32 +116,48 @@ def _signed(size: int):
     return run
 
 
-def _sets(size: int):
-    """Of every text that makes the node it is named for: the set, the low bytes of its signature, and in each tree the
+def _marked_ids(reps: DataFrame, n: int) -> np.ndarray:
+    """A bitmap of hashed ids, at least 16 bits an id up to 2^MAP_BITS in all; a full one only lets more texts through."""
+    bits = min(max(16 * n, 1 << 10).bit_length(), MAP_BITS)
+    out = np.zeros(1 << bits, bool)
+    at = F.shiftrightunsigned(F.xxhash64("rep"), 64 - bits).alias("at")
+    for r in reps.select(F.shiftright(at, 6).alias("w"), at.bitwiseAND(F.lit(63)).alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(b as int))")).alias("m")).toArrow().to_batches():
+        words = r.column(1).to_numpy().view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)
+        at_ = (r.column(0).to_numpy()[:, None] * 64 + np.arange(64))[words.astype(bool)]
+        out[at_] = True
+    return np.packbits(out)
+
+
+def _sets(size: int, sent):
+    """Of the texts whose ids' hashes are marked: the node, the set, the low bytes of the signature, and in each tree the
     region and the next MORE hashes as one number."""
 
-    def packed(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    def packed(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         sig = np.stack([signature(s) for s in sets]) if sets else np.empty((0, HASHES), np.uint64)
         ring = np.roll(sig, -DEPTH, 1)
         labels = ((ring[:, ::DEPTH] << np.uint64(32)) | ring[:, 1::DEPTH]).view(np.int64)
         values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
         each = [TREES] * len(sets)
-        columns = [pa.array(nodes, pa.int64()), _list_array(values, [len(s) for s in sets]), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary()), _list_array(_regions(sig).ravel(), each), _list_array(labels.ravel(), each)]
-        return pa.RecordBatch.from_arrays(columns, ["node", "set", "sig", "regions", "labels"])
+        columns = [pa.array(ids, pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), _list_array(values, [len(s) for s in sets]), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary()), _list_array(_regions(sig).ravel(), each), _list_array(labels.ravel(), each)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "set", "sig", "regions", "labels"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.unpackbits(sent.value)
+        shift = np.uint64(64 - (len(marked).bit_length() - 1))
         with np.errstate(over="ignore"):
-            for batch in (part for b in batches for part in slices(b, "text", BATCH_BYTES)):
-                nodes, sets, total = [], [], 0
-                for wanted, s in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text"), size), strict=True):
-                    if node_of(s) == wanted:
-                        nodes.append(wanted)
-                        sets.append(s)
-                        total += len(s)
-                    if total > 1 << 19:
-                        yield packed(nodes, sets)
-                        nodes, sets, total = [], [], 0
-                yield packed(nodes, sets)
+            for batch in batches:
+                hit = marked[(batch.column("h").to_numpy().view(np.uint64) >> shift).astype(np.int64)] > 0
+                for part in slices(batch.filter(pa.array(hit)), "text", BATCH_BYTES):
+                    ids, sets, total = [], [], 0
+                    for i, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), size), strict=True):
+                        if len(s):
+                            ids.append(i)
+                            sets.append(s)
+                            total += len(s)
+                        if total > 1 << 18:
+                            yield packed(ids, sets)
+                            ids, sets, total = [], [], 0
+                    yield packed(ids, sets)
 
     return run
 
@@ -221,6 +238,11 @@ def _consensus(members: DataFrame, sets: DataFrame) -> DataFrame:
     return each.join(n, "group").where("2 * c > drawn").groupBy("group").agg(F.collect_list("shingle").alias("core"))  # 2 mean set sizes at most
 
 
+def _size_class(n: int) -> int:
+    """Sizes within an eighth of each other, about."""
+    return int(8 * math.log(max(n, 1)))
+
+
 def _deeper(sent, percent: int):
     """Where a member of a group, set x, goes on, given a core P that all members share: A = x - P, R = P - x.
 
@@ -230,8 +252,8 @@ def _deeper(sent, percent: int):
 
     If A has fewer shingles than that (x is near), a link to a near y that has no shingle of A in common lies within P:
     |P| - |R(x) u R(y)| >= c (|x| + |y|), c = 0.8 / 1.8. With room(x) = |P| - |R(x)| - c |x| that is
-    c |y| + |R(y) - R(x)| <= room(x). Near members are listed by size (kind 1), and those outside the pivot's component
-    under each size that leaves them room (kind 2). A mask of R in 64 bits bounds |R(y) - R(x)| from below.
+    c |y| + |R(y) - R(x)| <= room(x). Near members are listed by a class of sizes (kind 1), and those outside the pivot's
+    component under each class that leaves them room (kind 2). A mask of R in 64 bits bounds |R(y) - R(x)| from below.
     """
     c = percent / (100 + percent)
 
@@ -250,9 +272,10 @@ def _deeper(sent, percent: int):
                 mask = int(np.bitwise_or.reduce(np.uint64(1) << (less & np.uint64(63)), initial=np.uint64(0)).view(np.int64))
                 mine = [(0, mix(top + mix(np.array([group], np.int64).view(np.uint64))).view(np.int64))]
                 if len(more) < first:
-                    mine.append((1, np.array([len(x)])))
+                    mine.append((1, np.array([_size_class(len(x))])))
                     if outside:
-                        mine.append((2, np.arange(-(-percent * len(x) // 100), min(int((room + 1e-9) / c), len(x) * 100 // percent) + 1)))
+                        least, most = -(-percent * len(x) // 100), min(int((room + 1e-9) / c), len(x) * 100 // percent)
+                        mine.append((2, np.arange(_size_class(least), _size_class(most) + 1 if most >= least else 0)))
                 for kind, keys in mine:
                     values = (kind, keys, group, node, root, len(x), room, mask)
                     for column, v, t in zip(out, values, DEEPER.values(), strict=True):
@@ -269,9 +292,9 @@ def _deeper(sent, percent: int):
 def _within_core(deeper: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of near members of different components that have room for a link within the core."""
     c = percent / (100 + percent)
-    side = lambda k, s: deeper.where(F.col("kind") == k).select("group", F.col("key").alias("size"), *(F.col(v).alias(f"{v}_{s}") for v in ("node", "root", "n", "room", "mask")))
+    side = lambda k, s: deeper.where(F.col("kind") == k).select("group", F.col("key").alias("sizes"), *(F.col(v).alias(f"{v}_{s}") for v in ("node", "root", "n", "room", "mask")))
     fits = lambda x, y: c * F.col(f"n_{y}") + F.bit_count(F.col(f"mask_{y}").bitwiseAND(F.bitwise_not(f"mask_{x}"))) <= F.col(f"room_{x}") + 1e-6
-    met = side(2, "x").join(side(1, "y"), ["group", "size"]).where((F.col("root_x") != F.col("root_y")) & fits("x", "y") & fits("y", "x"))
+    met = side(2, "x").join(side(1, "y"), ["group", "sizes"]).where((F.col("root_x") != F.col("root_y")) & fits("x", "y") & fits("y", "x"))
     return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
@@ -285,8 +308,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     shared = work.write(shared, "shared")
     wanted = work.write(placed.join(shared, "region").select("node").distinct(), "wanted")
     reps = work.write(signed.select("node", "doc_id").join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
-    with_text = rows.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    made = with_text.mapInArrow(_sets(shingle), "node long, set array<bigint>, sig binary, regions array<bigint>, labels array<bigint>")
+    sent = spark.sparkContext.broadcast(_marked_ids(reps, reps.count()))
+    made = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets(shingle, sent), "doc_id long, node long, set array<bigint>, sig binary, regions array<bigint>, labels array<bigint>")
+    made = made.join(reps, "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep")
     sets = work.write(made.dropDuplicates(["node"]), "sets")
     orders = sets.select("node", F.explode(F.arrays_zip("regions", "labels")).alias("o")).select("node", F.col("o.regions").alias("region"), F.col("o.labels").alias("label"))
     orders = work.write(orders.join(shared, "region").select("node", "region", "label"), "orders")
@@ -316,21 +340,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
         inside = step.write(rooted(regions), "inside")
         mixed = inside.groupBy("region", "root").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("node") % (1 << 40)).alias("h"))
-        mixed = mixed.groupBy("region").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.sum("h").alias("h"))
-        mixed = mixed.withColumn("cross", (F.col("m") * F.col("m") - F.col("same")) / 2).where("cross > 0")
-        mixed = mixed.select("region", "m", "h", (F.col("cross") <= FEW * F.col("m")).alias("few")) if level < LEVELS else mixed.select("region", "m", "h", F.lit(True).alias("few"))
-        mixed = step.write(mixed, "mixed")
-        once = mixed.groupBy("m", "h").agg(F.min(F.struct("region", "few")).alias("r")).select("r.region", "m", "r.few")  # regions of the same nodes are one
+        mixed = mixed.groupBy("region").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.sum("h").alias("h"), F.max(F.struct("c", "root")).alias("top"))
+        mixed = step.write(mixed.select("region", "m", "h", F.col("top.root").alias("top"), ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("cross")).where("cross > 0"), "mixed")
+        total = mixed.agg(F.sum("cross"), F.sum("m")).first()
+        if not total[1] and more is None:
+            break
+        every = level == LEVELS or (total[0] or 0) <= FEW * (total[1] or 0)
+        few = F.lit(True) if every else F.col("cross") <= FEW * F.col("m")
+        once = mixed.groupBy("m", "h").agg(F.min(F.struct("region", "top", few.alias("few"))).alias("r")).select("r.*", "m")  # regions of the same nodes are one
         inside = step.write(inside.join(once, "region"), "open")
-        left, right = (inside.where("few").select("region", F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-        tests = left.join(right, "region").where("a < b and ra <> rb").select("a", "b")
+        # of each pair one is outside the largest component: no region is joined with itself
+        left = inside.where("few and root <> top").select("region", F.col("node").alias("a"), F.col("root").alias("ra"))
+        right = inside.where("few").select("region", F.col("node").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("top")).alias("inner"))
+        tests = left.join(right, "region").where("ra <> rb and (inner or a < b)").select(*pair("a", "b"))
         large = inside.where("not few")
         members = None
-        if large.limit(1).count():
+        if not every and large.limit(1).count():
             company = step.write(large.groupBy("node").agg(F.sum("m").alias("company")), "company")
-            pivots = large.join(company, "node").groupBy("region").agg(F.max(F.struct("company", "node")).alias("p")).select("region", F.col("p.node").alias("pivot"))
-            # at first regions with the same pivot are one group; later each stays alone, so that groups shrink
-            placed = large.select("region", "node").join(step.write(pivots, "pivots"), "region")
+            placed = large.join(company, "node").select("region", "node", F.struct("company", "node").alias("p"))
+            lead = lambda df, key: step.write(df.groupBy(key).agg(F.max("p").alias("p")), f"lead_{key}{level}")  # noqa: B023, E731
+            pivots = lead(placed, "region")
+            if level == 0:  # regions with the same pivot are one group; a region takes the best pivot of its nodes
+                placed = placed.drop("p").join(pivots, "region")
+                placed = placed.drop("p").join(lead(placed, "node"), "node")
+                pivots = step.write(placed.groupBy("region").agg(F.max("p").alias("p")), "pivots")
+            # later each stays alone, so that groups shrink
+            placed = placed.select("region", "node").join(pivots.select("region", F.col("p.node").alias("pivot")), "region")
             members = step.write(placed.select((F.col("pivot") if level == 0 else F.col("region")).alias("group"), "pivot", "node").distinct(), "members")
             tests = tests.union(rooted(rooted(members), "pivot", "rp").where("root <> rp").select(*pair("pivot", "node")))
         if more is not None:
