@@ -37,6 +37,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/textsieve/{name}-{uuid.uuid4().hex}"
+        limit_batches(spark)
 
     def again(self) -> Workspace:
         """Another folder beside this one, for steps whose tags repeat."""
@@ -61,6 +62,14 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def limit_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bounds the bytes of an Arrow batch for Python workers, as rows may be long; the setting bounds memory, not results."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if not (now and now.isdigit() and int(now) <= most):
+        spark.conf.set(key, str(most))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)
@@ -73,6 +82,7 @@ def fold(column: str = "doc_id") -> Column:
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the named columns; whatever else the table has is left out."""
+    limit_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), *(docs[c] for c in more))
 
 

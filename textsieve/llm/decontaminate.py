@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from textsieve.llm.bytehash import ALNUM, mix, raw, slices, word_hashes
-from textsieve.llm.common import Workspace
+from textsieve.llm.common import Workspace, limit_batches
 
 BATCH_BYTES = 4 << 20
 _SPAN = StructType([StructField("first", IntegerType()), StructField("last", IntegerType()), StructField("from", LongType()), StructField("to", LongType())])
@@ -164,6 +164,7 @@ def _scan(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int,
     that one automaton at a time is in memory; the pass then reads the hits by a hash of the text.
     """
     spark = docs.sparkSession
+    limit_batches(spark)
     automata = (SuffixAutomaton(block, window) for block in _blocks(benchmark, block_words))
     first, second = next(automata), next(automata, None)
     columns = docs.columns

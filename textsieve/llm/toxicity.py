@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textsieve.llm.bytehash import ALNUM, raw, slices, word_hashes
-from textsieve.llm.common import fold, texts
+from textsieve.llm.common import fold, limit_batches, texts
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -196,6 +196,7 @@ def _best(sent):
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs with toxic_score and toxic_segments (every significant one: first and last token, score, E-value)."""
+    limit_batches(docs.sparkSession)
     out = docs.withColumns({"toxic_score": F.lit(0.0), "toxic_segments": F.array().cast(SEGMENTS)})
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
