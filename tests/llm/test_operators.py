@@ -197,45 +197,82 @@ def test_lm_scores(spark):
         key = lambda x: (str(x[0]), x[1:5], round(x[5], 6))
         assert sorted(map(key, map(tuple, got))) == sorted(map(key, brute.unigram(rows)))
         assert all(r["score"] < 0 for r in got)
+        again = lmscore.score_texts(table(spark, rows[::-1]).repartition(7, "text"), lmscore.fold() != 1, frequent).collect()
+        scores = lambda rs: sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in rs)
+        assert scores(got) == scores(again)  # neither partitions nor their order matter
     assert lmscore.digest(table(spark, [])).count() == 0
+    assert all(r["score"] < 0 and r["n_known"] == 0 for r in lmscore.score_texts(table(spark, rows), F.lit(False)).collect())
 
 
-def test_mixer_is_a_distribution_and_learns():
-    counts = np.zeros(256)
-    counts[[97, 98, 32]] = 10
-    code, model = lmscore.Code(counts), lmscore.Mixer.new()
+def test_lm_beats_its_base_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = lmscore.digest(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1]
 
-    def lp(ws):
-        data = np.frombuffer(b" ".join(ws), np.uint8)
-        to = np.cumsum([len(w) + 1 for w in ws]) - 1
-        return lmscore.flat_words(data, to - [len(w) for w in ws], to)
 
-    before = model.log10(code, *lp([b"ab", b"ba"]))
-    for _ in range(200):
-        b, begins = lp([b"ab", b"ab", b"abab"])
-        model.learn(*lmscore.bit_slots(code, b, begins)[:3])
-    after = model.log10(code, *lp([b"ab", b"ba"]))
-    assert after[0] > before[0] and after[0] > after[1]
-    every = [bytes([x, y]) for x in range(256) for y in range(256) if 32 not in (x, y) and not 65 <= x <= 90 and not 65 <= y <= 90]
-    assert 0 < np.sum(10.0 ** model.log10(code, *lp(every))) <= 1
+def flat(ws):
+    data = np.frombuffer(b" ".join(ws), np.uint8)
+    to = np.cumsum([len(w) + 1 for w in ws]) - 1
+    return lmscore.flat_words(data, to - [len(w) for w in ws], to)
 
 
-def test_mixer_learns_every_occurrence_however_the_texts_are_cut():
-    import pyarrow as pa
+def test_spelled_bits_are_a_distribution_and_learn():
+    counts = np.zeros(256)
+    counts[[97, 98, 32]] = 10
+    spelling, mixer, tables = lmscore.Spelling(counts), lmscore.Mixer.new([0.3] * lmscore.BYTE_ORDERS), lmscore.Tables()
+    every = [bytes([x, y]) for x in range(256) for y in range(256) if 32 not in (x, y) and not 65 <= x <= 90 and not 65 <= y <= 90]
 
-    code = lmscore.Code(np.ones(256))
+    def lp(ws):
+        bit, slots, first = spelling.bits(*flat(ws))
+        return np.add.reduceat(lmscore.log10_bits(mixer, *spelling.inputs(tables.states()[1], slots), bit), first[:-1])
+
+    before = lp([b"ab", b"ba"])
+    assert 0 < np.sum(10.0 ** lp(every)) <= 1 + 1e-9
+    bit, slots, _ = spelling.bits(*flat([b"ab", b"ab", b"abab"] * 200))
+    for t, s in zip(tables.each[lmscore.WORD_ORDERS :], slots, strict=True):
+        np.add.at(t, 2 * s + bit, np.uint32(1))
+    mixer.learn(*spelling.inputs(tables.states()[1], slots), bit.astype(np.float32))
+    after = lp([b"ab", b"ba"])
+    assert after[0] > before[0] and after[0] > after[1] and 0 < np.sum(10.0 ** lp(every)) <= 1 + 1e-9
+
+
+def test_words_are_a_distribution_in_any_context():
+    rng = np.random.default_rng(4)
+    hashes = np.sort(rng.integers(1, 2**63, 50).astype(np.uint64))
+    words = lmscore.Words(hashes, rng.integers(2, 90, 50), 30, 12, 0.7)
+    tables, mixer = lmscore.Tables(), lmscore.Mixer.new([1.0] + [0.0] * lmscore.WORD_ORDERS)
+    text = hashes[rng.zipf(1.5, 4000) % 50]
+    node, bit, slots, *_ = words.bits(text, np.repeat(np.arange(40), 100), 40)
+    for t, s in zip(tables.each, slots, strict=False):
+        np.add.at(t, 2 * s + bit, np.uint32(1))
+    states = tables.states()[0]
+    plain = lmscore.log10_bits(mixer, *words.inputs(states, node, slots), bit).sum()
+    mixer.learn(*words.inputs(states, node, slots), bit.astype(np.float32))
+    assert lmscore.log10_bits(mixer, *words.inputs(states, node, slots), bit).sum() > plain
+    for context in ([], [hashes[0]], [hashes[7], hashes[3]]):
+        total = 0.0
+        for last in [*hashes, np.uint64(5), None]:  # each word, an escaped one, the end
+            h = np.array([*context, *([last] if last is not None else [])], np.uint64)
+            node, bit, slots, _, first, leaf, _ = words.bits(h, np.zeros(len(h), np.int64), 1)
+            p = np.add.reduceat(lmscore.log10_bits(mixer, *words.inputs(states, node, slots), bit), first[:-1])
+            total += 10.0 ** p[len(context)]
+        assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_counts_of_contexts_do_not_depend_on_cuts():
     lines = ["the cat " + "the " * 50, "the dog", "a cat the"] * 3
+    h, _ = bytehash.word_hashes(*bytehash.raw(__import__("pyarrow").array(["the cat"])), bytehash.NOT_SPACE)
+    words, spelling, known = lmscore.Words(np.sort(h), np.array([9, 3]), 4, 9, 0.5), lmscore.Spelling(np.ones(256)), lmscore.Lookup(np.sort(h))
+    import pyarrow as pa
 
     def learned(groups):
-        sent = type("Sent", (), {"value": code})
-        batches = [pa.RecordBatch.from_arrays([pa.array(g)], ["text"]) for g in groups]
-        tables = [np.frombuffer(lmscore.zlib.decompress(p), np.uint64) for out in lmscore._learned(sent)(iter(batches)) for kind, p in zip(out["kind"].to_pylist(), out["payload"].to_pylist(), strict=True) if kind == 1]
-        return np.stack(tables)
-
-    whole = learned([lines])
-    bits = sum(code.length[list((w + " ").encode())].sum() for line in lines for w in line.split())
-    assert whole.sum() == bits * lmscore.ORDERS
-    assert (whole == learned([[x] for x in lines])).all()
+        sent = type("Sent", (), {"value": (words, spelling, known)})
+        rows = [(k, p) for g in groups for out in lmscore._learned(sent)(iter([pa.RecordBatch.from_arrays([pa.array(g)], ["text"])])) for k, p in zip(out["key"].to_pylist(), out["payload"].to_pylist(), strict=True)]
+        rows.sort(key=lambda r: r[0])
+        batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([p for _, p in rows], pa.binary())], ["key", "payload"])
+        return {k: lmscore.zlib.decompress(p) for out in lmscore._summed(iter([batch])) for k, p in zip(out["key"].to_pylist(), out["payload"].to_pylist(), strict=True)}
+
+    assert learned([lines]) == learned([[x] for x in lines])
 
 
 def test_mixing(spark):
