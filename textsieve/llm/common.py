@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are runs of anything but these six ASCII white-space characters.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
+MAP_BITS = 26
 _own_dir: list[str] = []
 
 
@@ -86,6 +87,28 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), *(docs[c] for c in more))
 
 
+def bitmap(keys: DataFrame) -> tuple[int, DataFrame]:
+    """Bits and the table (w, m) of a bitmap of 64-bit keys k, 64 bits a row: 16 bits a key or more, 2^MAP_BITS in all at most.
+
+    It only spares work: with more keys it fills up, lets other keys through and keeps its size.
+    """
+    bits = min(max(16 * keys.count(), 1 << 10).bit_length(), MAP_BITS)
+    at = F.shiftrightunsigned("k", 64 - bits)
+    placed = keys.select(F.shiftright(at, 6).alias("w"), at.bitwiseAND(F.lit(63)).cast("int").alias("b"))
+    return bits, placed.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m"))
+
+
+def split_by_keys(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is not among keys (k), rows whose key may be), without moving rows: the bitmap is sent out, 2^(MAP_BITS - 6) rows at most."""
+    bits, words = bitmap(keys)
+    words = F.broadcast(words.select(F.col("w").alias("__w"), F.col("m").alias("__m")))
+    at = F.shiftrightunsigned(key, 64 - bits)
+    placed = rows.withColumn("__at", at)
+    placed = placed.join(words, F.shiftright("__at", 6) == F.col("__w"), "left")
+    hit = F.coalesce(F.expr("shiftrightunsigned(__m, cast(__at & 63 as int)) & 1"), F.lit(0).cast("long")) == 1
+    return placed.where(~hit).select(*rows.columns), placed.where(hit).select(*rows.columns)
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
     """Adds rid, one value per row; it is stable only once the result has been written."""
     return df.withColumn("rid", F.monotonically_increasing_id())

@@ -39,13 +39,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsieve.llm.bytehash import NOT_SPACE, mix, raw, slices, word_hashes
-from textsieve.llm.common import Workspace, connected_components, texts
+from textsieve.llm.common import Workspace, bitmap, connected_components, split_by_keys, texts
 
 TREES, DEPTH, MORE, BEST = 48, 6, 2, 3
 HASHES = TREES * DEPTH
 FEW, LEVELS, SIGMAS, SAMPLE = 8, 5, 6, 64
 BATCH_BYTES = 4 << 20
-RARITY_BITS, MAP_BITS = 16, 27
+RARITY_BITS = 16
 DEEPER = {"kind": np.int32, "key": np.int64, "group": np.int64, "node": np.int64, "root": np.int64, "n": np.int32, "room": np.float64, "mask": np.int64}
 _rng = np.random.Generator(np.random.PCG64(71))
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,16 +116,12 @@ def _signed(size: int):
     return run
 
 
-def _marked_ids(reps: DataFrame, n: int) -> np.ndarray:
-    """A bitmap of hashed ids, at least 16 bits an id up to 2^MAP_BITS in all; a full one only lets more texts through."""
-    bits = min(max(16 * n, 1 << 10).bit_length(), MAP_BITS)
-    out = np.zeros(1 << bits, bool)
-    at = F.shiftrightunsigned(F.xxhash64("rep"), 64 - bits).alias("at")
-    for r in reps.select(F.shiftright(at, 6).alias("w"), at.bitwiseAND(F.lit(63)).alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(b as int))")).alias("m")).toArrow().to_batches():
-        words = r.column(1).to_numpy().view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)
-        at_ = (r.column(0).to_numpy()[:, None] * 64 + np.arange(64))[words.astype(bool)]
-        out[at_] = True
-    return np.packbits(out)
+def _unpacked(words: tuple[int, DataFrame]) -> np.ndarray:
+    """A bitmap's words of 64 bits; 2^MAP_BITS of `common` at most."""
+    bits, table = words
+    out, found = np.zeros(1 << (bits - 6), np.uint64), table.toArrow()
+    out[found["w"].to_numpy()] = found["m"].to_numpy().view(np.uint64)
+    return out
 
 
 def _sets(size: int, sent):
@@ -142,11 +138,12 @@ def _sets(size: int, sent):
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "set", "sig", "regions", "labels"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(sent.value)
-        shift = np.uint64(64 - (len(marked).bit_length() - 1))
+        words = sent.value
+        shift = np.uint64(64 - (len(words).bit_length() - 1) - 6)
         with np.errstate(over="ignore"):
             for batch in batches:
-                hit = marked[(batch.column("h").to_numpy().view(np.uint64) >> shift).astype(np.int64)] > 0
+                at = batch.column("h").to_numpy().view(np.uint64) >> shift
+                hit = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
                 for part in slices(batch.filter(pa.array(hit)), "text", BATCH_BYTES):
                     ids, sets, total = [], [], 0
                     for i, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), size), strict=True):
@@ -308,7 +305,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     shared = work.write(shared, "shared")
     wanted = work.write(placed.join(shared, "region").select("node").distinct(), "wanted")
     reps = work.write(signed.select("node", "doc_id").join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
-    sent = spark.sparkContext.broadcast(_marked_ids(reps, reps.count()))
+    sent = spark.sparkContext.broadcast(_unpacked(bitmap(reps.select(F.xxhash64("rep").alias("k")))))
     made = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets(shingle, sent), "doc_id long, node long, set array<bigint>, sig binary, regions array<bigint>, labels array<bigint>")
     made = made.join(reps, "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep")
     sets = work.write(made.dropDuplicates(["node"]), "sets")
@@ -356,14 +353,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         large = inside.where("not few")
         members = None
         if not every and large.limit(1).count():
-            company = step.write(large.groupBy("node").agg(F.sum("m").alias("company")), "company")
-            placed = large.join(company, "node").select("region", "node", F.struct("company", "node").alias("p"))
-            lead = lambda df, key: step.write(df.groupBy(key).agg(F.max("p").alias("p")), f"lead_{key}{level}")  # noqa: B023, E731
-            pivots = lead(placed, "region")
+            mine = Window.partitionBy("node")  # TREES rows of a node at most
+            placed = step.write(large.select("region", "node", F.struct(F.sum("m").over(mine).alias("company"), "node").alias("p")), "large")
+            pivots = step.write(placed.groupBy("region").agg(F.max("p").alias("p")), "pivots")
             if level == 0:  # regions with the same pivot are one group; a region takes the best pivot of its nodes
-                placed = placed.drop("p").join(pivots, "region")
-                placed = placed.drop("p").join(lead(placed, "node"), "node")
-                pivots = step.write(placed.groupBy("region").agg(F.max("p").alias("p")), "pivots")
+                placed = placed.drop("p").join(pivots, "region").withColumn("p", F.max("p").over(mine))
+                pivots = step.write(placed.groupBy("region").agg(F.max("p").alias("p")), "leads")
             # later each stays alone, so that groups shrink
             placed = placed.select("region", "node").join(pivots.select("region", F.col("p.node").alias("pivot")), "region")
             members = step.write(placed.select((F.col("pivot") if level == 0 else F.col("region")).alias("group"), "pivot", "node").distinct(), "members")
@@ -402,20 +397,23 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component: that of the smallest id. Rows without words all stay."""
+    """docs with one row of each component: that of the smallest id. Rows without words all stay, rows that repeat in full once.
+
+    Only rows that may have to go are joined; the others' texts are not moved.
+    """
     work = Workspace(docs.sparkSession, "keepone")
     found = work.write(near_duplicates(docs, shingle, percent), "found")
     # of rows that repeat an id, the one whose text hashes lowest
-    one = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("m")).select("m.doc_id", "m.mark")
-    one = one.union(found.where("root is null").select("doc_id", "mark").distinct())
-    one = work.write(one.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), "one")
-    text = F.coalesce(docs["text"], F.lit(""))
-    condition = docs["doc_id"].cast("long").eqNullSafe(one["_id"]) & (F.xxhash64(text) == one["_mark"])
-    kept = docs.join(one, condition, "left_semi")
-    twice = found.where("root is not null").groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
-    twice = work.write(twice, "twice")
-    if not twice.limit(1).count():
-        return kept
-    # rows repeated in full: all but one of each go
-    same = kept["doc_id"].cast("long").eqNullSafe(twice["_id"]) & (F.xxhash64(F.coalesce(kept["text"], F.lit(""))) == twice["_mark"])
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    one = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("m"))
+    judged = found.where("root is not null").groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).join(one, "root")
+    stays = F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("mark") == F.col("m.mark"))
+    judged = judged.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), stays.alias("__stays"), "n").where("n > 1 or not __stays")
+    judged = work.write(judged.groupBy("__id", "__mark").agg(F.max("__stays").alias("__stays")), "judged")
+    work.drop("found")
+    others, maybe = split_by_keys(docs, F.xxhash64(docs["doc_id"].cast("long")), judged.select(F.xxhash64("__id").alias("k")))
+    text = F.coalesce(maybe["text"], F.lit(""))
+    condition = maybe["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark"))
+    joined = maybe.join(judged, condition, "left")
+    untouched = joined.where("__stays is null").select(*docs.columns)
+    once = maybe.join(judged.where("__stays"), condition, "left_semi").dropDuplicates(["doc_id", "text"])
+    return others.unionByName(untouched).unionByName(once)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textsieve.llm.common import Workspace, texts
+from textsieve.llm.common import Workspace, split_by_keys, texts
 
 KINDS = ("assign", "access", "hex", "token")
 #: The patterns of the base kinds, group of the value, least length of that group.
@@ -92,22 +92,23 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, instead: str = "[SECRET]", max_owners: int = 1) -> DataFrame:
     """docs with `instead` in place of every span that looks live; n_chars, if there is such a column, follows.
 
-    Only rows with such spans are joined, by id and a hash of the text.
+    Only rows that may have such spans are joined, by id and a hash of the text; the others' texts are not moved.
     """
     live = F.filter("spans", lambda x: x["live"])
-    hits = scan_secrets(docs, max_owners).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), live.alias("_spans")).where(F.size("_spans") > 0)
-    hits = Workspace(docs.sparkSession, "redact").write(hits.dropDuplicates(["_id", "_mark"]), "hits")
-    text = F.coalesce(docs["text"], F.lit(""))
-    joined = docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(hits["_id"]) & (F.xxhash64(text) == hits["_mark"]), "left")
+    hits = scan_secrets(docs, max_owners).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), live.alias("__spans")).where(F.size("__spans") > 0)
+    hits = Workspace(docs.sparkSession, "redact").write(hits.dropDuplicates(["__id", "__mark"]), "hits")
+    others, maybe = split_by_keys(docs, F.xxhash64(docs["doc_id"].cast("long")), hits.select(F.xxhash64("__id").alias("k")))
+    text = F.coalesce(maybe["text"], F.lit(""))
+    joined = maybe.join(hits, maybe["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")), "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(instead))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
-    cut = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    changed = hits["_mark"].isNotNull()
-    columns = {c: docs[c] for c in docs.columns} | {"text": F.when(changed, cut).otherwise(docs["text"])}
+    cut = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    changed = F.col("__mark").isNotNull()
+    columns = {c: maybe[c] for c in docs.columns} | {"text": F.when(changed, cut).otherwise(maybe["text"])}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(changed, F.length(cut)).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*(columns[c].alias(c) for c in docs.columns))
+        columns["n_chars"] = F.when(changed, F.length(cut)).otherwise(maybe["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return others.unionByName(joined.select(*(columns[c].alias(c) for c in docs.columns)))
