@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Character classes, patterns and replacements that the results depend on.
-SPECIAL_SPACES = "[ ­​﻿]"
+# Character classes, patterns and replacements that the results depend on. Characters that can't be seen or
+# are easily taken for others are written as escapes, which Java's patterns read.
+SPECIAL_SPACES = r"[\u00A0\u00AD\u200B\uFEFF]"
 TAGS = "<[^>]+>"
-VERSE_REFERENCES = r"(?iU)\b\d+[:.]\d+[a-z]?\b"
-BREAKS = "[·⁘·;:]"
-DASHES = "[|—–‑]"
-QUOTES = "[“”«»]"
+VERSE_REFERENCES = r"(?iU)(?=\d)\b\d+[:.]\d+[a-z]?\b"  # the look-ahead only spares the costly boundary test
+BREAKS = r"[\u0387\u2058\u00B7;:]"
+DASHES = r"[|\u2014\u2013\u2011]"
+QUOTES = r"[\u201C\u201D\u00AB\u00BB]"
 SENTENCE_ENDS = r"[\n.!?]+"
-TOKEN_CLASS = "0-9A-Za-zЀ-ԯⷠ-ⷿꙀ-ꚟ"
-MARKS = "[҃-҆҈҉]"
+TOKEN_CLASS = r"0-9A-Za-z\u0400-\u052F\u2DE0-\u2DFF\uA640-\uA69F"
+MARKS = r"[\u0483-\u0486\u0488\u0489]"
+#: The two characters outside the token class whose small letters are in it.
+NOT_LETTERS = "\u212A\u0130"
 
 
 def normalize_raw(text: Column, drop_tags: bool = True, drop_verse_refs: bool = True) -> Column:
@@ -39,6 +42,19 @@ def tokenize(part: Column, token_class: str = TOKEN_CLASS, drop_numeric: bool =
     return F.filter(found, lambda t: (t != "") & ~t.rlike("[0-9]") if drop_numeric else t != "")
 
 
+def sentence_tokens(text: Column, token_class: str = TOKEN_CLASS, drop_numeric: bool = True) -> Column:
+    """The tokens of each sentence of a normalised text, an array of arrays, as tokenize gives them.
+
+    With the default class, which holds the marks, text is made lower case and rid of marks as a whole and one pattern
+    finds the tokens; another class goes by single tokens.
+    """
+    if token_class != TOKEN_CLASS:
+        return F.transform(F.split(text, SENTENCE_ENDS), lambda part: tokenize(part, token_class, drop_numeric))
+    plain = F.lower(F.translate(F.regexp_replace(text, MARKS, ""), NOT_LETTERS, " " * len(NOT_LETTERS)))
+    token = f"(?<![{token_class}])[{token_class}&&[^0-9]]++(?![{token_class}])" if drop_numeric else f"[{token_class}]+"
+    return F.transform(F.split(plain, SENTENCE_ENDS), lambda part: F.regexp_extract_all(part, F.lit(token), F.lit(0)))
+
+
 def levenshtein_limit(a: Column, b: Column, limit: int) -> Column:
     """Edit distance, or null beyond the limit."""
     d = F.levenshtein(a, b, limit)

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textsieve.sources.scratch import Scratch
+
 BOS, EOS = "<s>", "</s>"
 
 
@@ -66,10 +68,12 @@ def padded(tokens: Column) -> Column:
     return F.concat(F.array(F.lit(BOS), F.lit(BOS)), tokens, F.array(F.lit(EOS)))
 
 
-def fit(sentences: DataFrame, params: LmParams | None = None) -> NgramModel:
+def fit(sentences: DataFrame, params: LmParams | None = None, keep: Scratch | None = None) -> NgramModel:
+    """The count tables. With keep, trigrams are written there, so that no table that follows from them counts the text again."""
     p = sentences.select(padded(F.col("tokens")).alias("t"))
     each = p.select(F.explode(F.transform(F.sequence(F.lit(3), F.size("t")), lambda i: F.struct(F.element_at("t", i - 2).alias("w2"), F.element_at("t", i - 1).alias("w1"), F.element_at("t", i).alias("w")))).alias("g"))
     tri = each.groupBy("g.w2", "g.w1", "g.w").agg(F.count(F.lit(1)).alias("c"))
+    tri = keep.write(tri, "trigrams") if keep else tri
     n_sent = tri.where((F.col("w") == EOS)).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"))
     # every bigram but the padding's own is the end of one trigram; every unigram but the first padding of one bigram
     bi = tri.groupBy("w1", "w").agg(F.sum("c").alias("c")).unionByName(n_sent.where("c > 0").select(F.lit(BOS).alias("w1"), F.lit(BOS).alias("w"), "c"))
@@ -95,7 +99,7 @@ def _interpolated(params: LmParams, p3: Column, p2: Column, p1: Column) -> Colum
     return a * p3 + b * p2 + c * p1
 
 
-def _count(df: DataFrame, table: DataFrame, name: str, **on: str) -> DataFrame:
+def count_of(df: DataFrame, table: DataFrame, name: str, **on: str) -> DataFrame:
     """Left join of a count table; unseen n-grams count 0. on: table column = df column."""
     t = table.select(*(F.col(k).alias(v) for k, v in on.items()), F.col("c").alias(name))
     return df.join(t, list(on.values()), "left").withColumn(name, F.coalesce(name, F.lit(0)))
@@ -105,9 +109,9 @@ def forward_probability(grams: DataFrame, model: NgramModel) -> DataFrame:
     """Adds p to rows (l2, l1, w)."""
     model.require_fit()
     a = model.params.alpha
-    x = _count(grams, model.tri, "_t", w2="l2", w1="l1", w="w")
-    x = _count(_count(x, model.bi, "_b2", w1="l2", w="l1"), model.bi, "_b1", w1="l1", w="w")
-    x = _count(_count(x, model.uni, "_u1", w="l1"), model.uni, "_u", w="w").crossJoin(F.broadcast(model.stats))
+    x = count_of(grams, model.tri, "_t", w2="l2", w1="l1", w="w")
+    x = count_of(count_of(x, model.bi, "_b2", w1="l2", w="l1"), model.bi, "_b1", w1="l1", w="w")
+    x = count_of(count_of(x, model.uni, "_u1", w="l1"), model.uni, "_u", w="w").crossJoin(F.broadcast(model.stats))
     av = a * F.col("v_size")
     p = _interpolated(model.params, (F.col("_t") + a) / (F.col("_b2") + av), (F.col("_b1") + a) / (F.col("_u1") + av), (F.col("_u") + a) / (F.col("n_total") + av))
     return x.select(*grams.columns, p.alias("p"))
@@ -117,9 +121,9 @@ def backward_probability(grams: DataFrame, model: NgramModel) -> DataFrame:
     """Adds p, under the model of reversed text, to rows (w, r1, r2); r1 is the end marker at a sentence's end, where r2 is null."""
     model.require_fit()
     a = model.params.alpha
-    x = _count(grams, model.tri, "_t", w2="w", w1="r1", w="r2")
-    x = _count(_count(x, model.bi, "_b2", w1="r1", w="r2"), model.bi, "_b1", w1="w", w="r1")
-    x = _count(_count(x, model.uni, "_u1", w="r1"), model.uni, "_u", w="w").crossJoin(F.broadcast(model.stats))
+    x = count_of(grams, model.tri, "_t", w2="w", w1="r1", w="r2")
+    x = count_of(count_of(x, model.bi, "_b2", w1="r1", w="r2"), model.bi, "_b1", w1="w", w="r1")
+    x = count_of(count_of(x, model.uni, "_u1", w="r1"), model.uni, "_u", w="w").crossJoin(F.broadcast(model.stats))
     last, av = F.col("r1") == EOS, a * F.col("v_size")
     t, b2, u1 = F.when(last, F.col("_b1")).otherwise(F.col("_t")), F.when(last, F.col("n_sent")).otherwise(F.col("_b2")), F.when(last, 2 * F.col("n_sent")).otherwise(F.col("_u1"))
     p = _interpolated(model.params, (t + a) / (b2 + av), (F.col("_b1") + a) / (u1 + av), (F.col("_u") + a) / (F.col("n_total") + av))
@@ -156,8 +160,8 @@ def gap_scores(sentences: DataFrame, model: NgramModel, keys: tuple[str, ...] =
     model.require_fit()
     a = model.params.alpha
     rows = gaps(sentences, *keys)
-    pairs = _count(rows.select("left", "right").distinct(), model.bi, "_b", w1="left", w="right")
-    pairs = _count(_count(pairs, model.uni, "_l", w="left"), model.uni, "_r", w="right").crossJoin(F.broadcast(model.stats))
+    pairs = count_of(rows.select("left", "right").distinct(), model.bi, "_b", w1="left", w="right")
+    pairs = count_of(count_of(pairs, model.uni, "_l", w="left"), model.uni, "_r", w="right").crossJoin(F.broadcast(model.stats))
     av = a * F.col("v_size")
     score = (F.log(F.col("_l") + av) + F.log(F.col("_r") + av)) / 2 - F.log(F.col("_b") + a)
     return rows.join(pairs.select("left", "right", score.alias("gap_score")), ["left", "right"]).select(*keys, "gap_idx", "left", "right", "gap_score")
@@ -167,7 +171,7 @@ def bigram_neglogprob(pairs: DataFrame, model: NgramModel) -> DataFrame:
     """Adds neglogprob, -log P(right | left) without interpolation, to rows (left, right)."""
     model.require_fit()
     a = model.params.alpha
-    x = _count(_count(pairs, model.bi, "_b", w1="left", w="right"), model.uni, "_l", w="left").crossJoin(F.broadcast(model.stats))
+    x = count_of(count_of(pairs, model.bi, "_b", w1="left", w="right"), model.uni, "_l", w="left").crossJoin(F.broadcast(model.stats))
     return x.select(*pairs.columns, (-F.log((F.col("_b") + a) / (F.col("_l") + a * F.col("v_size")))).alias("neglogprob"))
 
 

@@ -5,24 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textsieve.functions.text import SENTENCE_ENDS, TOKEN_CLASS, normalize_raw, tokenize, uniform
+from textsieve.functions.text import TOKEN_CLASS, normalize_raw, sentence_tokens, uniform
+from textsieve.sources.scratch import Scratch, spread
 
 
 def text_to_sentences(docs: DataFrame, min_tokens: int = 6, max_tokens: int = 80, drop_tags: bool = True, drop_verse_refs: bool = True, drop_numeric: bool = True, token_class: str = TOKEN_CLASS) -> DataFrame:
     """(doc_id, sent_pos, tokens) of every sentence with min_tokens to max_tokens tokens; sent_pos counts all parts."""
-    parts = docs.select("doc_id", F.posexplode(F.split(normalize_raw(F.col("text"), drop_tags, drop_verse_refs), SENTENCE_ENDS)).alias("sent_pos", "part"))
-    cut = parts.select("doc_id", "sent_pos", tokenize(F.col("part"), token_class, drop_numeric).alias("tokens"))
-    return cut.where(F.size("tokens").between(min_tokens, max_tokens))
+    found = sentence_tokens(normalize_raw(F.col("text"), drop_tags, drop_verse_refs), token_class, drop_numeric)
+    # tokens come out of the generator, so that the filter reads them and does not compute them again (outer, as Spark
+    # would infer a filter on the array, which computes it twice)
+    parts = spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode_outer(found).alias("sent_pos", "tokens"))
+    return parts.where(F.size("tokens").between(min_tokens, max_tokens))
 
 
 def sentence_ids(sentences: DataFrame) -> DataFrame:
-    """Adds sent_id: s0, s1, ... in text order, from a count per document and running offsets, without a global sort of sentences."""
+    """Adds sent_id: s0, s1, ... in text order, for ids of any type.
+
+    Documents are counted, range-partitioned by id, and numbered inside their range; only the ranges' sums meet in one
+    place. No sort of sentences over the whole table.
+    """
+    keep = Scratch(sentences.sparkSession, "ids")
     per_doc = sentences.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    blocks = per_doc.withColumn("block", F.floor(F.col("doc_id") / 4096))
-    sums = blocks.groupBy("block").agg(F.sum("n").alias("m"))
-    before_block = sums.select("block", (F.sum("m").over(Window.orderBy("block")) - F.col("m")).alias("base"))
-    inside = Window.partitionBy("block").orderBy("doc_id")
-    offsets = blocks.join(before_block, "block").select("doc_id", (F.col("base") + F.sum("n").over(inside) - F.col("n")).alias("offset"))
+    ranges = keep.write(per_doc.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy("part").agg(F.sum("n").alias("m"))
+    before = sums.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("base"))
+    inside = Window.partitionBy("part").orderBy("doc_id")
+    offsets = ranges.join(before, "part").select("doc_id", (F.col("base") + F.sum("n").over(inside) - F.col("n")).alias("offset"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_pos")) - 1
     return sentences.join(offsets, "doc_id").withColumn("sent_id", F.concat(F.lit("s"), (F.col("offset") + place).cast("string"))).drop("offset")
 

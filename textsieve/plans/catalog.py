@@ -12,6 +12,7 @@ from textsieve.operators import corrupt as noise
 from textsieve.operators import embed, evaluate, features, lm, ml, report, suggest
 from textsieve.operators.sentences import sentence_ids, split_train_test, text_to_sentences
 from textsieve.plans.oracles import ORACLES
+from textsieve.sources.scratch import Scratch
 
 SEED, P_DELETE, P_SUBSTITUTE, TOP_VOCAB, TOP = 7, 0.04, 0.12, 3000, 15
 KEYS = ("doc_id", "sent_pos")
@@ -25,6 +26,18 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_to_sentences(_table(spark, sf_dir, "documents"))
 
 
+def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, lm.NgramModel]:
+    """Sentences and their model, both written once for all the steps of a query."""
+    keep = Scratch(spark, "corpus")
+    s = keep.write(_sentences(spark, sf_dir), "sentences")
+    return s, lm.fit(s, keep=keep)
+
+
+def _model(spark: SparkSession, sf_dir: str) -> lm.NgramModel:
+    """The model alone: sentences pass by and trigrams are written."""
+    return lm.fit(_sentences(spark, sf_dir), keep=Scratch(spark, "model"))
+
+
 def _six(c: Column | str) -> Column:
     """Rounded for comparison, without a negative zero."""
     return F.round(c, 6) + 0.0
@@ -59,80 +72,79 @@ def train_test_split(spark, sf_dir):
 
 
 def unigrams(spark, sf_dir):
-    return lm.fit(_sentences(spark, sf_dir)).uni.select("w", "c")
+    return _model(spark, sf_dir).uni.select("w", "c")
 
 
 def bigrams(spark, sf_dir):
-    return lm.fit(_sentences(spark, sf_dir)).bi.select("w1", "w", "c")
+    return _model(spark, sf_dir).bi.select("w1", "w", "c")
 
 
 def trigrams(spark, sf_dir):
-    return lm.fit(_sentences(spark, sf_dir)).tri.select("w2", "w1", "w", "c")
+    return _model(spark, sf_dir).tri.select("w2", "w1", "w", "c")
 
 
 def lm_stats(spark, sf_dir):
-    return lm.fit(_sentences(spark, sf_dir)).stats
+    return _model(spark, sf_dir).stats
 
 
 def _surprisal(direction: str):
     def run(spark, sf_dir):
-        s = _sentences(spark, sf_dir)
-        return lm.token_surprisal(s, lm.fit(s), direction).select(*KEYS, F.col("idx").cast("long").alias("token_idx"), F.col("w").alias("token"), _six("surprisal").alias("surprisal"))
+        s, model = _corpus(spark, sf_dir)
+        return lm.token_surprisal(s, model, direction).select(*KEYS, F.col("idx").cast("long").alias("token_idx"), F.col("w").alias("token"), _six("surprisal").alias("surprisal"))
 
     return run
 
 
-def _gap_rows(s: DataFrame) -> DataFrame:
-    return lm.gap_scores(s, lm.fit(s)).select(*KEYS, F.col("gap_idx").cast("long").alias("gap_idx"), "left", "right", _six("gap_score").alias("gap_score"))
+def _gap_rows(s: DataFrame, model: lm.NgramModel) -> DataFrame:
+    return lm.gap_scores(s, model).select(*KEYS, F.col("gap_idx").cast("long").alias("gap_idx"), "left", "right", _six("gap_score").alias("gap_score"))
 
 
 def gap_scores(spark, sf_dir):
-    return _gap_rows(_sentences(spark, sf_dir)).withColumnsRenamed({"left": "left_token", "right": "right_token"})
+    return _gap_rows(*_corpus(spark, sf_dir)).withColumnsRenamed({"left": "left_token", "right": "right_token"})
 
 
 def gap_top(spark, sf_dir):
-    return report.top_rows(_gap_rows(_sentences(spark, sf_dir)), "gap_score", "gap_idx", 20).withColumnsRenamed({"left": "left_token", "right": "right_token"})
+    return report.top_rows(_gap_rows(*_corpus(spark, sf_dir)), "gap_score", "gap_idx", 20).withColumnsRenamed({"left": "left_token", "right": "right_token"})
 
 
 def bigram_neglogprob(spark, sf_dir):
-    s = _sentences(spark, sf_dir)
-    model = lm.fit(s)
+    s, model = _corpus(spark, sf_dir)
     pairs = model.bi.where((F.col("w1") != lm.BOS) & (F.col("w") != lm.EOS)).select(F.col("w1").alias("left"), F.col("w").alias("right"))
     return lm.bigram_neglogprob(pairs, model).select(F.col("left").alias("left_token"), F.col("right").alias("right_token"), _six("neglogprob").alias("neglogprob"))
 
 
 def top_vocab(spark, sf_dir):
     order = Window.orderBy(F.col("c").desc(), F.col("w").desc())
-    return lm.top_frequent_vocab(lm.fit(_sentences(spark, sf_dir)), TOP_VOCAB).withColumn("rank", F.row_number().over(order))
+    return lm.top_frequent_vocab(_model(spark, sf_dir), TOP_VOCAB).withColumn("rank", F.row_number().over(order))
 
 
 def token_freq_len(spark, sf_dir):
-    s = _sentences(spark, sf_dir)
+    s, model = _corpus(spark, sf_dir)
     x = s.select(*KEYS, F.posexplode("tokens").alias("token_idx", "token"))
-    counts = lm.fit(s).uni.select(F.col("w").alias("token"), "c")
+    counts = model.uni.select(F.col("w").alias("token"), "c")
     return x.join(counts, "token", "left").select(*KEYS, "token_idx", _six(F.log1p(F.coalesce("c", F.lit(0)).cast("double"))).alias("log_freq"), F.length("token").cast("long").alias("char_len"))
 
 
-def _corrupted(s: DataFrame) -> DataFrame:
-    return noise.corrupt_corpus(s, lm.fit(s).vocab_full, P_DELETE, P_SUBSTITUTE, 2, False, SEED + 1)
+def _corrupted(s: DataFrame, model: lm.NgramModel, prefer_confusable: bool = False) -> DataFrame:
+    return noise.corrupt_corpus(s, model.vocab_full, P_DELETE, P_SUBSTITUTE, 2, prefer_confusable, SEED + 1)
 
 
 def corrupt_deletions(spark, sf_dir):
-    return _corrupted(_sentences(spark, sf_dir)).select(*KEYS, F.explode("deletions").alias("d")).select(*KEYS, "d.pos", "d.token", F.col("d.left").alias("left_token"), F.col("d.right").alias("right_token"))
+    return _corrupted(*_corpus(spark, sf_dir)).select(*KEYS, F.explode("deletions").alias("d")).select(*KEYS, "d.pos", "d.token", F.col("d.left").alias("left_token"), F.col("d.right").alias("right_token"))
 
 
 def corrupt_substitutions(spark, sf_dir):
-    return _corrupted(_sentences(spark, sf_dir)).select(*KEYS, F.explode("substitutions").alias("s")).select(*KEYS, "s.pos", F.col("s.orig").alias("original"), F.col("s.new").alias("replacement"))
+    return _corrupted(*_corpus(spark, sf_dir)).select(*KEYS, F.explode("substitutions").alias("s")).select(*KEYS, "s.pos", F.col("s.orig").alias("original"), F.col("s.new").alias("replacement"))
 
 
 def corrupted_sentences(spark, sf_dir):
-    return _corrupted(_sentences(spark, sf_dir)).select(*KEYS, F.array_join("tokens_corrupted", " ").alias("tokens_corrupted"))
+    return _corrupted(*_corpus(spark, sf_dir)).select(*KEYS, F.array_join("tokens_corrupted", " ").alias("tokens_corrupted"))
 
 
 def confusables(spark, sf_dir):
-    s = _sentences(spark, sf_dir)
-    subs = _corrupted(s).select(F.explode("substitutions").alias("s")).select(F.col("s.orig").alias("target"))
-    return noise.confusable(subs, lm.fit(s).vocab_full, SEED)
+    s, model = _corpus(spark, sf_dir)
+    subs = _corrupted(s, model).select(F.explode("substitutions").alias("s")).select(F.col("s.orig").alias("target"))
+    return noise.confusable(subs, model.vocab_full, SEED)
 
 
 def levenshtein_limited(spark, sf_dir):
@@ -142,15 +154,15 @@ def levenshtein_limited(spark, sf_dir):
 
 
 def token_labels(spark, sf_dir):
-    return features.token_labels(_corrupted(_sentences(spark, sf_dir))).select(*KEYS, "token_idx", "label")
+    return features.token_labels(_corrupted(*_corpus(spark, sf_dir))).select(*KEYS, "token_idx", "label")
 
 
 def gap_labels(spark, sf_dir):
-    return features.gap_labels(_corrupted(_sentences(spark, sf_dir))).select(*KEYS, "gap_idx", "label")
+    return features.gap_labels(_corrupted(*_corpus(spark, sf_dir))).select(*KEYS, "gap_idx", "label")
 
 
 def located_deletions(spark, sf_dir):
-    return features.located_gaps(_corrupted(_sentences(spark, sf_dir))).select(*KEYS, "token", F.coalesce("gap_idx", F.lit(-1)).cast("long").alias("gap_idx"))
+    return features.located_gaps(_corrupted(*_corpus(spark, sf_dir))).select(*KEYS, "token", F.coalesce("gap_idx", F.lit(-1)).cast("long").alias("gap_idx"))
 
 
 def _scored(spark, sf_dir) -> DataFrame:
@@ -187,24 +199,23 @@ def compare_methods(spark, sf_dir):
 
 
 def suggest_replacements(spark, sf_dir):
-    s = _sentences(spark, sf_dir)
-    model = lm.fit(s)
+    s, model = _corpus(spark, sf_dir)
     scored = lm.token_surprisal(s, model, "forward").select(*KEYS, "idx", _six("surprisal").alias("surprisal"))
     top = report.top_rows(scored, "surprisal", "idx", TOP).withColumnRenamed("rank", "place").join(s, [*KEYS])
     return suggest.suggest_replacements(top.select("place", "tokens", "idx"), ["place"], model, lm.top_frequent_vocab(model, TOP_VOCAB))
 
 
 def suggest_insertions(spark, sf_dir):
-    s = _sentences(spark, sf_dir)
-    model = lm.fit(s)
-    top = report.top_rows(_gap_rows(s), "gap_score", "gap_idx", TOP).withColumnRenamed("rank", "place").join(s, [*KEYS])
+    s, model = _corpus(spark, sf_dir)
+    top = report.top_rows(_gap_rows(s, model), "gap_score", "gap_idx", TOP).withColumnRenamed("rank", "place").join(s, [*KEYS])
     return suggest.suggest_insertions(top.select("place", "tokens", F.col("gap_idx").cast("int").alias("gap_idx")), ["place"], model, lm.top_frequent_vocab(model, TOP_VOCAB))
 
 
 def correction_topk(spark, sf_dir):
-    s = split_train_test(_sentences(spark, sf_dir), 0.75, SEED)
-    model = lm.fit(s.where("is_train"))
-    test = noise.corrupt_corpus(s.where("not is_train"), model.vocab_full, P_DELETE, P_SUBSTITUTE, 2, False, SEED + 2)
+    keep = Scratch(spark, "split")
+    s = keep.write(split_train_test(_sentences(spark, sf_dir), 0.75, SEED), "sentences")
+    model = lm.fit(s.where("is_train"), keep=keep)
+    test = keep.write(noise.corrupt_corpus(s.where("not is_train"), model.vocab_full, P_DELETE, P_SUBSTITUTE, 2, False, SEED + 2), "test")
     ranks = suggest.correction_ranks(test, features.located_gaps(test), model, lm.top_frequent_vocab(model, TOP_VOCAB))
     return evaluate.topk_rates(ranks).select("kind", "events", _six("top1").alias("top1"), _six("topk").alias("topk"))
 
@@ -235,41 +246,39 @@ def class_weights(spark, sf_dir):
 
 
 def render_sentence(spark, sf_dir):
-    c = _corrupted(_sentences(spark, sf_dir)).where(F.size("substitutions") > 0)
+    c = _corrupted(*_corpus(spark, sf_dir)).where(F.size("substitutions") > 0)
     return c.select(*KEYS, text.render_sentence(F.col("tokens_corrupted"), F.col("substitutions")[0]["pos"]).alias("rendered"))
 
 
 def render_gap(spark, sf_dir):
-    c = features.located_gaps(_corrupted(_sentences(spark, sf_dir))).where("gap_idx is not null")
+    c = features.located_gaps(_corrupted(*_corpus(spark, sf_dir))).where("gap_idx is not null")
     return c.select(*KEYS, text.render_gap(F.col("tokens_corrupted"), F.col("gap_idx")).alias("rendered"))
 
 
 def top_examples(spark, sf_dir):
-    s = _sentences(spark, sf_dir)
-    model = lm.fit(s)
-    top = report.top_rows(_gap_rows(s), "gap_score", "gap_idx", TOP).join(s, [*KEYS]).withColumn("gap_idx", F.col("gap_idx").cast("int"))
+    s, model = _corpus(spark, sf_dir)
+    top = report.top_rows(_gap_rows(s, model), "gap_score", "gap_idx", TOP).join(s, [*KEYS]).withColumn("gap_idx", F.col("gap_idx").cast("int"))
     found = suggest.suggest_insertions(top.select(F.col("rank").alias("place"), "tokens", "gap_idx"), ["place"], model, lm.top_frequent_vocab(model, TOP_VOCAB))
     listed = found.groupBy(F.col("place").alias("rank")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate"))), lambda x: x["candidate"]), ", ").alias("suggestions"))
     return top.join(listed, "rank", "left").select("rank", "gap_score", F.concat_ws(" ", "left", "right").alias("item"), text.render_gap(F.col("tokens"), F.col("gap_idx")).alias("sentence"), F.coalesce("suggestions", F.lit("(нет)")).alias("suggestions"))
 
 
 def _labelled_features(spark, sf_dir) -> DataFrame:
-    s = _sentences(spark, sf_dir)
-    model = lm.fit(s)
-    c = _corrupted(s)
+    s, model = _corpus(spark, sf_dir)
+    c = Scratch(spark, "labels").write(_corrupted(s, model), "corrupted")
     shown = c.select(*KEYS, F.col("tokens_corrupted").alias("tokens"))
     rows = features.token_features(shown, model, embed.train_embedding(s, model))
     return features.attach_labels(rows, features.token_labels(c), [*KEYS, "token_idx"])
 
 
 def lr_scores(spark, sf_dir):
-    rows = _labelled_features(spark, sf_dir).persist()
+    rows = Scratch(spark, "features").write(_labelled_features(spark, sf_dir), "rows")
     return ml.train_token_classifier(rows).predict(rows).select(*KEYS, "token_idx", "token", "label", "lr_score")
 
 
 def subword_outlier(spark, sf_dir):
-    s = _sentences(spark, sf_dir)
-    return embed.token_outliers(s, embed.train_embedding(s, lm.fit(s)))
+    s, model = _corpus(spark, sf_dir)
+    return embed.token_outliers(s, embed.train_embedding(s, model))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
