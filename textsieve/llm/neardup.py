@@ -192,15 +192,15 @@ def _alike(least: float):
     return run
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, work: Workspace, tag: str) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union on full sets; signatures, 8 bits a hash, come first."""
     least = percent / 100 + (1 - percent / 100) / 256
     least -= SIGMAS * (least * (1 - least) / HASHES) ** 0.5
     sides = lambda df, column: df.join(sets.select(F.col("node").alias("a"), F.col(column).alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col(column).alias("y")), "b")
-    likely = work.write(sides(pairs.select("a", "b"), "sig").select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long"), f"likely_{tag}")
+    likely = sides(pairs.select("a", "b"), "sig").select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long")
     both = F.size(F.array_intersect("x", "y"))
     xy = sides(likely, "set").withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both")))
-    return work.write(xy.select("a", "b"), f"links_{tag}")
+    return xy.select("a", "b")
 
 
 def _rarity(sets: DataFrame) -> np.ndarray:
@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     placed = signed.select("node", F.explode("regions").alias("region"))
     shared = placed.groupBy("region").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("region")
     shared = work.write(shared, "shared")
-    wanted = work.write(placed.join(shared, "region").select("node").distinct(), "wanted")
+    wanted = placed.join(shared, "region").select("node").distinct()
     reps = work.write(signed.select("node", "doc_id").join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
     sent = spark.sparkContext.broadcast(_unpacked(bitmap(reps.select(F.xxhash64("rep").alias("k")))))
     made = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets(shingle, sent), "doc_id long, node long, set array<bigint>, sig binary, regions array<bigint>, labels array<bigint>")
@@ -319,12 +319,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     edge = found.where("kind = 1").dropDuplicates(["region", "label", "a"]).withColumn("p", F.lag(F.struct("region", "a")).over(across)).where("p.region = region").select("a", F.col("p.a").alias("b"), F.lit(0).alias("depth"))
     pairs = found.where("kind = 0").select("a", "b", "depth").union(edge).where("a <> b")
     pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("trees"), F.sum("depth").alias("depth"))
-    pairs = work.write(pairs, "pairs")
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "trees", "depth"))
     mine = Window.partitionBy("a").orderBy(F.col("trees").desc(), F.col("depth").desc(), "b")  # 2 * TREES neighbours at most
     best = both.withColumn("k", F.row_number().over(mine)).where(F.col("k") <= BEST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    roots = work.write(connected_components(_confirm(work.write(best, "best"), sets, percent, work, "best"), work), "roots")
-    work.drop("neighbours", "pairs", "best", "shared", "wanted")
+    roots = work.write(connected_components(_confirm(best, sets, percent), work), "roots")
+    work.drop("neighbours", "shared", "cc0")
 
     # 2. regions where components meet, level by level
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -355,17 +354,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         if not every and large.limit(1).count():
             mine = Window.partitionBy("node")  # TREES rows of a node at most
             placed = step.write(large.select("region", "node", F.struct(F.sum("m").over(mine).alias("company"), "node").alias("p")), "large")
-            pivots = step.write(placed.groupBy("region").agg(F.max("p").alias("p")), "pivots")
+            pivots = placed.groupBy("region").agg(F.max("p").alias("p"))
             if level == 0:  # regions with the same pivot are one group; a region takes the best pivot of its nodes
                 placed = placed.drop("p").join(pivots, "region").withColumn("p", F.max("p").over(mine))
-                pivots = step.write(placed.groupBy("region").agg(F.max("p").alias("p")), "leads")
+                pivots = placed.groupBy("region").agg(F.max("p").alias("p"))
             # later each stays alone, so that groups shrink
             placed = placed.select("region", "node").join(pivots.select("region", F.col("p.node").alias("pivot")), "region")
             members = step.write(placed.select((F.col("pivot") if level == 0 else F.col("region")).alias("group"), "pivot", "node").distinct(), "members")
             tests = tests.union(rooted(rooted(members), "pivot", "rp").where("root <> rp").select(*pair("pivot", "node")))
         if more is not None:
             tests = tests.union(rooted(rooted(more, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b"))
-        links = _confirm(step.write(tests.distinct(), "tests"), sets, percent, step, "step")
+        links = step.write(_confirm(tests.distinct(), sets, percent), "links")
         if links.limit(1).count():
             roots = work.write(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), step), f"roots{level}")
         if members is None:
@@ -373,8 +372,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         placed = rooted(rooted(members), "pivot", "rp").select("group", "node", "root", (F.col("root") != F.col("rp")).alias("outside"))
         placed = step.write(placed, "placed")
         still = placed.groupBy("group").agg(F.max("outside").alias("any"), F.count(F.lit(1)).alias("m")).where("any").select("group", "m")
-        placed = step.write(placed.join(step.write(still, "still"), "group"), "left")
-        cores = step.write(_consensus(placed, sets), "cores")
+        placed = step.write(placed.join(still, "group"), "left")
+        cores = _consensus(placed, sets)
         rarity = spark.sparkContext.broadcast(_rarity(sets)) if rarity is None else rarity
         with_sets = placed.join(sets.select("node", F.col("set").alias("x")), "node").join(cores, "group", "left")
         kinds = "kind int, key long, group long, node long, root long, n int, room double, mask long"
@@ -382,13 +381,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         more = work.write(_within_core(deeper, percent), f"more{level}")
         lists = deeper.where("kind = 0").select(F.col("key").alias("region"), "node", "root")
         useful = lists.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
-        regions = work.write(lists.join(step.write(useful, "useful"), "region").select("region", "node").distinct(), f"regions{level}")
+        regions = work.write(lists.join(useful, "region").select("region", "node").distinct(), f"regions{level}")
         step.clear()
         level += 1
     work.drop("orders", "sets")
     named = signed.select("doc_id", "mark", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = work.write(named.select("doc_id", "mark", "n", "node", "root"), "named")
-    least = work.write(named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
+    least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return named.join(least, "root", "left").select("doc_id", "mark", "n", "node", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
@@ -407,13 +406,14 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     one = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("m"))
     judged = found.where("root is not null").groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).join(one, "root")
     stays = F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("mark") == F.col("m.mark"))
-    judged = judged.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), stays.alias("__stays"), "n").where("n > 1 or not __stays")
-    judged = work.write(judged.groupBy("__id", "__mark").agg(F.max("__stays").alias("__stays")), "judged")
+    judged = judged.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), stays.alias("_stays"), "n").where("n > 1 or not _stays")
+    judged = work.write(judged.groupBy("_id", "_mark").agg(F.max("_stays").alias("_stays")), "judged")
     work.drop("found")
-    others, maybe = split_by_keys(docs, F.xxhash64(docs["doc_id"].cast("long")), judged.select(F.xxhash64("__id").alias("k")))
-    text = F.coalesce(maybe["text"], F.lit(""))
-    condition = maybe["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark"))
-    joined = maybe.join(judged, condition, "left")
-    untouched = joined.where("__stays is null").select(*docs.columns)
-    once = maybe.join(judged.where("__stays"), condition, "left_semi").dropDuplicates(["doc_id", "text"])
-    return others.unionByName(untouched).unionByName(once)
+    names = docs.columns
+    rows = docs.toDF(*(f"c{k}" for k in range(len(names))))  # by position, so that no name can clash
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
+    others, maybe = split_by_keys(rows, F.xxhash64(doc_id.cast("long")), judged.select(F.xxhash64("_id").alias("k")))
+    condition = doc_id.cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_mark"))
+    untouched = maybe.join(judged, condition, "left").where("_stays is null").select(*rows.columns)
+    once = maybe.join(judged.where("_stays"), condition, "left_semi").dropDuplicates([f"c{names.index(c)}" for c in ("doc_id", "text")])
+    return others.unionByName(untouched).unionByName(once).toDF(*names)
