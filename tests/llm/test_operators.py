@@ -270,7 +270,7 @@ def test_counts_of_contexts_do_not_depend_on_cuts():
         rows = [(k, p) for g in groups for out in lmscore._learned(sent)(iter([pa.RecordBatch.from_arrays([pa.array(g)], ["text"])])) for k, p in zip(out["key"].to_pylist(), out["payload"].to_pylist(), strict=True)]
         rows.sort(key=lambda r: r[0])
         batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([p for _, p in rows], pa.binary())], ["key", "payload"])
-        return {k: lmscore.zlib.decompress(p) for out in lmscore._summed(iter([batch])) for k, p in zip(out["key"].to_pylist(), out["payload"].to_pylist(), strict=True)}
+        return {k: p for out in lmscore._summed(iter([batch])) for k, p in zip(out["key"].to_pylist(), out["payload"].to_pylist(), strict=True)}
 
     assert learned([lines]) == learned([[x] for x in lines])
 
@@ -459,6 +459,7 @@ def test_secrets(spark):
     assert keyed((r["doc_id"], r["base_sha256"]) for r in got) == want
     by = {r["doc_id"]: r for r in got if r["doc_id"] != 1}
     assert by[8]["spans"] == "token:4:31" and by[2]["n_live"] == 0 and by[7]["n_live"] == 2
+    assert by[2]["spans"] == "hex:12:44" and by[9]["spans"] == "hex:0:144000,live:0:144000"  # an example in two sources; one owner's value
     red = {r["doc_id"]: r["text"] for r in secrets.redact(table(spark, rows)).collect() if r["doc_id"] != 1}
     assert red[2] == rows[1][1] and red[8] == "key [SECRET] end" and red[5] is None and red[6] == "" and red[9] == "[SECRET]"
     assert secrets.digest(secrets.scan_secrets(table(spark, []))).count() == 0
@@ -474,6 +475,67 @@ def test_secrets_of_one_owner_are_live_in_any_number_of_documents(spark):
     assert red == {d: t if d >= 20 else t.replace(t.split()[1], "[SECRET]") for d, t, _ in rows}
 
 
+def test_secret_frequencies_are_plain_counts(spark):
+    rng = random.Random(4)
+    values = [f"{rng.getrandbits(128):032x}" for _ in range(12)]
+    rows = [(i, " ".join(rng.choices(values, k=rng.randint(0, 3))) + f" {i % 40}", rng.choice(("a", "b", "c", None)) if i % 2 else "a") for i in range(120)]
+    rows += [(200, *rows[5][1:])]
+    got = secrets.scan_secrets(table(spark, rows)).collect()
+    texts, owners = {}, {}
+    for _, t, s in rows:
+        for v in t.split()[:-1]:
+            texts.setdefault(v, set()).add((s, t))
+            owners.setdefault(v, set()).add(s)
+    by_text = {t: [v for v in t.split()[:-1]] for _, t, _ in rows}
+    ids = {d: t for d, t, _ in rows}
+    for r in got:
+        assert [(x["documents"], x["owners"], x["live"]) for x in r["spans"]] == [(len(texts[v]), len(owners[v]), len(owners[v]) <= 1) for v in by_text[ids[r["doc_id"]]]]
+    shown = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan_secrets(table(spark, rows))).collect()}
+    assert all(("live" in shown[d]) == any(len(owners[v]) <= 1 for v in by_text[t]) for d, t in ids.items())
+
+
+def test_toxic_scores_by_hand_and_a_model_without_labels(spark):
+    import pyarrow as pa
+
+    score = np.zeros(1 << toxicity.BITS, np.float32)
+    odds = {"vile": 3.0, "rude": 1.7, "fine": -1.2, "word": -0.4}
+    for w, v in odds.items():
+        score[toxicity._tokens(pa.array([w]))[0][0, 0]] = v
+    model = toxicity.ToxicityModel(score, drift=0.1, decay=0.8, size=0.2, weights=(-2.0, 0.4, 0.9))
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(list(odds), k=rng.randint(0, 30)))) for i in range(60)] + [(99, None), (98, "")]
+    for r in toxicity.score_toxicity(table(spark, rows).select("doc_id", F.lit(1).alias("toxic_score"), "text"), model).collect():
+        x = [odds[w] - 0.1 for w in (r["text"] or "").split()]
+
+        def best(lo, hi, x=x):  # the best run, then what is left and right of it
+            found = max(((sum(x[i:j]), i - j, i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)), default=None)
+            return [] if found is None or found[0] <= 1e-9 else [*best(lo, found[2]), found[0], *best(found[3], hi)]
+
+        runs, base = best(0, len(x)), np.log(0.2 * max(len(x), 1))
+        evidence = [0.8 * s - base for s in runs]
+        a, b = max(evidence, default=-base), np.log1p(sum(e for e in evidence if e > -np.log(0.01)))
+        assert r["toxic_score"] == pytest.approx(1 / (1 + np.exp(2.0 - 0.4 * a - 0.9 * b)), rel=1e-5)
+    with pytest.warns(UserWarning):
+        one = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, toxic int")
+        assert toxicity.drop_toxic(table(spark, rows), one).count() == len(rows)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_tables(spark, tmp_path, k):
+    """Nulls in every column, repeated rows, a very long text, no rows at all, columns whose names the operators use inside."""
+    name, stage = corpus_pipeline.STAGES[k]
+    spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, f"plain words number {i} and some more of them here", "s") for i in range(40)] + [(None, None, None), (None, None, None), (50, "", None), (51, "w " * 300_000, "s"), (51, "w " * 300_000, "s")]
+    for some in (rows, []):
+        docs = table(spark, some).withColumns({"__id": F.lit(1), "n_words": F.lit(2), "toxic_score": F.lit(3.0), "__at": F.lit(4), "items": F.lit("i"), "kept": F.lit(True)})
+        out = stage(spark, docs, str(tmp_path))
+        assert k == 4 or out.columns == docs.columns
+        assert (out.count() > 30) == bool(some)
+        if name == "near_duplicates" and some:
+            assert out.where("doc_id = 51").count() == 1
+
+
 def test_pipeline(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     work, columns = Workspace(spark, "t"), docs.columns

@@ -20,6 +20,7 @@ unread and never enter a score.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +33,7 @@ from textsieve.llm.bytehash import ALNUM, raw, slices, word_hashes
 from textsieve.llm.common import fold, limit_batches, texts
 
 BITS = 20
-PREFIXES = (4, 5, 6)
+PREFIXES: tuple[int, ...] = (4, 5, 6)
 BATCH_BYTES = 4 << 20
 LAMBDAS = tuple(0.05 * 1.25**k for k in range(24))
 SEGMENTS = "array<struct<first:int,last:int,score:double,e_value:double>>"
@@ -126,9 +127,9 @@ def _logistic(x: np.ndarray, t: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, prior: float = 500.0, shrink: float = 1.5, weak: float = 1.5, drift: float = 0.05, least: int = 3) -> ToxicityModel:
-    """A model from the labelled documents among docs whose ids are in the training folds (crc32 modulo 5 not 0)."""
-    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold() != 0)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, prior: float = 500.0, shrink: float = 1.5, weak: float = 1.5, drift: float = 0.05, least: int = 3, folds: tuple[int, ...] = (1, 2, 3, 4)) -> ToxicityModel:
+    """A model from the labelled documents among docs whose ids are in the training folds (crc32 modulo 5)."""
+    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold().isin(*folds))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not share.get(0) or not share.get(1):
@@ -195,10 +196,14 @@ def _best(sent):
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """docs with toxic_score and toxic_segments (every significant one: first and last token, score, E-value)."""
+    """docs with toxic_score and toxic_segments (every significant one: first and last token, score, E-value).
+
+    Columns of docs with these two names are replaced.
+    """
     limit_batches(docs.sparkSession)
-    out = docs.withColumns({"toxic_score": F.lit(0.0), "toxic_segments": F.array().cast(SEGMENTS)})
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    own = docs.select(*(docs[c] for c in docs.columns if c not in ("toxic_score", "toxic_segments")))
+    out = own.select("*", F.lit(0.0).alias("toxic_score"), F.array().cast(SEGMENTS).alias("toxic_segments"))
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), own.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -223,8 +228,13 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without those that score threshold or more."""
+    """docs without those that score threshold or more. Without usable labels of both kinds there is nothing to tell them
+    apart by: all stay, and a warning says so."""
+    model = fit_toxicity(docs, labels)
+    if model.constant is not None:
+        warnings.warn("no documents dropped: labels of both kinds are needed to learn toxicity", stacklevel=2)
+        return docs
     names = docs.columns
     plain = docs.select(*(docs[c].alias(f"_{k}") for k, c in enumerate(names)), docs["text"].alias("text"))
-    kept = score_toxicity(plain, fit_toxicity(docs, labels)).where(F.col("toxic_score") < threshold)
+    kept = score_toxicity(plain, model).where(F.col("toxic_score") < threshold)
     return kept.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(names)))
