@@ -140,8 +140,18 @@ def test_experiment(spark, tmp_path):
     assert metrics["corpus_type"] == "toy" and metrics["corpus"]["sentences"] == 360 and metrics["correction"]["subs_total"] > 0
     report = (tmp_path / "out" / "top_examples.md").read_text()
     assert report.count("\ninsert suggest: ") == 3 and report.count("\nsuggest: ") == 3
-    assert "lr_score | AP=" in experiment.summarize(json.loads((tmp_path / "out" / "metrics.json").read_text()))
-    assert "top1=0.000" in experiment.summarize({})
+    saved = json.loads((tmp_path / "out" / "metrics.json").read_text())
+    curve = saved["token_metrics"]["lr_score"]["pr_curve"]
+    assert len(curve["precision"]) == len(curve["recall"]) == len(curve["thresholds"]) + 1 and curve["recall"][-1] == 0
+    table = spark.read.option("header", True).csv(str(tmp_path / "out" / "pr_curve.csv"))
+    assert table.where("method = 'lr_score'").count() == len(curve["precision"]) and "<polyline" in (tmp_path / "out" / "pr_curve.svg").read_text()
+    assert "lr_score" in experiment.summarize(saved) and "first 0.000, among 5 0.000, of 0" in experiment.summarize({})
+    ids = sorted((r["id"] for r in readers.read_jsonl(spark, str(tmp_path / "out" / "corpus_sentences.jsonl")).collect()), key=lambda x: int(x[1:]))
+    assert ids == [f"s{i}" for i in range(360)]
+    exact = experiment.run_experiment(docs, experiment.Params(**{**p.__dict__, "exact_split": True})).sentences
+    assert exact.where("is_train").count() == 270
+    with pytest.raises(FileNotFoundError):
+        experiment.modern([])
     with pytest.raises(FileNotFoundError):
         experiment.main(["--input_txt", str(tmp_path / "none.txt")])
     with pytest.raises(ValueError):
@@ -158,6 +168,8 @@ class Stub:
 
 def test_masked_model_interface(spark):
     s = spark.createDataFrame([(1, ["a", "bbb", "cc"])], "k int, tokens array<string>")
+    many = spark.createDataFrame([(f"s{i}", ["a"]) for i in range(12)], "id string, tokens array<string>")
+    assert [r["id"] for r in mlm.first_sentences(many, 3).collect()] == ["s0", "s1", "s2"]
     got = mlm.most_surprising(s, Stub, ["k"], words=2).orderBy("rank").collect()
     assert [(r["idx"], r["nll_norm"], r["replacements"]) for r in got] == [(1, 1.5, ["BBB"]), (2, 1.0, ["CC"])]
 

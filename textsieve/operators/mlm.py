@@ -44,6 +44,11 @@ def topk_word_replacements(rows: DataFrame, load: Callable[[], Scorer], k: int =
     return rows.withColumn("replacements", found("tokens", "idx"))
 
 
+def first_sentences(sentences: DataFrame, n: int = 5, order: str = "id") -> DataFrame:
+    """The first n sentences, shorter ids first, for a look at a model. The limit is the point of it."""
+    return sentences.orderBy(F.length(order), order).limit(n)
+
+
 def most_surprising(sentences: DataFrame, load: Callable[[], Scorer], keys: list[str], words: int = 3, k: int = 5) -> DataFrame:
     """The words of each sentence with the highest nll per subtoken, with replacements."""
     x = pll_word_nll(sentences, load).select(*keys, "tokens", F.posexplode("nll_norm").alias("idx", "nll_norm"))

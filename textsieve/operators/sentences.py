@@ -51,6 +51,21 @@ def split_train_test(sentences: DataFrame, train_frac: float = 0.75, seed: int =
     return sentences.withColumn("is_train", uniform(str(seed), F.lit("split"), F.col("doc_id"), F.col("sent_pos")) < train_frac)
 
 
+def split_exact(sentences: DataFrame, train_frac: float = 0.75, seed: int = 7) -> DataFrame:
+    """Adds is_train to exactly floor(n * train_frac) of n sentences, those with the lowest draws.
+
+    Draws are range-partitioned and numbered inside their range; only the ranges' counts meet in one place.
+    """
+    keep, keys = Scratch(sentences.sparkSession, "split"), ["doc_id", "sent_pos"]
+    drawn = sentences.select(*keys, uniform(str(seed), F.lit("split"), F.col("doc_id"), F.col("sent_pos")).alias("draw"))
+    ranges = keep.write(drawn.repartitionByRange("draw", *keys).withColumn("part", F.spark_partition_id()), "draws")
+    sums = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
+    before = sums.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("base"), F.sum("m").over(Window.partitionBy(F.lit(0))).alias("n"))
+    rank = F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy("draw", *keys))
+    chosen = ranges.join(before, "part").select(*keys, (rank <= F.floor(F.col("n") * train_frac)).alias("is_train"))
+    return sentences.join(chosen, keys)
+
+
 def ranked(words: DataFrame, column: str = "w", start: Column | int = 1) -> DataFrame:
     """Adds rank in code point order. Words are numbered inside groups of equal first two characters; only the groups' counts are ordered in one place."""
     grouped = words.withColumn("_p", F.substring(column, 1, 2))

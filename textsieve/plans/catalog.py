@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textsieve.functions import text
 from textsieve.operators import corrupt as noise
 from textsieve.operators import embed, evaluate, features, lm, ml, report, suggest
-from textsieve.operators.sentences import sentence_ids, split_train_test, text_to_sentences
+from textsieve.operators.sentences import sentence_ids, split_exact, split_train_test, text_to_sentences
 from textsieve.plans.oracles import ORACLES
 from textsieve.sources.scratch import Scratch
 
@@ -263,6 +263,35 @@ def top_examples(spark, sf_dir):
     return top.join(listed, "rank", "left").select("rank", "gap_score", F.concat_ws(" ", "left", "right").alias("item"), text.render_gap(F.col("tokens"), F.col("gap_idx")).alias("sentence"), F.coalesce("suggestions", F.lit("(нет)")).alias("suggestions"))
 
 
+def top_examples_tokens(spark, sf_dir):
+    s, model = _corpus(spark, sf_dir)
+    scored = lm.token_surprisal(s, model, "forward").select(*KEYS, "idx", "w", _six("surprisal").alias("surprisal"))
+    top = report.top_rows(scored, "surprisal", "idx", TOP).join(s, [*KEYS])
+    found = suggest.suggest_replacements(top.select(F.col("rank").alias("place"), "tokens", "idx"), ["place"], model, lm.top_frequent_vocab(model, TOP_VOCAB))
+    listed = found.groupBy(F.col("place").alias("rank")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate"))), lambda x: x["candidate"]), ", ").alias("suggestions"))
+    return top.join(listed, "rank", "left").select("rank", "surprisal", F.col("w").alias("item"), text.render_sentence(F.col("tokens"), F.col("idx")).alias("sentence"), F.coalesce("suggestions", F.lit("(нет)")).alias("suggestions"))
+
+
+def corrupt_confusable(spark, sf_dir):
+    found = _corrupted(*_corpus(spark, sf_dir), prefer_confusable=True)
+    return found.select(*KEYS, F.explode("substitutions").alias("s")).select(*KEYS, "s.pos", F.col("s.orig").alias("original"), F.col("s.new").alias("replacement"))
+
+
+def lr_predict(spark, sf_dir):
+    fixed = ml.TokenClassifier(("log_freq", "char_len"), (3.0, 6.0), (2.0, 2.5), (-0.8, 0.3), -1.5)
+    return fixed.predict(token_freq_len(spark, sf_dir)).select(*KEYS, "token_idx", _six("lr_score").alias("lr_score"))
+
+
+def matched_scores(spark, sf_dir):
+    s, model = _corpus(spark, sf_dir)
+    return features.matched_scores(_gap_rows(s, model), features.gap_labels(_corrupted(s, model)), [*KEYS, "gap_idx"], "gap_score")
+
+
+def split_exact_counts(spark, sf_dir):
+    s = split_exact(Scratch(spark, "exact").write(_sentences(spark, sf_dir), "sentences"), 0.75, SEED)
+    return s.select(*KEYS, "is_train")
+
+
 def _labelled_features(spark, sf_dir) -> DataFrame:
     s, model = _corpus(spark, sf_dir)
     c = Scratch(spark, "labels").write(_corrupted(s, model), "corrupted")
@@ -288,7 +317,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         gap_scores, gap_top, bigram_neglogprob, top_vocab, token_freq_len, confusables, levenshtein_limited, corrupt_deletions, corrupt_substitutions,
         corrupted_sentences, token_labels, gap_labels, located_deletions, pr_curve, average_precision, prf_at_threshold, compare_methods,
         suggest_replacements, suggest_insertions, correction_topk, embedding_outlier, cosine_pairs, scaler_stats, class_weights, render_sentence,
-        render_gap, top_examples, lr_scores, subword_outlier,
+        render_gap, top_examples, top_examples_tokens, corrupt_confusable, lr_predict, matched_scores, split_exact_counts, lr_scores, subword_outlier,
     )
 } | {
     "token_surprisal_fwd": _surprisal("forward"), "token_surprisal_bwd": _surprisal("backward"), "token_surprisal_bidi": _surprisal("both"),

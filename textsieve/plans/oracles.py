@@ -176,6 +176,15 @@ ORACLES: dict[str, str] = {
     "confusables": f"""{_COR}, tgt AS (SELECT DISTINCT orig AS target FROM cor WHERE s IS NOT NULL),
 near AS (SELECT target, w FROM (SELECT target, w, row_number() OVER (PARTITION BY target ORDER BY w) AS k FROM tgt JOIN vocab ON substr(w, 1, 1) = substr(target, 1, 1) AND abs(length(w) - length(target)) <= 2 AND w <> target) WHERE k <= 2000 AND levenshtein(target, w) <= 2)
 SELECT target, choice FROM tgt LEFT JOIN (SELECT target, arg_min(w, md5('7|' || target || '|' || w)) AS choice FROM near GROUP BY 1) USING (target)""",
+    "corrupt_confusable": f"""{_COR}, tgt AS (SELECT DISTINCT orig AS target FROM cor WHERE s IS NOT NULL),
+near AS (SELECT target, w FROM (SELECT target, w, row_number() OVER (PARTITION BY target ORDER BY w) AS k FROM tgt JOIN vocab ON substr(w, 1, 1) = substr(target, 1, 1) AND abs(length(w) - length(target)) <= 2 AND w <> target) WHERE k <= 2000 AND levenshtein(target, w) <= 2)
+SELECT doc_id, sent_pos, s AS pos, orig AS original, coalesce(choice, new) AS replacement FROM cor LEFT JOIN (SELECT target, arg_min(w, md5('8|' || target || '|' || w)) AS choice FROM near GROUP BY 1) ON target = orig WHERE s IS NOT NULL""",
+    "lr_predict": f"{_LOG_FREQ} SELECT doc_id, sent_pos, token_idx, round(1 / (1 + exp(-(-1.5 - 0.8 * (log_freq - 3.0) / 2.0 + 0.3 * (char_len - 6.0) / 2.5))), 6) + 0.0 AS lr_score FROM tl",
+    "matched_scores": f"{_COR}, {_GAPS} SELECT gap_score AS score, (loc.gap_idx IS NOT NULL)::INTEGER AS label FROM gs JOIN cg USING (doc_id, sent_pos, gap_idx) LEFT JOIN loc ON loc.doc_id = gs.doc_id AND loc.sent_pos = gs.sent_pos AND loc.gap_idx = gs.gap_idx",
+    "split_exact_counts": f"WITH {SENT}, d AS (SELECT doc_id, sent_pos, row_number() OVER (ORDER BY {_draw(7, 'split')}, doc_id, sent_pos) AS k, count(*) OVER () AS n FROM sent) SELECT doc_id, sent_pos, k <= floor(n * 0.75) AS is_train FROM d",
+    "top_examples_tokens": f"""{_ALL}, {_FWD}, {_TOP_TOKENS}, {_suggested("tgt")}, lst AS (SELECT place, string_agg(candidate, ', ' ORDER BY rank) AS suggestions FROM sug GROUP BY 1)
+SELECT top.place::INTEGER AS rank, round(s, 6) + 0.0 AS surprisal, top.token AS item, array_to_string(list_concat(tokens[1:token_idx], ['**' || tokens[token_idx + 1] || '**'], tokens[token_idx + 2:]), ' ') AS sentence, coalesce(suggestions, '(нет)') AS suggestions
+FROM top JOIN sent USING (doc_id, sent_pos) LEFT JOIN lst ON lst.place = top.place""",
     "levenshtein_limited": "SELECT p.p_partkey, CASE WHEN levenshtein(p.p_name, q.p_name) <= 8 THEN levenshtein(p.p_name, q.p_name) ELSE -1 END AS distance FROM part AS p JOIN part AS q ON q.p_partkey = p.p_partkey + 1",
     "corrupt_deletions": f"{_COR} SELECT doc_id, sent_pos, d AS pos, dtok AS token, dl AS left_token, dr AS right_token FROM cor WHERE d IS NOT NULL",
     "corrupt_substitutions": f"{_COR} SELECT doc_id, sent_pos, s AS pos, orig AS original, new AS replacement FROM cor WHERE s IS NOT NULL",

@@ -83,17 +83,66 @@ def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def corrupted_records(corrupted: DataFrame) -> DataFrame:
     """The nested records of synthetic errors, as written."""
-    return corrupted.select(F.concat_ws(":", "doc_id", "sent_pos").alias("id"), F.col("tokens").alias("tokens_clean"), "tokens_corrupted", "substitutions", "deletions")
+    return corrupted.select("id", F.col("tokens").alias("tokens_clean"), "tokens_corrupted", "substitutions", "deletions")
 
 
-def strip_markup(html: DataFrame, column: str = "html") -> DataFrame:
-    """(doc_id, text) of raw pages; tags are dropped by normalisation."""
-    return html.select(F.col("page_id").alias("doc_id"), F.col(column).alias("text"))
+def _file(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def metrics_document(comparison: DataFrame, corrections: DataFrame, params: dict, corpus: dict, weights: dict[str, float], corpus_type: str | None = None) -> dict:
-    """A nested document of a few rows per method and kind."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or a pattern of files is there, in any file system that Spark knows."""
+    where, system = _file(spark, path)
+    return bool(system.globStatus(where))
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in any file system that Spark knows; an old one is replaced."""
+    where, system = _file(spark, path)
+    out = system.create(where, True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    """A small file from any file system that Spark knows."""
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
+def thinned_curves(curves: DataFrame, points: int) -> dict[str, dict[str, list]]:
+    """By method the curve as lists, closing point last; of longer curves about `points` evenly spaced ones. The table has all."""
+    sizes = curves.groupBy("method").agg(F.max("position").alias("last"))
+    step = F.greatest(F.ceil(F.col("last") / points), F.lit(1))
+    kept = curves.join(F.broadcast(sizes), "method").where((F.col("position") % step == 0) | (F.col("position") == F.col("last")))
+    out: dict[str, dict[str, list]] = {}
+    for r in sorted(kept.collect(), key=lambda r: (r["method"], r["position"])):
+        c = out.setdefault(r["method"], {"precision": [], "recall": [], "thresholds": []})
+        c["precision"].append(r["precision"])
+        c["recall"].append(r["recall"])
+        if r["threshold"] is not None:
+            c["thresholds"].append(r["threshold"])
+    return out
+
+
+def curve_picture(precision: list[float], recall: list[float], title: str) -> str:
+    """The curve as a small SVG document."""
+    at = " ".join(f"{50 + 400 * r:.1f},{430 - 400 * p:.1f}" for p, r in zip(precision, recall, strict=True))
+    return (
+        '<svg xmlns="http://www.w3.org/2000/svg" width="480" height="480" font-family="sans-serif" font-size="13">'
+        '<rect x="50" y="30" width="400" height="400" fill="none" stroke="#999"/>'
+        f'<polyline points="{at}" fill="none" stroke="#1f5fa8" stroke-width="2"/><text x="50" y="20">{title}</text>'
+        '<text x="230" y="460">Recall</text><text x="15" y="240" transform="rotate(-90 15 240)">Precision</text></svg>'
+    )
+
+
+def metrics_document(comparison: DataFrame, corrections: DataFrame, params: dict, corpus: dict, weights: dict[str, float], corpus_type: str | None = None, curves: dict | None = None) -> dict:
+    """A nested document of a few rows per method and kind, with each method's curve."""
     rows = {r["method"]: {k: r[k] for k in ("average_precision", "precision", "recall", "f1", "threshold")} for r in comparison.collect()}
+    for method, curve in (curves or {}).items():
+        rows.setdefault(method, {})["pr_curve"] = curve
     found = {r["kind"]: r for r in corrections.collect()}
     correction: dict = {"top_k": params.get("top_k", 5)}
     for kind, short in (("substitution", "subs"), ("deletion", "dels")):
@@ -101,6 +150,6 @@ def metrics_document(comparison: DataFrame, corrections: DataFrame, params: dict
         correction |= {f"{short}_top1": r["top1"] if r else 0.0, f"{short}_topk": r["topk"] if r else 0.0, f"{short}_total": r["events"] if r else 0}
     out = {
         "corpus": corpus, "params": params, "token_metrics": {k: v for k, v in rows.items() if k != "gap_score"}, "gap_metrics": {k: v for k, v in rows.items() if k == "gap_score"},
-        "classifier_weights": weights, "thresholds": {k: v["threshold"] for k, v in rows.items()}, "correction": correction,
+        "classifier_weights": weights, "thresholds": {k: v["threshold"] for k, v in rows.items() if "threshold" in v}, "correction": correction,
     }
     return out | ({"corpus_type": corpus_type} if corpus_type else {})
