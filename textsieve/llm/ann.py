@@ -5,23 +5,29 @@ of 16 codewords (four bits). Codewords and codes minimise |r|^2 + (eta - 1) (r.x
 x, which moves large inner products, counts eta times (Guo et al. 2020). Both are found by coordinate descent over the
 subspaces; codewords on a bounded sample, codes for every row.
 
-A search adds up, for each row, the entries of the query's tables (one per subspace, 8 bits an entry) that the row's
-codes name. The `rerank` rows with the highest sums in each stretch of rows, and all that tie with the last, are
-measured on the original vectors in double precision. Queries are sent out in blocks of bounded size, each against all
-rows; a task keeps the k best per query, and a window over these picks the k best of all.
+Rows lie in cells, by the nearest of up to MAX_CELLS centroids that are fitted on the sample, about CELL rows each. A query
+is sent to as many of its nearest cells as hold the wanted share (`coverage`) of true neighbours in the sample; one that
+meets less than k rows there goes to all. Cells meet their queries by a shuffle; large ones are dealt out to chunks of about
+CHUNK rows and QUERIES queries, so no cell is too large for a task.
+
+In a chunk a search adds up, for each row, the entries of the query's tables (one per subspace, 8 bits an entry) that the
+row's codes name. The `rerank` rows with the highest sums, and all that tie with the last, are measured on the original
+vectors in double precision. A window over the chunks' k best picks the k best of all.
 
 Defined cases: null, zero, non-finite vectors or such with null components take no part, neither do those of another
-length than most vectors have; rows with a query's own id are not its candidates; equal scores go by the smaller id;
-rows with a null id are neither queries nor candidates; repeated rows are candidates each; an empty table gives no
-rows; other columns are ignored.
+length than most vectors have; rows with a query's own id are not its candidates; a query id that repeats counts with its
+least vector; equal scores go by the smaller id; rows with a null id are neither queries nor candidates; repeated rows are
+candidates each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import islice
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 from textsieve.llm.common import Workspace
 
 CODES = 16
-STRETCH = 8192
+MAX_CELLS, CELL, CHUNK, QUERIES = 4096, 1024, 8192, 2048
 
 
 class Quantiser:
@@ -114,86 +120,150 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
+@dataclass
+class Cells:
+    """Centroids of unit vectors, and how many cells a query is sent to."""
+
+    centroids: np.ndarray
+    probes: int = 1
+
+    @classmethod
+    def fit(cls, x: np.ndarray, rows: int, coverage: float, rounds: int = 8, seed: int = 9) -> Cells:
+        """x: the sample's unit vectors; rows: of the whole table."""
+        k = min(MAX_CELLS, max(1, rows // CELL), max(1, len(x) // 8))
+        rng = np.random.default_rng(seed)
+        out = cls(x[rng.choice(len(x), k, replace=False)].copy())
+        for _ in range(rounds if k > 1 else 0):
+            own = out.order(x, 1)[:, 0]
+            sums = np.zeros_like(out.centroids)
+            np.add.at(sums, own, x)
+            length = np.sqrt((sums * sums).sum(1))
+            out.centroids[length > 0] = sums[length > 0] / length[length > 0, None]
+        if k > 1:  # in which of its nearest cells a query's true neighbours lie
+            queries = rng.choice(len(x), min(len(x), 256), replace=False)
+            own, places = out.order(x, 1)[:, 0], out.order(x[queries], k).argsort(1)
+            score = x[queries] @ x.T
+            score[np.arange(len(queries)), queries] = -2
+            near = np.argpartition(-score, min(5, len(x) - 1), 1)[:, :5]
+            rank = np.take_along_axis(places, own[near], 1)
+            out.probes = int(np.quantile(rank, coverage, method="higher")) + 1
+        return out
+
+    def order(self, x: np.ndarray, k: int) -> np.ndarray:
+        """The k nearest cells of each row, nearest first."""
+        score = x @ self.centroids.T
+        if k == 1:
+            return score.argmax(1)[:, None]
+        return np.argsort(-score, 1, kind="stable")[:, :k]
+
+
 def _vectors(rows: DataFrame, dim: int) -> DataFrame:
-    """(vec_id, vec binary of doubles) of the rows that take part."""
+    """(vec_id, is_query, vec binary of doubles) of the rows that take part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = v.values
-                if x.null_count == 0 and np.isfinite(a := x.to_numpy(zero_copy_only=False)).all() and a.any():
-                    ids.append(i)
-                    out.append(a.astype(np.float64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "vec"])
+            v = batch.column(2)
+            flat = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)  # nulls become nan
+            good = np.isfinite(flat).all(1) & flat.any(1)
+            vec = [x.tobytes() for x in np.ascontiguousarray(flat[good])]
+            keep = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(vec, pa.binary())], ["vec_id", "is_query", "vec"])
 
-    return rows.where(F.size("embedding") == dim).mapInArrow(run, "vec_id long, vec binary")
+    return rows.where(F.size("embedding") == dim).mapInArrow(run, "vec_id long, is_query boolean, vec binary")
 
 
 def _encoded(sent, dim: int):
+    """Adds each row's code and cell, and the cells that it is sent to as a query."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                codes = pack(sent.value.encode(_unit(_matrix(batch.column("vec"), dim))))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "vec", "code"])
+        quantiser, cells = sent.value
+        for batch in (b.slice(i, 2048) for b in batches for i in range(0, b.num_rows, 2048)):
+            x = _unit(_matrix(batch.column("vec"), dim))
+            codes, order = pack(quantiser.encode(x)), cells.order(x, cells.probes)
+            near = [o if q else None for o, q in zip(order.tolist(), batch.column("is_query").to_pylist(), strict=True)]
+            columns = [batch.column("vec_id"), batch.column("vec"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(order[:, 0], pa.int32()), pa.array(near, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "vec", "code", "cell", "near"])
 
     return run
 
 
-def _searched(sent, quantiser, dim: int, k: int, rerank: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, queries = sent.value
-        q_unit, quant = _unit(queries), quantiser.value
-        tables, lengths = quant.tables(q_unit), np.sqrt((queries * queries).sum(1))
-        best: list[list[tuple[float, int]]] = [[] for _ in q_ids]
-        for batch in batches:
-            for lo in range(0, batch.num_rows, STRETCH):
-                part = batch.slice(lo, STRETCH)
-                ids, x = part.column("vec_id").to_numpy(), _matrix(part.column("vec"), dim)
-                sizes = np.sqrt((x * x).sum(1))
-                codes = unpack(np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(ids), -1), quant.subspaces).T.astype(np.intp)
-                for b in range(0, len(q_ids), 64):
-                    sums = np.zeros((min(64, len(q_ids) - b), len(ids)), np.uint16 if quant.subspaces <= 256 else np.uint32)
-                    for m in range(quant.subspaces):
-                        sums += tables[b : b + 64, m][:, codes[m]]
-                    floor = np.partition(sums, -rerank, 1)[:, -rerank] if len(ids) > rerank else np.zeros(len(sums), sums.dtype)
-                    for j in range(len(sums)):
-                        near = np.flatnonzero(sums[j] >= floor[j])
-                        near = near[ids[near] != q_ids[b + j]]
-                        score = (x[near] * queries[b + j]).sum(1) / (sizes[near] * lengths[b + j])
-                        top = near[order := np.lexsort((ids[near], -score))[:k]]
-                        best[b + j] = sorted(best[b + j] + list(zip((-score[order]).tolist(), ids[top].tolist(), strict=True)))[:k]
-        rows = [(q, i, -s) for q, found in zip(q_ids.tolist(), best, strict=True) for s, i in found]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+def _best(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, quantiser: Quantiser, k: int, rerank: int) -> Iterator[tuple[int, int, float]]:
+    """(query, row, score) of each query's k best rows; codes by subspace."""
+    tables, lengths, sizes = quantiser.tables(_unit(queries)), np.sqrt((queries * queries).sum(1)), np.sqrt((x * x).sum(1))
+    for b in range(0, len(q_ids), 64):
+        sums = np.zeros((min(64, len(q_ids) - b), len(ids)), np.uint16 if quantiser.subspaces <= 256 else np.uint32)
+        for m in range(quantiser.subspaces):
+            sums += tables[b : b + 64, m][:, codes[m]]
+        floor = np.partition(sums, -rerank, 1)[:, -rerank] if len(ids) > rerank else np.zeros(len(sums), sums.dtype)
+        for j in range(len(sums)):
+            near = np.flatnonzero(sums[j] >= floor[j])
+            near = near[ids[near] != q_ids[b + j]]
+            score = (x[near] * queries[b + j]).sum(1) / (sizes[near] * lengths[b + j])
+            for i in np.lexsort((ids[near], -score))[:k]:
+                yield int(q_ids[b + j]), int(ids[near[i]]), float(score[i])
+
+
+def _searched(sent, dim: int, k: int, rerank: int):
+    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or queries.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        quantiser = sent.value[0]
+        matrix = lambda v: np.frombuffer(b"".join(map(bytes, v)), np.float64).reshape(-1, dim)
+        codes = np.frombuffer(b"".join(map(bytes, rows["code"])), np.uint8).reshape(len(rows), -1)
+        found = _best(queries["query_id"].to_numpy(), matrix(queries["vec"]), rows["vec_id"].to_numpy(), matrix(rows["vec"]), unpack(codes, quantiser.subspaces).T.astype(np.intp), quantiser, k, rerank)
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     return run
 
 
-def build_index(vectors: DataFrame, work: Workspace, sample: int = 20_000) -> tuple[DataFrame, Quantiser | None, int]:
-    """(vec_id, vec, code) of every row that takes part, the quantiser fitted on `sample` rows, the vectors' length."""
+def build_index(vectors: DataFrame, is_query: Column, work: Workspace, sample: int = 20_000, coverage: float = 0.98):
+    """(rid, vec_id, vec, code, cell, near) of every row that takes part, and the broadcast quantiser and cells, fitted on `sample` rows (none without rows)."""
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("embedding")).where("vec_id is not null and size(embedding) > 0")
+    rows = rows.select("vec_id", F.coalesce(is_query, F.lit(False)).alias("is_query"), "embedding")
     sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.col("count").desc(), "n").limit(1).collect()
     dim = sizes[0]["n"] if sizes else 1
     usable = work.write(_vectors(rows, dim), "vectors")
-    drawn = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toArrow()
+    drawn = usable.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(sample).select("vec").toArrow()
     if not len(drawn):
-        return usable.withColumn("code", F.lit(b"")), None, dim
-    quantiser = Quantiser(dim).fit(_unit(_matrix(drawn.column("vec"), dim)))
-    sent = vectors.sparkSession.sparkContext.broadcast(quantiser)
-    return work.write(usable.mapInArrow(_encoded(sent, dim), "vec_id long, vec binary, code binary"), "index"), quantiser, dim
+        return None, None, dim
+    x = _unit(_matrix(drawn.column("vec"), dim))
+    sent = vectors.sparkSession.sparkContext.broadcast((Quantiser(dim).fit(x), Cells.fit(x, usable.count(), coverage)))
+    index = usable.mapInArrow(_encoded(sent, dim), "vec_id long, vec binary, code binary, cell int, near array<int>")
+    return work.write(index.withColumn("rid", F.monotonically_increasing_id()), "index"), sent, dim
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, rerank: int = 256, query_block: int = 4_096) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, rerank: int = 256, coverage: float = 0.98) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest. is_query: a condition on vec_id."""
     spark, work = vectors.sparkSession, Workspace(vectors.sparkSession, "ann")
-    index, quantiser, dim = build_index(vectors, work)
-    empty = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    found: DataFrame = empty
-    queries = index.where(is_query).select("vec_id", "vec").dropDuplicates(["vec_id"]).toLocalIterator(prefetchPartitions=False) if quantiser else iter(())
-    step, fitted = 0, spark.sparkContext.broadcast(quantiser)
-    while block := list(islice(queries, query_block)):  # query_block * dim doubles at a time
-        sent = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in block]), np.frombuffer(b"".join(bytes(r["vec"]) for r in block), np.float64).reshape(-1, dim)))
-        found = found.union(work.write(index.mapInArrow(_searched(sent, fitted, dim, k, rerank), "query_id long, vec_id long, score double"), f"found{step}"))
-        step += 1
+    index, sent, dim = build_index(vectors, is_query, work, coverage=coverage)
+    out = "query_id long, vec_id long, score double"
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    queries = index.where("near is not null").groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("vec", "near")).alias("q"))
+    queries = work.write(queries.select("query_id", "q.vec", "q.near"), "queries")
+    counts = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}  # MAX_CELLS rows at most
+
+    def search(asked: DataFrame, tag: str) -> DataFrame:
+        each = asked.select("query_id", "vec", F.explode("near").alias("cell"))
+        asking = {r["cell"]: r["count"] for r in each.groupBy("cell").count().collect()}
+        plan = [(c, math.ceil(n / CHUNK), math.ceil(asking[c] / QUERIES)) for c, n in counts.items() if c in asking]
+        plan = F.broadcast(spark.createDataFrame(plan, "cell int, chunks int, q_chunks int"))
+        part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        rows = index.join(plan, "cell").select("cell", part("rid", "chunks").alias("chunk"), upto("q_chunks").alias("q_chunk"), "vec_id", "vec", "code")
+        each = each.join(plan, "cell").select("cell", part("query_id", "q_chunks").alias("q_chunk"), upto("chunks").alias("chunk"), "query_id", "vec")
+        keys = ["cell", "chunk", "q_chunk"]
+        found = rows.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInPandas(_searched(sent, dim, k, rerank), out)
+        return work.write(found, tag)
+
+    if not queries.limit(1).count():
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = search(queries, "found")
+    if len(counts) > 1:
+        enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+        short = work.write(queries.join(enough, "query_id", "left_anti"), "short")
+        if short.limit(1).count():
+            every = F.array(*(F.lit(c) for c in sorted(counts)))
+            found = found.join(short, "query_id", "left_anti").unionByName(search(short.withColumn("near", every), "found_all"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
