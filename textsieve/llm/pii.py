@@ -4,9 +4,16 @@ Base spans (email, ip, card, phone) are found by their patterns with checks of p
 random field works on windows of white-space tokens around digits and at-signs. A segment of one to MAX_TOKENS tokens,
 trimmed of outer punctuation, gets features of the whole span (digits, separators, at-signs, Luhn sum, quad of parts,
 plus sign, letters, the word before); a tag's score is linear in them (Sarawagi and Cohen 2004). Weights maximise the
-likelihood of the base spans in a bounded sample of windows, by forward and backward sums over segmentations. Decoding
-is a dynamic program over positions and the number of entities so far, which chooses boundaries and types together.
-Decoded segments that overlap no base span and beat the alternative without them by `margin` are added.
+likelihood, by forward and backward sums over segmentations, of the base spans in a bounded sample of windows and of
+near misses made from these: spans rewritten in forms that the patterns do not match (other separators, a phone without
+its plus sign or with digits behind it, an address with spaces around its at-sign), and numbers of like shape that are no
+personal data. Decoding is a dynamic program over positions and the number of entities so far, which chooses boundaries
+and types together; a window of n tokens holds n entities at most, so that bound never cuts. Decoded segments that overlap
+no base span and beat the alternative without them by `margin` are added; of those that overlap, the one that begins
+first.
+
+Long stretches are cut into windows of WINDOW tokens that overlap by MAX_TOKENS - 1 or more, so that every segment lies
+whole in one. Segments of more than MAX_CHARS characters are none: no kind is that long.
 
 Spans are kind:start:end in code points, end exclusive, by start, then by kind as listed in KINDS.
 
@@ -18,6 +25,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,8 +39,9 @@ from textsieve.llm.bytehash import slices
 from textsieve.llm.common import texts
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS, WINDOW, AROUND = 5, 32, 2
+MAX_TOKENS, WINDOW, AROUND = 7, 32, 3
 BATCH_BYTES = 8 << 20
+MAX_CHARS, MISS_WINDOWS = 320, 150
 # The base patterns. The look-behinds only skip starts that cannot match or lie in a longer match.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -81,12 +90,15 @@ def windows(text: str) -> Iterator[list[tuple[int, int]]]:
         return
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     hot = [k for k, (a, b) in enumerate(tokens) if _TRIGGER.search(text, a, b)]
-    i = 0
+    i = end = 0
     while i < len(hot):
         lo, j = max(0, hot[i] - AROUND), i
+        if lo < end:  # the stretch goes on from the last window
+            lo = max(0, min(lo, end - MAX_TOKENS + 1))
         while j + 1 < len(hot) and hot[j + 1] - hot[j] <= AROUND and hot[j + 1] + AROUND - lo < WINDOW:
             j += 1
-        yield tokens[lo : hot[j] + AROUND + 1]
+        end = hot[j] + AROUND + 1
+        yield tokens[lo:end]
         i = j + 1
 
 
@@ -107,12 +119,14 @@ def span_features(s: str, before: str, tokens: int) -> tuple[str, ...]:
     parts = s.split(".")
     quad = len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)
     letters = any(c.isalpha() for c in s)
-    seps = "".join(sorted({c for c in s if c in " -()."}))
-    domain = "@" in s and _DOMAIN.fullmatch(s.rpartition("@")[2]) is not None
+    seps = "".join(sorted({c for c in s if c in " -()./"}))
+    odd = any(not (c.isalnum() or c in " -()./+@_%") for c in s)
+    local = "@" in s and bool(name := s.partition("@")[0].strip(" ")) and all(c in _LOCAL for c in name)
+    domain = "@" in s and _DOMAIN.fullmatch(s.rpartition("@")[2].strip(" ")) is not None
     return (
-        "bias", f"digits{size}", f"seps{seps}", f"tokens{tokens}", f"quad{quad}", f"at{min(s.count('@'), 2)}{domain}",
+        "bias", f"digits{size}", f"seps{seps}", f"tokens{tokens}", f"quad{quad}", f"at{min(s.count('@'), 2)}{domain}", f"local{local}{domain}",
         f"plus{s[:1] == '+'}", f"letters{letters}", f"luhn{n >= 12 and luhn(digits)}{n >= 12}", f"quad{quad}letters{letters}",
-        f"plus{s[:1] == '+'}size{size}", f"size{size}letters{letters}luhn{n >= 12 and luhn(digits)}", f"word{before if before in _CUES else ''}",
+        f"plus{s[:1] == '+'}size{size}", f"size{size}letters{letters}luhn{n >= 12 and luhn(digits)}", f"word{before if before in _CUES else ''}", f"odd{odd}", f"seps{seps}size{size}plus{s[:1] == '+'}",
     )
 
 
@@ -133,7 +147,7 @@ class SemiMarkov:
             for i in range(max(0, j - MAX_TOKENS + 1), j + 1):
                 a, b = trimmed(text, tokens[i][0], tokens[j][1])
                 # the span must reach into its first and last token
-                if a < tokens[i][1] and b > tokens[j][0] and a < b and b - a <= 320 and _TRIGGER.search(text, a, b):
+                if a < tokens[i][1] and b > tokens[j][0] and a < b and b - a <= MAX_CHARS and _TRIGGER.search(text, a, b):
                     before = text[tokens[i - 1][0] : tokens[i - 1][1]].strip(_OUTER + ".").lower() if i else ""
                     row.append((i, a, b, span_features(text[a:b], before, j - i + 1)))
             out.append(row)
@@ -222,15 +236,42 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(text)
             for tokens in windows(text):
                 lo, hi = tokens[0][0], tokens[-1][1]
-                if hi - lo > 2000:
-                    continue
                 inside = [(a - lo, k, b - lo) for a, k, b in spans if a < hi and b > lo]
                 out.append((text[lo:hi], ";".join(f"{a},{k},{b}" for a, k, b in inside), hashlib.md5(text[lo:hi].encode()).hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(3)], ["snippet", "gold", "draw"])
 
 
+def near_misses(text: str, gold: dict[tuple[int, int], int]) -> list[tuple[str, dict[tuple[int, int], int]]]:
+    """Copies of an example with one span rewritten as the patterns do not match it, and with a like number that is none."""
+    rng = random.Random(text)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    cut = lambda d, sep: sep.join(d[i : i + 4] for i in range(0, len(d), 4))
+    out = []
+    for (a, b), kind in sorted(gold.items()):
+        s, own = text[a:b], "".join(c for c in text[a:b] if "0" <= c <= "9")
+        forms: list[tuple[str, int]] = []  # the new text, and how much of it is the span
+        if kind == 0:
+            forms = [(x, len(x)) for x in (s.replace("@", " @ "), s.replace("@", "@ "))]
+        elif kind == 2:
+            forms = [(x, len(x)) for x in (cut(own, "."), cut(own, "/"), cut(own, " - "))]
+        elif kind == 3:
+            bare = s.lstrip("+")
+            forms = [(x, len(x)) for x in (bare, f"00{bare}", f"({own[:3]}) {own[3:6]}-{own[6:]}", f"{own[:-7]}.{own[-7:-4]}.{own[-4:]}")]
+            forms += [(f"{s} {x}", len(s)) for x in (digits(7), f"({digits(3)})")]
+        for new, n in forms:
+            move = len(new) - len(s)
+            others = {(x + move, y + move) if x >= b else (x, y): k for (x, y), k in gold.items() if (x, y) != (a, b)}
+            out.append((text[:a] + new + text[b:], others | {(a, a + n): kind}))
+        number = next(d for d in iter(lambda: digits(16), None) if not luhn(d))
+        for new in (cut(number, "."), cut(number, " - "), number, f"{digits(4)}-0{digits(1)}-1{digits(1)} 1{digits(1)}:2{digits(1)}:3{digits(1)}", f"{digits(1)}.{digits(1)}.{digits(2)}", f"{digits(3)}-{digits(4)}", f"19{digits(2)}-19{digits(2)}", digits(9), f"{digits(2)}.{digits(1)} - {digits(2)}.{digits(1)}"):
+            move = len(new) - len(s)
+            out.append((text[:a] + new + text[b:], {(x + move, y + move) if x >= b else (x, y): k for (x, y), k in gold.items() if (x, y) != (a, b)}))
+    return out
+
+
 def fit_pii(docs: DataFrame, sample_docs: int = 2_000, sample_windows: int = 300) -> SemiMarkov:
-    """Learns from sample_windows windows with and as many without base spans, of the sample_docs documents with a digit or at-sign whose ids hash lowest."""
+    """Learns from sample_windows windows with and as many without base spans, of the sample_docs documents with a digit or
+    at-sign whose ids hash lowest, and from near misses made of the first MISS_WINDOWS of them."""
     ids = texts(docs).where(F.col("text").rlike("[0-9@]")).select("doc_id", F.xxhash64("doc_id").alias("draw")).orderBy("draw", "doc_id").limit(sample_docs).select("doc_id")
     ids = [r[0] for r in ids.collect()]
     if not ids:
@@ -242,7 +283,10 @@ def fit_pii(docs: DataFrame, sample_docs: int = 2_000, sample_windows: int = 300
         for r in found.where(condition).orderBy("draw").limit(sample_windows).collect():
             gold = {(int(a), int(b)): int(k) for a, k, b in (x.split(",") for x in r["gold"].split(";") if x)}
             examples.append((r["draw"], r["snippet"], gold))
-    return SemiMarkov().fit([(text, [m.span() for m in _TOKEN.finditer(text)], gold) for _, text, gold in sorted(examples, key=lambda x: x[0])])
+    examples = [(text, gold) for _, text, gold in sorted(examples, key=lambda x: x[0])]
+    for text, gold in list(examples)[:MISS_WINDOWS]:
+        examples += near_misses(text, gold)
+    return SemiMarkov().fit([(text, [m.span() for m in _TOKEN.finditer(text)], gold) for text, gold in examples])
 
 
 def find_pii(docs: DataFrame, model: SemiMarkov | None = None) -> DataFrame:
@@ -265,7 +309,12 @@ def find_pii(docs: DataFrame, model: SemiMarkov | None = None) -> DataFrame:
                         for a, k, b in field_model.decode(text, tokens):
                             if not any(s < b and a < e for (s, _, _), e in zip(own, ends, strict=True)):
                                 more.append((a, k, b))
-                added.append(as_rows(sorted(set(more))))
+                apart, free = [], 0
+                for a, k, b in sorted(set(more)):
+                    if a >= free:
+                        apart.append((a, k, b))
+                        free = b
+                added.append(as_rows(apart))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kind), pa.array(added, kind)], ["doc_id", "base", "added"])
 
     return texts(docs).mapInArrow(run, f"doc_id long, base {spans}, added {spans}")
