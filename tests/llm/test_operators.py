@@ -69,7 +69,7 @@ def test_nearest(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 16))
     rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(1, x[0].tolist()), (700, None), (750, [0.0] * 16), (800, [float("nan")] * 16), (850, [None, *[1.0] * 15]), (900, [1.0]), (None, x[0].tolist())]
-    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, rerank=32, query_block=5).collect()
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, rerank=32).collect()
     ids, m = np.array([i for i, _ in rows[:601]]), np.array([v for _, v in rows[:601]])
     size, hit = np.sqrt((m * m).sum(1)), 0
     for q in range(0, 600, 50):
@@ -83,6 +83,41 @@ def test_nearest(spark):
     assert [(r["rank"], r["vec_id"]) for r in ann.nearest(few, F.col("vec_id") == 0).collect()] == [(1, 1), (2, 2)]
 
 
+def test_nearest_in_cells(spark, monkeypatch):
+    """Many cells, chunks of a few rows and queries, one vector that a third of all rows has, and the recall on the whole table."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 16)) * 3
+    x = np.concatenate([centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 16)), np.repeat(rng.normal(size=(1, 16)), 450, 0)])
+    for name, value in (("CELL", 64), ("CHUNK", 50), ("QUERIES", 6)):
+        monkeypatch.setattr(ann, name, value)
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest(rows, F.col("vec_id") % 10 == 0, rerank=24).collect()}
+    unit, hit = x / np.sqrt((x * x).sum(1, keepdims=True)), 0
+    for q in range(0, len(x), 10):
+        s = np.round(unit @ unit[q], 12)
+        s[q] = -2
+        want = np.lexsort((np.arange(len(x)), -s))[:5].tolist()
+        mine = [got[q, k] for k in range(1, 6)]
+        hit += len(set(want) & set(mine))
+        assert q < 900 or mine == want  # ties by id, though the rows lie in many chunks
+    assert hit >= 0.9 * 5 * len(range(0, len(x), 10))
+    monkeypatch.undo()
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    v = table.where("embedding is not null").toPandas()
+    m = np.stack(v.embedding.to_list()).astype(float)
+    m /= np.sqrt((m * m).sum(1, keepdims=True))
+    near, hit, n = {}, 0, 0
+    for r in ann.nearest(table, F.col("vec_id") % 50 == 0).collect():
+        near.setdefault(r["query_id"], set()).add(r["vec_id"])
+    ids = v.vec_id.to_numpy()
+    for q in sorted(near):
+        s = m @ m[ids == q][0]
+        s[ids == q] = -2
+        hit, n = hit + len(near[q] & set(ids[np.lexsort((ids, -s))[:5]].tolist())), n + 5
+    print("recall at sf0.1:", hit / n)
+    assert hit >= 0.9 * n
+
+
 def test_anisotropic_codes_lower_parallel_error():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(800, 8))
@@ -141,6 +176,43 @@ def test_pii(spark):
     assert pii.digest(pii.find_pii(table(spark, []))).count() == 0
 
 
+def test_pii_finds_near_misses_and_leaves_like_numbers(spark):
+    rng = random.Random(11)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    number = lambda good: next(x for x in iter(lambda: "4" + d(15), None) if pii.luhn(x) == good)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    around = lambda s: " ".join([*(word() for _ in range(6)), s, *(word() for _ in range(6))])
+    plain = [lambda: f"{word()}.{d(2)}@mail{d(1)}.example.com", lambda: f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.3.{rng.randint(0, 255)}", lambda: number(True), lambda: f"+1 ({d(3)}) 555-{d(4)}", lambda: number(False), lambda: f"v{d(1)}.{d(1)}.{d(1)}", lambda: f"19{d(2)}", lambda: d(6)]
+    model = pii.fit_pii(table(spark, [(i, around(rng.choice(plain)())) for i in range(400)]))
+    four = lambda x, sep: sep.join(x[i : i + 4] for i in range(0, 16, 4))
+    misses = [(2, lambda: four(number(True), ".")), (2, lambda: four(number(True), " - ")), (3, lambda: f"1 ({d(3)}) 555-{d(4)}"), (3, lambda: f"001 ({d(3)}) 555-{d(4)}"), (0, lambda: f"{word()}.{d(2)} @ mail{d(1)}.example.com")]
+    like = [lambda: four(number(False), "."), lambda: f"20{d(2)}-11-26 10:22:{d(2)}", lambda: f"{d(3)}-{d(4)}", lambda: f"19{d(2)}-20{d(2)}", lambda: d(9), lambda: f"{d(1)}.{d(1)}.{d(2)}"]
+    hit = false = 0
+    for k in range(200):
+        kind, make = misses[k % len(misses)]
+        s = make()
+        t = around(s)
+        hit += [(a, b) for w in pii.windows(t) for a, c, b in model.decode(t, w) if c == kind] == [(t.index(s), t.index(s) + len(s))]
+        t = around(like[k % len(like)]())
+        false += bool([x for w in pii.windows(t) for x in model.decode(t, w) if not any(x[0] < e and b < x[2] for b, _, e in pii.base_spans(t))])
+    assert hit >= 180 and false <= 10, (hit, false)
+
+
+def test_pii_windows_hold_every_segment():
+    rng = random.Random(2)
+    for _ in range(300):
+        tokens = ["9" if rng.random() < rng.choice((0.3, 0.9)) else "x" for _ in range(rng.randint(1, 120))]
+        text = " ".join(tokens)
+        starts = [2 * i for i in range(len(tokens))]
+        windows = [[a for a, _ in w] for w in pii.windows(text)]
+        assert all(len(w) <= pii.WINDOW + pii.AROUND + pii.MAX_TOKENS for w in windows)
+        for n in range(1, pii.MAX_TOKENS + 1):
+            for i in range(len(tokens) - n + 1):
+                hot = [k for k in range(i, i + n) if tokens[k] == "9"]
+                if hot and hot[0] - i <= 1 and i + n - 1 - hot[-1] <= 1 and all(b - a <= pii.AROUND for a, b in zip(hot, hot[1:])):
+                    assert any(set(starts[i : i + n]) <= set(w) for w in windows)
+
+
 def brute_names(spans):
     return [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans]
 
