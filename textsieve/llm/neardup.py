@@ -18,7 +18,8 @@ pair of similarity 0.8 shares none of the 48 regions with a chance of about 5e-7
    it can still be linked across components (see `_deeper`), and these smaller regions are treated in the same way. From
    level LEVELS on regions are compared in pairs.
 
-A pair is confirmed by its hashes first (only pairs SIGMAS standard errors below the threshold are left out), then on
+A pair is first compared by bitmaps of its sets, 8 bits a shingle: they differ in no more bits than the sets do in
+shingles, so a pair whose bitmaps differ too much for the threshold is none, without doubt. The others are confirmed on
 full sets. No region is cut or capped, and pairs inside a component, however large, are never listed.
 
 Shingles are 64-bit hashes, and so are nodes. Defined cases: a null or empty text has the empty set and is linked with
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsieve.llm.bytehash import NOT_SPACE, mix, raw, slices, word_hashes
@@ -43,7 +44,7 @@ from textsieve.llm.common import Workspace, bitmap, connected_components, split_
 
 TREES, DEPTH, MORE, BEST = 48, 6, 2, 3
 HASHES = TREES * DEPTH
-FEW, LEVELS, SIGMAS, SAMPLE = 8, 5, 6, 64
+FEW, LEVELS, SAMPLE = 8, 5, 64
 BATCH_BYTES = 4 << 20
 RARITY_BITS = 16
 DEEPER = {"kind": np.int32, "key": np.int64, "group": np.int64, "node": np.int64, "root": np.int64, "n": np.int32, "room": np.float64, "mask": np.int64}
@@ -124,9 +125,25 @@ def _unpacked(words: tuple[int, DataFrame]) -> np.ndarray:
     return out
 
 
+def set_bits(s: np.ndarray) -> bytes:
+    """A bitmap of a set, a power of two of 8 bits a shingle or more; the low bits of a hash are its place."""
+    m = 1 << max(6, (8 * len(s) - 1).bit_length())
+    out = np.zeros(m, np.uint8)
+    out[(s & np.uint64(m - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def differing_bits(x: bytes, y: bytes) -> int:
+    """In how many bits two bitmaps differ, the larger one folded to the size of the smaller."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(v.reshape(-1, n), 0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _sets(size: int, sent):
-    """Of the texts whose ids' hashes are marked: the node, the set, the low bytes of the signature, and in each tree the
-    region and the next MORE hashes as one number."""
+    """Of the texts whose ids' hashes are marked: the node, the set, its bitmap, and in each tree the region and the next
+    MORE hashes as one number."""
 
     def packed(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         sig = np.stack([signature(s) for s in sets]) if sets else np.empty((0, HASHES), np.uint64)
@@ -134,8 +151,8 @@ def _sets(size: int, sent):
         labels = ((ring[:, ::DEPTH] << np.uint64(32)) | ring[:, 1::DEPTH]).view(np.int64)
         values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
         each = [TREES] * len(sets)
-        columns = [pa.array(ids, pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), _list_array(values, [len(s) for s in sets]), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary()), _list_array(_regions(sig).ravel(), each), _list_array(labels.ravel(), each)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "set", "sig", "regions", "labels"])
+        columns = [pa.array(ids, pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), _list_array(values, [len(s) for s in sets]), pa.array([set_bits(s) for s in sets], pa.binary()), _list_array(_regions(sig).ravel(), each), _list_array(labels.ravel(), each)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "set", "bits", "regions", "labels"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = sent.value
@@ -182,24 +199,27 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
 
-def _alike(least: float):
+def _alike(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("x", "y"))
-            keep = pa.array((x == y).mean(1) >= least)
+            columns = (batch.column(c).to_pylist() for c in ("x", "y", "nx", "ny"))
+            keep = pa.array([(100 + percent) * differing_bits(x, y) <= (100 - percent) * (nx + ny) for x, y, nx, ny in zip(*columns, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return run
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets; signatures, 8 bits a hash, come first."""
-    least = percent / 100 + (1 - percent / 100) / 256
-    least -= SIGMAS * (least * (1 - least) / HASHES) ** 0.5
-    sides = lambda df, column: df.join(sets.select(F.col("node").alias("a"), F.col(column).alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col(column).alias("y")), "b")
-    likely = sides(pairs.select("a", "b"), "sig").select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long")
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union on full sets; bitmaps come first and leave few others."""
+
+    def sides(df: DataFrame, *columns: Column) -> DataFrame:
+        own = lambda node, x: sets.select(F.col("node").alias(node), *(c.alias(f"{n}{x}") for n, c in zip(("", "n"), columns)))
+        return df.join(own("a", "x"), "a").join(own("b", "y"), "b")
+
+    bits = sides(pairs.select("a", "b"), F.col("bits"), F.size("set")).select("a", "b", "x", "y", "nx", "ny")
+    likely = work.write(bits.mapInArrow(_alike(percent), "a long, b long"), "likely")
     both = F.size(F.array_intersect("x", "y"))
-    xy = sides(likely, "set").withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both")))
+    xy = sides(likely, F.col("set")).withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both")))
     return xy.select("a", "b")
 
 
@@ -306,7 +326,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     wanted = placed.join(shared, "region").select("node").distinct()
     reps = work.write(signed.select("node", "doc_id").join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
     sent = spark.sparkContext.broadcast(_unpacked(bitmap(reps.select(F.xxhash64("rep").alias("k")))))
-    made = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets(shingle, sent), "doc_id long, node long, set array<bigint>, sig binary, regions array<bigint>, labels array<bigint>")
+    made = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets(shingle, sent), "doc_id long, node long, set array<bigint>, bits binary, regions array<bigint>, labels array<bigint>")
     made = made.join(reps, "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep")
     sets = work.write(made.dropDuplicates(["node"]), "sets")
     orders = sets.select("node", F.explode(F.arrays_zip("regions", "labels")).alias("o")).select("node", F.col("o.regions").alias("region"), F.col("o.labels").alias("label"))
@@ -322,8 +342,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "trees", "depth"))
     mine = Window.partitionBy("a").orderBy(F.col("trees").desc(), F.col("depth").desc(), "b")  # 2 * TREES neighbours at most
     best = both.withColumn("k", F.row_number().over(mine)).where(F.col("k") <= BEST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    roots = work.write(connected_components(_confirm(best, sets, percent), work), "roots")
-    work.drop("neighbours", "shared", "cc0")
+    roots = work.write(connected_components(_confirm(best, sets, percent, work), work), "roots")
+    work.drop("neighbours", "shared", "cc0", "likely")
 
     # 2. regions where components meet, level by level
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -364,7 +384,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             tests = tests.union(rooted(rooted(members), "pivot", "rp").where("root <> rp").select(*pair("pivot", "node")))
         if more is not None:
             tests = tests.union(rooted(rooted(more, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b"))
-        links = step.write(_confirm(tests.distinct(), sets, percent), "links")
+        links = step.write(_confirm(tests.distinct(), sets, percent, step), "links")
         if links.limit(1).count():
             roots = work.write(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), step), f"roots{level}")
         if members is None:
