@@ -398,6 +398,15 @@ def test_near_duplicates(spark):
     assert neardup.digest(neardup.near_duplicates(table(spark, []), 2)).count() == 0
 
 
+def test_bitmaps_differ_no_more_than_sets():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        pool = rng.integers(0, 2**63, 900).astype(np.uint64)
+        x, y = (np.unique(rng.choice(pool, rng.integers(1, 700))) for _ in range(2))
+        assert neardup.differing_bits(neardup.set_bits(x), neardup.set_bits(y)) <= len(np.setxor1d(x, y))
+    assert neardup.differing_bits(neardup.set_bits(x), neardup.set_bits(x)) == 0
+
+
 def test_crowded_regions_lose_no_link_and_list_few_pairs(spark, monkeypatch):
     """A family with edits of all strengths, a part of it with edits in common, truncated copies, and texts that share a passage."""
     rng, tested = random.Random(12), []
