@@ -17,6 +17,9 @@ only elected positions (about 2 of 257) need ranks, at the W offsets d at which
 In the last step both are the window itself. No step needs the rows of one rank in one task: they are counted with
 partial sums and joined back on plain exchanges, which Spark splits where hot. Bytes of repeated windows are removed.
 
+Beside what is removed, `n_passages` reports passages of `passage` words (51: over 50) that texts share, which may be
+shorter than `length` bytes and then stay (see `shared_passages`).
+
 Strings are compared by hashes of 128 bits. Defined cases: a null text is empty; texts shorter than the threshold
 repeat nothing; repeated rows are documents of their own, so each makes the other's strings repeat; an empty table
 gives no rows; other columns are ignored.
@@ -29,17 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textsieve.llm.bytehash import BLOCK, mix, prefix, raw, slices, substring
-from textsieve.llm.common import Workspace, texts
+from textsieve.llm.bytehash import BLOCK, NOT_SPACE, mix, prefix, raw, slices, substring, word_hashes
+from textsieve.llm.common import Workspace, split_by_keys, texts
 
 W = 256
 CELLS = (32, 4, 1)
 BATCH_BYTES = 8 << 20
 _INDEX = np.uint64((1 << 24) - 1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def elected(b: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +158,8 @@ def repeated_spans(docs: DataFrame, work: Workspace, length: int) -> DataFrame:
         doubt = work.write(doubt, f"open{step}")
         if known is None:  # the bytes around a position in doubt, read from the texts once
             lists = work.write(doubt.groupBy("rid").agg(F.collect_list("pos").alias("at")), "lists")
-            known = work.write(docs.join(lists, "rid").mapInArrow(_around(length), "rid long, pos long, from long, bytes binary"), "around")
+            _, maybe = split_by_keys(docs, F.xxhash64("rid"), lists.select(F.xxhash64("rid").alias("k")))
+            known = work.write(maybe.join(lists, "rid").mapInArrow(_around(length), "rid long, pos long, from long, bytes binary"), "around")
         doubt = known.join(doubt, ["rid", "pos"]).withColumn("wide", F.lit(wide))
         wide = CELLS[step]
         ranked = work.write(doubt.mapInArrow(_cells(wide, length), "rid long, pos long, cell int, rank binary, hull binary"), f"rank{step + 1}")
@@ -161,6 +167,47 @@ def repeated_spans(docs: DataFrame, work: Workspace, length: int) -> DataFrame:
     return spans
 
 
+def _passages(passage: int):
+    """Elected strings of half a passage's words, with the text they lie in."""
+    k = (passage + 1) // 2
+    w = passage - k + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in slices(b, 1, BATCH_BYTES)):
+            data, offsets = raw(batch.column(1))
+            h, owner = word_hashes(data, offsets, NOT_SPACE)
+            n = len(h) - passage + 1
+            if n <= 0:
+                continue
+            with np.errstate(over="ignore"):
+                g = np.zeros(n + w - 1, np.uint64)
+                for i in range(k):
+                    g = g * _STEP + h[i : i + len(g)]
+                g = mix(g)
+            low = (g & ~_INDEX) | np.arange(len(g), dtype=np.uint64)
+            step = 1
+            while step < w:  # the lowest of w strings from each place on
+                ahead = min(step, w - step)
+                low = np.minimum(low[: len(low) - ahead], low[ahead:])
+                step += ahead
+            at = np.unique((low[:n][owner[:n] == owner[passage - 1 :]] & _INDEX).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[at])), pa.array(g[at].view(np.int64))], ["rid", "h"])
+
+    return run
+
+
+def shared_passages(docs: DataFrame, passage: int) -> DataFrame:
+    """(rid, n_passages): how many elected strings of a text stand in another text too, without texts that have none.
+
+    Each window of `passage` words elects one of its strings of half as many words, the one that hashes lowest, so every
+    passage that two texts share has an elected string in both. Words are compared in lower case, by 64-bit hashes.
+    """
+    each = docs.mapInArrow(_passages(passage), "rid long, h long")
+    once = each.distinct()
+    shared = once.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    return each.join(shared, "h").groupBy("rid").agg(F.count(F.lit(1)).alias("n_passages"))
+
+
 def _around(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, "text", BATCH_BYTES)):
@@ -208,21 +255,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, x in zip(out, (len(b), sum(e - s for s, e in merged), [{"start": s, "end": e} for s, e in merged], left, hashlib.sha256(left).hexdigest()), strict=True):
                 column.append(x)
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "removed", "kept", "kept_sha256"])
+        passages = pc.fill_null(batch.column("n_passages"), 0)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True)), passages], ["doc_id", "n_bytes", "n_removed", "removed", "kept", "kept_sha256", "n_passages"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, removed spans, kept bytes, kept_sha256) for every row of docs. length: W at least."""
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 51) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, removed spans, kept bytes, kept_sha256, n_passages) for every row of docs. length: W at least."""
     if length < W:
         raise ValueError(f"length must be {W} or more")
     work = Workspace(docs.sparkSession, "suffix")
     rows = texts(docs).withColumn("rid", F.monotonically_increasing_id())
     rows = work.write(rows, "rows")  # with an id per row that later steps can rely on
     spans = repeated_spans(rows.select("rid", "text"), work, length)
-    spans = work.write(spans.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-    out = "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary, kept_sha256 string"
-    return rows.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(_cut, out)
+    spans = spans.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    found = work.write(spans.join(shared_passages(rows.select("rid", "text"), passage), "rid", "full_outer"), "found")
+    # only texts in which something was found are moved
+    others, maybe = split_by_keys(rows, F.xxhash64("rid"), found.select(F.xxhash64("rid").alias("k")))
+    none = others.select("doc_id", "text", F.lit(None).cast(found.schema["spans"].dataType).alias("spans"), F.lit(None).cast("long").alias("n_passages"))
+    out = "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary, kept_sha256 string, n_passages long"
+    return none.unionByName(maybe.join(found, "rid", "left").select("doc_id", "text", "spans", "n_passages")).mapInArrow(_cut, out)
 
 
 def digest(removed: DataFrame) -> DataFrame:
-    return removed.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+    return removed.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256", "n_passages")
