@@ -144,13 +144,36 @@ def test_suffix_dedup(spark):
             t += rng.choice((p, p[:z] + "X" + p[z + 1 :], p[rng.randint(0, 60) :], "ab" * rng.randint(50, 300), "z" * rng.randint(300, 900), text(300)))
         rows.append((k, t))
     rows += [(500, None), (501, ""), (502, rows[5][1]), (502, rows[5][1]), (None, rows[7][1])]
-    got = suffixdedup.digest(suffixdedup.remove_repeats(table(spark, rows))).collect()
+    got = suffixdedup.digest(suffixdedup.remove_repeats(table(spark, rows))).drop("n_passages").collect()
     assert keyed(map(tuple, got)) == keyed(brute.repeats(rows, 400))
     assert suffixdedup.digest(suffixdedup.remove_repeats(table(spark, []))).count() == 0
     with pytest.raises(ValueError):
         suffixdedup.remove_repeats(table(spark, []), 100)
 
 
+def test_suffix_dedup_on_a_whole_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = suffixdedup.digest(suffixdedup.remove_repeats(docs)).drop("n_passages").collect()
+    assert keyed(map(tuple, got)) == keyed(brute.repeats(rows, 400))
+
+
+def test_shared_passages(spark):
+    """Every passage of 51 words that two texts share is found; texts that share no 26 words are left alone."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [fresh(n) for n in (25, 51, 60, 400)]
+    rows, want = [], {}
+    for i in range(120):
+        p = passages[i % 4] if i % 2 == 0 or i % 4 == 1 else []
+        w = fresh(rng.randint(0, 70)) + p + fresh(rng.randint(0, 70))
+        rows.append((i, " ".join(w)))
+        want[i] = len(p) >= 51
+    rows += [(200, None), (201, ""), (202, " ".join(fresh(60) * 3))]  # a text's own repeats are no passages that texts share
+    got = {r["doc_id"]: r["n_passages"] for r in suffixdedup.digest(suffixdedup.remove_repeats(table(spark, rows))).collect()}
+    assert all((got[i] > 0) == w for i, w in want.items()) and got[200] == got[201] == got[202] == 0
+
+
 def test_pii_base_spans():
     rng = random.Random(1)
     bits = ["1", "2", "55", ".", "-", " ", "+", "(", ")", "@", "a", "b.c", "x_", "4111111111111111", "\n", "9.9.9.9", "é", "0" * 5000]
