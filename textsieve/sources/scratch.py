@@ -61,9 +61,15 @@ class Scratch:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt out by key where the input has fewer partitions than there are cores, as a single small file does; large
-    inputs stay as they are."""
+    """Rows dealt out anew (by key if there are any) where the files read would make fewer partitions than there are cores,
+    as a single small file does. Larger inputs, streams and rows that come from no file stay as they are."""
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    size = sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df if size >= cores * most else df.repartition(cores, *keys)
