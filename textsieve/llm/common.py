@@ -2,66 +2,31 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textsieve.sources.scratch import Scratch, spread
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are runs of anything but these six ASCII white-space characters.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 MAP_BITS = 26
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. A temporary one only where the setting is missing and the master is local."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="textsieve-"))
-        import shutil
-
-        atexit.register(shutil.rmtree, _own_dir[0], True)
-    return "file://" + _own_dir[0]
 
 
-class Workspace:
-    """A folder of written tables under the shared folder. Writing a table cuts its lineage; every executor can read it again."""
+class Workspace(Scratch):
+    """A folder of written tables under the shared folder; see Scratch."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/textsieve/{name}-{uuid.uuid4().hex}"
+        super().__init__(spark, name)
         limit_batches(spark)
 
     def again(self) -> Workspace:
         """Another folder beside this one, for steps whose tags repeat."""
         return Workspace(self.spark, "part")
 
-    def write(self, df: DataFrame, tag: str) -> DataFrame:
-        path = f"{self.root}/{tag}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *tags: str) -> None:
-        """Deletes tables that no later step reads."""
-        for tag in tags:
-            self._delete(f"{self.root}/{tag}")
-
-    def clear(self) -> None:
-        """Deletes the whole folder."""
-        self._delete(self.root)
-
-    def _delete(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def limit_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Bounds the bytes of an Arrow batch for Python workers, as rows may be long; the setting bounds memory, not results."""
@@ -84,6 +49,7 @@ def fold(column: str = "doc_id") -> Column:
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the named columns; whatever else the table has is left out."""
     limit_batches(docs.sparkSession)
+    docs = spread(docs)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), *(docs[c] for c in more))
 
 

@@ -27,6 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from textsieve.llm.bytehash import ALNUM, mix, raw, slices, word_hashes
 from textsieve.llm.common import Workspace, limit_batches
+from textsieve.sources.scratch import spread
 
 BATCH_BYTES = 4 << 20
 _SPAN = StructType([StructField("first", IntegerType()), StructField("last", IntegerType()), StructField("from", LongType()), StructField("to", LongType())])
@@ -169,7 +170,7 @@ def _scan(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int,
     first, second = next(automata), next(automata, None)
     columns = docs.columns
     out = StructType([*(StructField(f"c{k}", f.dataType, True) for k, f in enumerate(docs.schema)), *FOUND])
-    rows = docs.toDF(*(f"c{k}" for k in range(len(columns))))
+    rows = spread(docs).toDF(*(f"c{k}" for k in range(len(columns))))
     at = columns.index("text")
     if second is None:
         sent = spark.sparkContext.broadcast(first)
