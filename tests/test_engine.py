@@ -87,6 +87,28 @@ def test_cosine_and_outliers(spark):
     assert got == {(1, 0): 1.0, (1, 1): 1.0, (2, 0): 0.0, (3, 0): 1.0, (3, 1): 0.0}
 
 
+def test_signs_of_all_dimensions_differ(spark):
+    words = spark.createDataFrame([(f"word{i}{i * 7}",) for i in range(60)], "w string")
+    rows = embed.subword_signs(words, 130).drop("w").collect()
+    columns = {tuple(r[d] for r in rows) for d in range(130)}
+    assert len(columns) == 130
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    """The entry still imports, with the other queries, where the optional folders are gone."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{top}/textsieve", tmp_path / "textsieve", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{top}/__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), sum(n.startswith('op') or n == 'pipeline' for n in e.queries()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    n, oracles, corpus = map(int, said.stdout.split())
+    assert n >= 50 and oracles >= 48 and corpus == 0
+
+
 def test_classifier(spark):
     import numpy as np
 
