@@ -1,4 +1,9 @@
-"""The training-corpus pipeline: toxicity, near-duplicates, benchmark passages, secrets, source mix."""
+"""The training-corpus pipeline: toxicity, near-duplicates, benchmark passages, secrets, source mix.
+
+Defined cases, in all stages: an empty table gives an empty table; nulls in any column stay nulls; columns that a stage does
+not need are carried along under any name; a very long text is worked on whole. Each stage states what it does with null
+and empty texts, repeated rows and empty side tables.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +18,37 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go."""
+    """Documents that score 0.5 or more go. Null and empty texts score as texts without a toxic segment; repeated rows share
+    a fate; without labels of both kinds all documents stay, with a warning."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8 or more; of each group the document with the smallest id stays."""
+    """Five-word shingles, similarity 0.8 or more; of each group the document with the smallest id stays.
+
+    Null, empty and blank texts are no one's duplicates and stay; of rows that repeat in full one stays; a null id counts
+    as the largest.
+    """
     return neardup.keep_one(docs)
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of test items are cut out; documents that consist of them by more than half go."""
+    """Passages of test items are cut out; documents that consist of them by more than half go.
+
+    Null and empty texts stay as they are, as does everything if the benchmark is empty.
+    """
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Credentials that look live are replaced; widely copied examples stay."""
+    """Credentials that look live are replaced; widely copied examples stay. Null and empty texts stay; a null source counts
+    as one owner; repeated rows are changed alike."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes: a row for each, 0 for null and empty texts; a null source is one more
+    source; repeated rows are documents of their own."""
     return mixing.mix_sources(docs)
 
 
