@@ -7,6 +7,9 @@ shards by their words in the same way. A shard holds its documents in an order d
 first, and what is left of its quota is a run of blocks, on the ring of its blocks, that begins at a block drawn from
 the seed. A document takes as many words as the chosen blocks cover.
 
+Sources meet in one task where targets are shared out, and the shards of a source (one per `shard_words` words) where its
+blocks are.
+
 Defined cases: a null or empty text has size 0 and takes 0; a null source is a source of its own; repeated rows are
 documents of their own; an empty table gives no rows; other columns are ignored.
 """
@@ -75,8 +78,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max
     """(doc_id, size, source_size, target, taken, source, shard, epochs) for every row of docs."""
     work = Workspace(docs.sparkSession, "mix")
     sized = texts(docs, "source").select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
-    sized = work.write(sized.withColumn("rid", F.monotonically_increasing_id()), "sized")
-    totals = work.write(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "totals")
+    # rows that repeat in full are one row with a number of copies until the end, so that they make no hot shard
+    sized = work.write(sized.groupBy("doc_id", "source", "size", "draw").agg(F.count(F.lit(1)).alias("copies")), "sized")
+    weight = F.col("size") * F.col("copies")
+    totals = work.write(sized.groupBy("source").agg(F.sum(weight).alias("source_size")), "totals")
     targets = capped_targets(totals, weights, max_epochs)
     n_blocks = F.round(F.sum("source_size").over(Window.partitionBy(F.lit(0))) / block).cast("long")
     won = sainte_lague(targets.withColumn("_blocks", n_blocks), "target", F.col("_blocks"), [], ["place"]).drop("_blocks")
@@ -86,7 +91,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max
     hint = F.broadcast if few else (lambda x: x)
     s = sources.select(F.col("source").alias("_source"), "place", "source_size", "target", "shards")
     placed = sized.join(hint(s), sized["source"].eqNullSafe(s["_source"])).drop("_source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.col("shards")))
-    shards = placed.groupBy("place", "shard").agg(F.sum("size").alias("shard_size"))
+    shards = placed.groupBy("place", "shard").agg(F.sum(weight).alias("shard_size"))
     b = sources.select("place", "blocks")
     shards = sainte_lague(work.write(shards.join(hint(b), "place"), "shards"), "shard_size", F.col("blocks"), ["place"], ["shard"])
     # a quota in words; whole passes over the shard first, then a run of blocks on its ring
@@ -95,9 +100,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max
     shards = shards.withColumn("quota", quota).withColumn("epochs", F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(F.lit(0)))
     shards = work.write(shards.select("place", "shard", "shard_size", "epochs", (F.col("quota") - F.col("epochs") * F.col("shard_size")).alias("rest"), start.alias("start")), "quotas")
     h = F.broadcast if shards.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE else (lambda x: x)
-    order = Window.partitionBy("place", "shard").orderBy("draw", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    at = placed.withColumn("to", F.sum("size").over(order)).withColumn("from", F.col("to") - F.col("size"))
-    at = at.join(h(shards), ["place", "shard"])
+    order = Window.partitionBy("place", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    at = placed.withColumn("first", F.sum(weight).over(order) - weight).join(h(shards), ["place", "shard"])
+    # each copy its own place, in two steps so that no array is long
+    at = at.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / 1024)))).withColumn("left", F.least(F.col("copies") - F.col("k") * 1024, F.lit(1024)) - 1)
+    at = at.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("left")))).withColumn("from", F.col("first") + (F.col("k") * 1024 + F.col("j")) * F.col("size"))
+    at = at.withColumn("to", F.col("from") + F.col("size"))
     overlap = lambda lo, hi: F.greatest(F.least(F.col("to"), hi) - F.greatest(F.col("from"), lo), F.lit(0))
     end = F.col("start") + F.col("rest")
     part = overlap(F.col("start"), F.least(end, F.col("shard_size"))) + F.when(end > F.col("shard_size"), overlap(F.lit(0), end - F.col("shard_size"))).otherwise(F.lit(0))
