@@ -400,6 +400,16 @@ def test_mixing(spark):
     assert mixing.mix_sources(table(spark, [])).count() == 0
 
 
+def test_mix_of_many_full_copies(spark):
+    """3,000 rows that repeat in full: each a row of its own, and the words taken meet the target."""
+    rows = [(7, "a b c", "s")] * 3000 + [(i, "d e f g h", "t") for i in range(100, 140)] + [(9, "x " * 40, "s")]
+    out = mixing.mix_sources(table(spark, rows)).collect()
+    assert len(out) == len(rows) and sum(r["doc_id"] == 7 for r in out) == 3000
+    for s in ("s", "t"):
+        mine = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 64 and all(r["taken"] <= 3 * r["size"] for r in mine)
+
+
 def test_sainte_lague(spark):
     rng = random.Random(8)
     for seats in (0, 1, 3, 7, 100):
