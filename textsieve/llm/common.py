@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from textsieve.sources.scratch import Scratch, spread
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words are runs of anything but these six ASCII white-space characters.
-SPACE_WORD = r"[^\x20\x09-\x0D]+"
 MAP_BITS = 26
 
 

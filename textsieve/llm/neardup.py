@@ -355,15 +355,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             return df.join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))  # noqa: B023
 
         inside = step.write(rooted(regions), "inside")
-        mixed = inside.groupBy("region", "root").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("node") % (1 << 40)).alias("h"))
-        mixed = mixed.groupBy("region").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.sum("h").alias("h"), F.max(F.struct("c", "root")).alias("top"))
-        mixed = step.write(mixed.select("region", "m", "h", F.col("top.root").alias("top"), ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("cross")).where("cross > 0"), "mixed")
+        mixed = inside.groupBy("region", "root").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("node") % (1 << 40)).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
+        mixed = mixed.groupBy("region").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.sum("h").alias("h"), F.bit_xor("x").alias("x"), F.max(F.struct("c", "root")).alias("top"))
+        mixed = step.write(mixed.select("region", "m", "h", "x", F.col("top.root").alias("top"), ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("cross")).where("cross > 0"), "mixed")
         total = mixed.agg(F.sum("cross"), F.sum("m")).first()
         if not total[1] and more is None:
             break
         every = level == LEVELS or (total[0] or 0) <= FEW * (total[1] or 0)
         few = F.lit(True) if every else F.col("cross") <= FEW * F.col("m")
-        once = mixed.groupBy("m", "h").agg(F.min(F.struct("region", "top", few.alias("few"))).alias("r")).select("r.*", "m")  # regions of the same nodes are one
+        once = mixed.groupBy("m", "h", "x").agg(F.min(F.struct("region", "top", few.alias("few"))).alias("r")).select("r.*", "m")  # regions of the same nodes (count, sum and parity of 104 hashed bits) are one
         inside = step.write(inside.join(once, "region"), "open")
         # of each pair one is outside the largest component: no region is joined with itself
         left = inside.where("few and root <> top").select("region", F.col("node").alias("a"), F.col("root").alias("ra"))
