@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
-from textsieve.llm import ann, bytehash, decontaminate, lmscore, mixing, neardup, pii, secrets, suffixdedup, tokencount, toxicity
+from textsieve.llm import ann, bytehash, decontaminate, lmscore, mixing, neardup, pii, queries, secrets, suffixdedup, tokencount, toxicity
 from textsieve.llm.common import Workspace, connected_components
 
 SCHEMA = "doc_id long, text string, source string, n_chars long, score double, rid long, rank string, n long, node long, spans string, hits string, mark string"
@@ -669,3 +669,17 @@ def test_pipeline(spark, small):
             assert all(len(after[d]) < len(before[d]) for d in after if hits[d][2])
         if name in ("secrets", "mixing"):
             assert set(after) == set(before)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_match_sql(spark, small, name):
+    import duckdb
+
+    from tests.test_oracles import rows
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, small).toPandas(), con.sql(queries.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and len(got) > 0
+    assert rows(got) == rows(want)

@@ -55,8 +55,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(_read(spark, sf_dir, "documents")))
 
 
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op3, which SQL can express."""
+    return op3_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in pii.KINDS))
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op10, which SQL can express."""
+    return op10_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and targets of op6, which SQL can express."""
+    return op6_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_nearest, op2_suffix_dedup, op3_pii, op4_token_counts, op5_lm_score, op6_mix_sources, op7_near_duplicates, op8_toxicity, op9_decontaminate, op10_secrets)
+    every = (op1_nearest, op2_suffix_dedup, op3_pii, op4_token_counts, op5_lm_score, op6_mix_sources, op7_near_duplicates, op8_toxicity, op9_decontaminate, op10_secrets, pii_base_counts, secret_base_counts, mix_targets)
     return {f.__name__: f for f in every}
 
 
@@ -97,5 +112,36 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
+PII_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+      list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card,
+      list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS phone FROM d)
+SELECT doc_id, email::BIGINT AS n_email,
+       len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS INTEGER), 999) > 255)) = 0))::BIGINT AS n_ip,
+       len(list_filter(card, lambda x: length(x) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda i:
+           CASE WHEN i % 2 = 1 THEN reverse(x)[i]::INTEGER ELSE 2 * reverse(x)[i]::INTEGER - 9 * (reverse(x)[i] > '4')::INTEGER END)) % 10 = 0))::BIGINT AS n_card,
+       len(list_filter(phone, lambda x: x BETWEEN 9 AND 15))::BIGINT AS n_phone FROM m
+"""
+
+SECRET_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8))::BIGINT AS n_assign,
+       len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16))::BIGINT AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 32))::BIGINT AS n_hex FROM d
+"""
+
+# the targets below the water level stop at their caps: the first level that keeps the next source under its own
+MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size) AS cap, ([5.0, 2.0, 1.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY 1),
+o AS (SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS ws, coalesce(sum(cap) OVER p, 0) AS before, coalesce(sum(w) OVER p, 0) AS wb FROM s
+      WINDOW p AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT arg_min((total - before) / (ws - wb), cap / w) AS v FROM o WHERE (total - before) / (ws - wb) * w <= cap)
+SELECT doc_id, size, source_size, round(least(cap, coalesce((SELECT v FROM level), 'infinity'::DOUBLE) * w), 4) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_nearest": OP1_SQL, "op7_near_duplicates": OP7_SQL, "op9_decontaminate": OP9_SQL}
+    return {
+        "op1_nearest": OP1_SQL, "op7_near_duplicates": OP7_SQL, "op9_decontaminate": OP9_SQL, "pii_base_counts": PII_SQL, "secret_base_counts": SECRET_SQL, "mix_targets": MIX_SQL,
+    }
