@@ -196,15 +196,15 @@ def _passages(passage: int):
     return run
 
 
-def shared_passages(docs: DataFrame, passage: int) -> DataFrame:
+def shared_passages(docs: DataFrame, work: Workspace, passage: int) -> DataFrame:
     """(rid, n_passages): how many elected strings of a text stand in another text too, without texts that have none.
 
     Each window of `passage` words elects one of its strings of half as many words, the one that hashes lowest, so every
     passage that two texts share has an elected string in both. Words are compared in lower case, by 64-bit hashes.
     """
-    each = docs.mapInArrow(_passages(passage), "rid long, h long")
-    once = each.distinct()
-    shared = once.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    each = work.write(docs.mapInArrow(_passages(passage), "rid long, h long"), "passages")
+    shared = each.groupBy("h").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("h")
+    shared = work.write(shared, "shared_passages")  # written, so that the join reads plain exchanges, whose hot partitions Spark can split
     return each.join(shared, "h").groupBy("rid").agg(F.count(F.lit(1)).alias("n_passages"))
 
 
@@ -268,7 +268,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 51) -> Dat
     rows = work.write(rows, "rows")  # with an id per row that later steps can rely on
     spans = repeated_spans(rows.select("rid", "text"), work, length)
     spans = spans.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    found = work.write(spans.join(shared_passages(rows.select("rid", "text"), passage), "rid", "full_outer"), "found")
+    found = work.write(spans.join(shared_passages(rows.select("rid", "text"), work, passage), "rid", "full_outer"), "found")
     # only texts in which something was found are moved
     others, maybe = split_by_keys(rows, F.xxhash64("rid"), found.select(F.xxhash64("rid").alias("k")))
     none = others.select("doc_id", "text", F.lit(None).cast(found.schema["spans"].dataType).alias("spans"), F.lit(None).cast("long").alias("n_passages"))
