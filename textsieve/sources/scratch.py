@@ -6,6 +6,7 @@ Writing a table cuts its lineage, lets several steps read it without computing i
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -52,7 +53,7 @@ class Scratch:
         atexit.unregister(self._at_exit)
 
     def _at_exit(self) -> None:
-        if self.spark.sparkContext._jsc is not None:  # the session may have ended before
+        with contextlib.suppress(Exception):  # the session or its JVM may have ended before; then nothing can be done
             self._delete(self.root)
 
     def _delete(self, name: str) -> None:
