@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,15 +37,17 @@ def sentence_ids(sentences: DataFrame) -> DataFrame:
     return sentences.join(offsets, "doc_id").withColumn("sent_id", F.concat(F.lit("s"), (F.col("offset") + place).cast("string"))).drop("offset")
 
 
+def documents(*given: DataFrame | None) -> DataFrame:
+    """(doc_id, text) of all inputs that are given, ids as text; ValueError without any."""
+    parts = [d.select(F.col("doc_id").cast("string").alias("doc_id"), "text") for d in given if d is not None]
+    if not parts:
+        raise ValueError("no input: give docx, txt or parquet documents")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def corpus(docx: DataFrame | None = None, txt: DataFrame | None = None, **options) -> DataFrame:
     """Sentences of both kinds of input, (doc_id, text) each; ValueError without any."""
-    given = [d.select("doc_id", "text") for d in (docx, txt) if d is not None]
-    if not given:
-        raise ValueError("no input: give docx or txt documents")
-    out = given[0]
-    for d in given[1:]:
-        out = out.unionByName(d)
-    return text_to_sentences(out, **options)
+    return text_to_sentences(documents(docx, txt), **options)
 
 
 def split_train_test(sentences: DataFrame, train_frac: float = 0.75, seed: int = 7) -> DataFrame:
