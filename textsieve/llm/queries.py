@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsieve.llm import ann, decontaminate, lmscore, mixing, neardup, pii, secrets, suffixdedup, tokencount, toxicity
+from textsieve.llm import ann, bpe, decontaminate, impact, lmscore, mixing, neardup, pii, repeats, secrets, suffixdedup, tokencount, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(_read(spark, sf_dir, "documents")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.rank(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.find_runs(_read(spark, sf_dir, "documents"), planted=True))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"))))
+
+
 def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base counts of op3, which SQL can express."""
     return op3_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in pii.KINDS))
@@ -71,7 +83,7 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_nearest, op2_suffix_dedup, op3_pii, op4_token_counts, op5_lm_score, op6_mix_sources, op7_near_duplicates, op8_toxicity, op9_decontaminate, op10_secrets, pii_base_counts, secret_base_counts, mix_targets)
+    every = (op1_nearest, op2_suffix_dedup, op3_pii, op4_token_counts, op5_lm_score, op6_mix_sources, op7_near_duplicates, op8_toxicity, op9_decontaminate, op10_secrets, op11_ranked_search, op12_runs, op13_bpe, pii_base_counts, secret_base_counts, mix_targets)
     return {f.__name__: f for f in every}
 
 
@@ -141,7 +153,43 @@ SELECT doc_id, size, source_size, round(least(cap, coalesce((SELECT v FROM level
 """
 
 
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+p AS MATERIALIZED (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t GROUP BY 1, 2),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY 1),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+m AS (SELECT doc_id, 100 - 75 + (75 * n * n_docs) // n_terms AS m FROM d, c),
+q AS (SELECT item_id, term, count(*) AS r FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY 1, 2),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), c),
+s AS (SELECT item_id, doc_id, sum(r * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+# every distance q of equal words, the stretches of places that have it, and of stretches over the same words the smallest q
+OP12_SQL = r"""
+WITH w0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+       xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, 8 * length(doc_id::VARCHAR)), lambda k: (ascii(substr(doc_id::VARCHAR, (k // 8 + 1)::BIGINT, 1)) >> (k % 8)::INTEGER)::BIGINT & 1)),
+           lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) AS h FROM documents),
+w1 AS (SELECT *, len(w) AS n, h // 10 AS g FROM w0),
+w2 AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM w1),
+w3 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM w2),
+x AS MATERIALIZED (SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i + 1 ELSE a + (i - a) % p + 1 END]) END AS w FROM w3),
+o AS MATERIALIZED (SELECT doc_id, i, w[i + 1] AS word, len(w) AS n FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM x)),
+e AS (SELECT o.doc_id, o.i, z.i - o.i AS q FROM o JOIN o AS z ON o.doc_id = z.doc_id AND o.word = z.word AND z.i > o.i AND 4 * (z.i - o.i) <= o.n
+      JOIN (SELECT doc_id, word FROM o GROUP BY 1, 2 HAVING count(*) >= 4) AS f ON f.doc_id = o.doc_id AND f.word = o.word),
+k AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM e) GROUP BY doc_id, q, isle HAVING count(*) >= greatest(6 - q, 3 * q)),
+r AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS q FROM k GROUP BY 1, 2, 3),
+s AS (SELECT doc_id, count(*) AS n_runs, arg_min({'start': start, 'length': length, 'period': q}, {'a': -length, 'b': start, 'c': q}) AS r, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM r GROUP BY 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+l AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM o ANTI JOIN g USING (doc_id, i) GROUP BY 1)
+SELECT x.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, r.start::BIGINT AS start, r.length::BIGINT AS length, r.period::BIGINT AS period, (1000 * r.length // r.period)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM x LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_ranked_search": OP11_SQL, "op12_runs": OP12_SQL,
         "op1_nearest": OP1_SQL, "op7_near_duplicates": OP7_SQL, "op9_decontaminate": OP9_SQL, "pii_base_counts": PII_SQL, "secret_base_counts": SECRET_SQL, "mix_targets": MIX_SQL,
     }
