@@ -25,6 +25,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -45,6 +46,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BATCH_BYTES = 4 << 20
 CACHE = 400_000
 NEVER = 1 << 60
+SHORT = (2, 1)
 ENDS = "ends"  # symbols are single characters
 _SPACE = regex.compile(r"[\x20\t\n\r]")
 
@@ -56,6 +58,15 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def _sizes(table: dict[str, int]) -> dict[str, tuple[int, ...]]:
+    """By the last three symbols of texts, the sizes of the tokens of three symbols and more that may end there, largest first, then 2 and 1."""
+    sizes: dict[str, set[int]] = {}
+    for text in table:
+        if len(text) > 2:
+            sizes.setdefault(text[-3:], set()).add(len(text))
+    return {end: (*sorted(found, reverse=True), 2, 1) for end, found in sizes.items()}
+
+
 class Bpe:
     """Tables of one vocabulary. Words and tokens are bytes as Latin-1 text; a token ends a word or stands inside one."""
 
@@ -89,6 +100,7 @@ class Bpe:
                 reached.add(new)
                 (self.final if text[b][1] else self.inner)[text[a + b][0]] = new
         self.longest = max(map(len, [*self.inner, *self.final]))
+        self.inner_sizes, self.final_sizes = _sizes(self.inner), _sizes(self.final)
 
     def _edge(self, token: int, side: int) -> Iterator[tuple[int, int, int]]:
         """(piece, rank that makes it, rank that takes it in) along the left (0) or right (1) edge, from the token inwards."""
@@ -127,13 +139,19 @@ class Bpe:
                 node = node.setdefault(c, {})
             node.setdefault(ENDS, []).append(word[-1])  # a word's last symbol is another one than the same inside a word
         last: list[tuple[int, int]] = []  # the last token of the path's first 1, 2, ... symbols, and its length
-        near = self.longest
-
-        def place(recent: str, depth: int, table: dict[str, int]) -> tuple[int, int]:
-            for size in range(len(recent), 0, -1):
-                token = table.get(recent[-size:])
-                if token is not None and (size == depth or self.compatible(last[depth - size - 1][0], token)):
-                    return token, size
+        near, known, compatible = self.longest, self.pairs, self.compatible
+
+        def place(recent: str, depth: int, table: dict[str, int], sizes: dict[str, tuple[int, ...]]) -> tuple[int, int]:
+            for size in sizes.get(recent[-3:], SHORT):
+                if size <= depth:
+                    token = table.get(recent[-size:])
+                    if token is not None:
+                        if size == depth:
+                            return token, size
+                        before = last[depth - size - 1][0]
+                        fits = known.get((before, token))
+                        if compatible(before, token) if fits is None else fits:
+                            return token, size
             raise ValueError(f"no token ends {recent!r}")
 
         path: list[str] = []
@@ -142,10 +160,10 @@ class Bpe:
             depth, symbol, recent, node = todo.pop()
             if depth:
                 del last[depth - 1 :], path[depth - 1 :]
-                last.append(place(recent, depth, self.inner))
+                last.append(place(recent, depth, self.inner, self.inner_sizes))
                 path.append(symbol)
             for c in node.pop(ENDS, ()):
-                token, size = place((recent + c)[-near:], depth + 1, self.final)
+                token, size = place((recent + c)[-near:], depth + 1, self.final, self.final_sizes)
                 ids, k = [token], depth + 1 - size
                 while k:
                     token, size = last[k - 1]
@@ -226,7 +244,9 @@ def encode(docs: DataFrame, spec: dict | None = None) -> DataFrame:
             words = {w for pieces in found for p in pieces if isinstance(p, list) for w in p}
             if len(cache) + len(words) > CACHE:
                 cache.clear()
+            gc.disable()  # the trie has many small objects and no cycles
             cache.update((w, np.array(ids, np.int32).tobytes()) for w, ids in bpe.encode(words - cache.keys()))
+            gc.enable()
             out, ends = [], [0]
             for pieces in found:
                 out.append(b"".join([b"".join(map(cache.__getitem__, p)) if isinstance(p, list) else special[p] for p in pieces]))
