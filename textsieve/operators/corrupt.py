@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsieve.functions.text import levenshtein_limit, uniform
 from textsieve.operators.sentences import ranked
+from textsieve.sources.scratch import Scratch
 
 DELETIONS = "array<struct<pos:int,token:string,left:string,right:string>>"
 
@@ -26,18 +27,81 @@ def with_deletions(sentences: DataFrame, p_delete: float, seed: int, max_events:
     return x.withColumn("deletions", F.when(F.col("_d").isNull(), F.array().cast(DELETIONS)).otherwise(F.array(one).cast(DELETIONS))).withColumn("kept", kept).drop("_d")
 
 
+def _without(rest: Column) -> Column:
+    """A string with none, one or two of its characters left out."""
+    n = F.length(rest)
+    cut = lambda x, i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x)))
+    one = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: cut(rest, i))).otherwise(F.array().cast("array<string>"))
+    # of each pair of places the later one goes first
+    two = F.flatten(F.transform(F.sequence(F.lit(2), n), lambda j: F.transform(F.sequence(F.lit(1), j - 1), lambda i: cut(cut(rest, j), i))))
+    return F.array_distinct(F.concat(F.array(rest), one, F.when(n > 1, two).otherwise(F.array().cast("array<string>"))))
+
+
+def _part(rest: Column, size: Column, k: int, shift: Column) -> Column:
+    """Third k of a string of `size` characters, cut from rest `shift` places later; null where it would begin before rest."""
+    first = F.floor(size * k / 3).cast("int")
+    last = F.floor(size * (k + 1) / 3).cast("int")
+    return F.when(first + shift >= 0, F.substring(rest, first + shift + 1, last - first))
+
+
+def near_pairs(targets: DataFrame, words: DataFrame, max_dist: int = 2, deletions_up_to: int = 24) -> DataFrame:
+    """(target, w): words of the same first character within max_dist (at most 2) edits of a target.
+
+    Both meet on hashed keys. What follows the first character of a short word gives its strings with up to two characters
+    left out: strings within two edits share one. A longer target gives its three thirds, of which two edits leave one as it
+    is, at most two places away; a word gives what stands there for each length that a target may have.
+    """
+    if max_dist > 2:
+        raise ValueError("max_dist must be 2 or less")
+    rest = lambda c: F.substring(c, 2, 1 << 30)
+    split = lambda df, c: df.select(F.col(c), F.substring(c, 1, 1).alias("_f"), rest(F.col(c)).alias("_r")).withColumn("_n", F.length("_r"))
+    t, w = split(targets.select("target").distinct(), "target"), split(words.select("w"), "w")
+    deleted = lambda df, c, most: df.where(F.col("_n") <= most).select(c, F.explode(F.transform(_without(F.col("_r")), lambda x: F.xxhash64(F.col("_f"), x))).alias("_h"))
+    short = deleted(t, "target", deletions_up_to).join(deleted(w, "w", deletions_up_to + 2), "_h").select("target", "w")
+    thirds = t.where(F.col("_n") > deletions_up_to).select("target", F.explode(F.array(*(F.xxhash64(F.lit(k), "_f", "_n", _part(F.col("_r"), F.col("_n"), k, F.lit(0))) for k in range(3)))).alias("_h"))
+    sizes = w.where(F.col("_n") > deletions_up_to - 2).withColumn("_m", F.explode(F.sequence(F.col("_n") - 2, F.col("_n") + 2))).where(F.col("_m") > deletions_up_to)
+    shifted = sizes.withColumn("_d", F.explode(F.sequence(F.lit(-2), F.lit(2))))
+    parts = F.array(*(F.when((p := _part(F.col("_r"), F.col("_m"), k, F.col("_d"))).isNotNull(), F.xxhash64(F.lit(k), "_f", "_m", p)) for k in range(3)))
+    long = thirds.join(shifted.select("w", F.explode(parts).alias("_h")), "_h").select("target", "w")
+    near = short.unionByName(long).where("w <> target").distinct()
+    return near.where(F.substring("w", 1, 1) == F.substring("target", 1, 1)).where(levenshtein_limit(F.col("target"), F.col("w"), max_dist).isNotNull())
+
+
+def words_before(asked: DataFrame, vocab: DataFrame) -> DataFrame:
+    """asked (w, n) with before: how many words of the vocabulary have the first character of w, n characters, and come before w.
+
+    Words are counted by their first character and length and by how they go on for three characters; only inside such a
+    group are they put in order.
+    """
+    group = ["_f", "n", "_p"]
+    keyed = lambda df: df.withColumn("_f", F.substring("w", 1, 1)).withColumn("_p", F.substring("w", 1, 4))
+    words = keyed(vocab.select("w", F.length("w").alias("n")))
+    wanted = keyed(asked.select("w", "n").distinct())
+    counts = words.groupBy(*group).agg(F.count(F.lit(1)).alias("c"))
+    ask = wanted.select(*group).distinct().withColumn("c", F.lit(0).cast("long")).withColumn("asked", F.lit(True))
+    both = counts.withColumn("asked", F.lit(False)).unionByName(ask).groupBy(*group).agg(F.sum("c").alias("c"), F.max("asked").alias("asked"))
+    base = both.withColumn("base", F.sum("c").over(Window.partitionBy("_f", "n").orderBy("_p")) - F.col("c")).where("asked").select(*group, "base")
+    rows = words.join(base.select(*group), group, "left_semi").select(*group, "w", F.lit(1).alias("one")).unionByName(wanted.select(*group, "w", F.lit(0).alias("one")))
+    inside = F.coalesce(F.sum("one").over(Window.partitionBy(*group).orderBy("w").rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+    # a word of the group itself is counted at its own place too
+    ordered = rows.withColumn("upto", inside).withColumn("own", F.max("one").over(Window.partitionBy(*group, "w"))).where("one = 0")
+    return ordered.join(base, group).select("w", "n", (F.col("base") + F.col("upto") - F.col("own")).alias("before"))
+
+
 def confusable(targets: DataFrame, vocab: DataFrame, seed: int, max_dist: int = 2, max_checks: int = 2000) -> DataFrame:
     """(target, choice): of each target's first max_checks candidates in vocabulary order (same first character, length within max_dist, not itself) one within max_dist edits, by hash; null if none.
 
-    Each (first character, length) group contributes its first max_checks words at most, so the join is bounded.
+    Near words come from an index of hashed parts. Whether one is among the first max_checks follows from counts of the words
+    before it; those are not listed.
     """
-    group = Window.partitionBy("_f", "_n").orderBy("w")
-    words = vocab.select("w", F.substring("w", 1, 1).alias("_f"), F.length("w").alias("_n")).withColumn("_k", F.row_number().over(group)).where(F.col("_k") <= max_checks + 1)
-    t = targets.select("target").distinct().withColumn("_f", F.substring("target", 1, 1)).withColumn("_n", F.explode(F.sequence(F.length("target") - max_dist, F.length("target") + max_dist)))
-    near = t.join(words, ["_f", "_n"]).where("w <> target")
-    near = near.withColumn("_k", F.row_number().over(Window.partitionBy("target").orderBy("w"))).where(F.col("_k") <= max_checks)
-    near = near.where(levenshtein_limit(F.col("target"), F.col("w"), max_dist).isNotNull())
-    best = near.groupBy("target").agg(F.min(F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), "target", "w")), "w")).alias("m")).select("target", F.col("m.w").alias("choice"))
+    keep = Scratch(targets.sparkSession, "confusable")
+    near = keep.write(near_pairs(targets, vocab, max_dist), "near")
+    pairs = near.withColumn("n", F.explode(F.sequence(F.length("target") - max_dist, F.length("target") + max_dist)))
+    before = pairs.join(words_before(pairs, vocab), ["w", "n"]).groupBy("target", "w").agg(F.sum("before").alias("before"))
+    in_vocab = vocab.select(F.col("w").alias("target"), F.lit(1).alias("_own"))
+    place = F.col("before") - F.when(F.col("target") < F.col("w"), F.coalesce("_own", F.lit(0))).otherwise(0)
+    first = before.join(in_vocab, "target", "left").where(place < max_checks)
+    best = first.groupBy("target").agg(F.min(F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), "target", "w")), "w")).alias("m")).select("target", F.col("m.w").alias("choice"))
     return targets.select("target").distinct().join(best, "target", "left")
 
 

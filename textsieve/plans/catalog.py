@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from textsieve.functions import text
 from textsieve.operators import corrupt as noise
-from textsieve.operators import embed, evaluate, features, lm, ml, report, suggest
+from textsieve.operators import embed, evaluate, features, lm, ml, report, skipgram, suggest
 from textsieve.operators.sentences import sentence_ids, split_exact, split_train_test, text_to_sentences
 from textsieve.plans.oracles import ORACLES
 from textsieve.sources.scratch import Scratch
 
 SEED, P_DELETE, P_SUBSTITUTE, TOP_VOCAB, TOP = 7, 0.04, 0.12, 3000, 15
 KEYS = ("doc_id", "sent_pos")
+EMBEDDING = skipgram.SkipGramParams(dim=32, epochs=3)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -296,7 +297,7 @@ def _labelled_features(spark, sf_dir) -> DataFrame:
     s, model = _corpus(spark, sf_dir)
     c = Scratch(spark, "labels").write(_corrupted(s, model), "corrupted")
     shown = c.select(*KEYS, F.col("tokens_corrupted").alias("tokens"))
-    rows = features.token_features(shown, model, embed.train_embedding(s, model))
+    rows = features.token_features(shown, model, skipgram.train_skipgram(s, EMBEDDING).vectors)
     return features.attach_labels(rows, features.token_labels(c), [*KEYS, "token_idx"])
 
 
@@ -306,8 +307,38 @@ def lr_scores(spark, sf_dir):
 
 
 def subword_outlier(spark, sf_dir):
+    s = Scratch(spark, "corpus").write(_sentences(spark, sf_dir), "sentences")
+    return embed.token_outliers(s, skipgram.train_skipgram(s, EMBEDDING).vectors)
+
+
+def _fixed_vectors(words: DataFrame) -> DataFrame:
+    """Vectors that SQL can draw too: eight numbers around 0 from hashes of the word."""
+    return words.select("w", F.array(*(text.uniform("vector", F.lit(d), F.col("w")) - 0.5 for d in range(8))).alias("vec"))
+
+
+def token_outliers(spark, sf_dir):
+    s = Scratch(spark, "corpus").write(_sentences(spark, sf_dir), "sentences")
+    words = s.select(F.explode("tokens").alias("w")).distinct()
+    return embed.token_outliers(s, _fixed_vectors(words)).select(*KEYS, "token_idx", _six("ft_outlier").alias("ft_outlier"))
+
+
+def token_features(spark, sf_dir):
+    """All features of a token; tokens of odd length have no vector."""
     s, model = _corpus(spark, sf_dir)
-    return embed.token_outliers(s, embed.train_embedding(s, model))
+    found = features.token_features(s, model, _fixed_vectors(model.vocab_full.where("length(w) % 2 = 0")))
+    return found.select(*KEYS, F.col("token_idx").cast("long").alias("token_idx"), "token", *(_six(c).alias(c) for c in features.FEATURES))
+
+
+def gap_detector(spark, sf_dir):
+    """How well the gap score finds the gaps that deletions left in the corrupted sentences."""
+    s, model = _corpus(spark, sf_dir)
+    keep = Scratch(spark, "detector")
+    c = keep.write(_corrupted(s, model), "corrupted")
+    shown = c.select(*KEYS, F.col("tokens_corrupted").alias("tokens"))
+    scored = features.matched_scores(_gap_rows(shown, model), features.gap_labels(c), [*KEYS, "gap_idx"], "gap_score")
+    scored = keep.write(scored.select(F.lit("gap_score").alias("method"), "score", "label"), "scored")
+    best = evaluate.best_f1_threshold(scored, "corrected")
+    return evaluate.average_precision(scored).join(best, "method").select("method", _six("average_precision").alias("average_precision"), "threshold", _six("f1").alias("f1"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -318,6 +349,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         corrupted_sentences, token_labels, gap_labels, located_deletions, pr_curve, average_precision, prf_at_threshold, compare_methods,
         suggest_replacements, suggest_insertions, correction_topk, embedding_outlier, cosine_pairs, scaler_stats, class_weights, render_sentence,
         render_gap, top_examples, top_examples_tokens, corrupt_confusable, lr_predict, matched_scores, split_exact_counts, lr_scores, subword_outlier,
+        token_outliers, token_features, gap_detector,
     )
 } | {
     "token_surprisal_fwd": _surprisal("forward"), "token_surprisal_bwd": _surprisal("backward"), "token_surprisal_bidi": _surprisal("both"),

@@ -153,7 +153,27 @@ _F1 = "round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) + 0.0 A
 _EMB = "SELECT vec_id, vec_id // 50 AS g, vec_id % 50 AS i, embedding::DOUBLE[] AS e FROM embeddings"
 _COS = "list_inner_product({0}, {1}) / (sqrt(list_inner_product({0}, {0})) * sqrt(list_inner_product({1}, {1})))"
 
+def _outliers(tokens: str, vectors: str) -> str:
+    """tokens: doc_id, sent_pos, token_idx, token; vectors: w, e. The sum of the neighbours' vectors points where their mean does."""
+    return f"""
+ov AS MATERIALIZED (SELECT doc_id, sent_pos, token_idx, e FROM {tokens} LEFT JOIN {vectors} ON w = token),
+ot AS MATERIALIZED (SELECT doc_id, sent_pos, token_idx, e, [{', '.join(f"coalesce(sum(e[{d}]) OVER w, 0)" for d in range(1, 9))}] AS s, count(e) OVER w AS n FROM ov
+       WINDOW w AS (PARTITION BY doc_id, sent_pos ORDER BY token_idx RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING EXCLUDE CURRENT ROW)),
+out AS MATERIALIZED (SELECT doc_id, sent_pos, token_idx, round(CASE WHEN e IS NULL THEN 1 WHEN n = 0 THEN 0 ELSE 1 - {_COS.format("e", "s")} END, 6) + 0.0 AS ft_outlier FROM ot)"""
+
+
+_VECTORS = f"[{', '.join(_uniform(chr(39) + 'vector' + chr(39), repr(str(d)), 'w') + ' - 0.5' for d in range(8))}] AS e"
+_TOKENS = "tok AS MATERIALIZED (SELECT doc_id, sent_pos, (i - 1)::INTEGER AS token_idx, tokens[i] AS token FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM sent))"
+
 ORACLES: dict[str, str] = {
+    "token_outliers": f"WITH {SENT}, {_TOKENS}, v AS (SELECT w, {_VECTORS} FROM (SELECT DISTINCT token AS w FROM tok)), {_outliers('tok', 'v')} SELECT * FROM out",
+    "token_features": f"""{_ALL}, {_FWD}, {_BWD}, {_TOKENS}, v AS (SELECT w, {_VECTORS} FROM (SELECT DISTINCT token AS w FROM tok) WHERE length(w) % 2 = 0), {_outliers('tok', 'v')}
+SELECT f.doc_id, f.sent_pos, f.token_idx, f.token, round((f.s + r.s) / 2, 6) + 0.0 AS ngram_surp, ft_outlier, round(ln(1 + c), 6) + 0.0 AS log_freq, length(f.token)::DOUBLE AS char_len
+FROM f JOIN r USING (doc_id, sent_pos, token_idx) JOIN out USING (doc_id, sent_pos, token_idx) JOIN u ON u.w = f.token""",
+    "gap_detector": f"""{_COR}, dg AS (SELECT cg.doc_id, cg.sent_pos, cg.gap_idx, round(0.5 * (-ln((coalesce(b.c, 0) + {A}) / (ul.c + {A} * {_V})) - ln((coalesce(b.c, 0) + {A}) / (ur.c + {A} * {_V}))), 6) + 0.0 AS score
+FROM cg LEFT JOIN b ON b.w1 = l AND b.w = r LEFT JOIN u AS ul ON ul.w = l LEFT JOIN u AS ur ON ur.w = r),
+scored AS (SELECT 'gap_score' AS method, score, (loc.gap_idx IS NOT NULL)::INTEGER AS label FROM dg LEFT JOIN loc ON loc.doc_id = dg.doc_id AND loc.sent_pos = dg.sent_pos AND loc.gap_idx = dg.gap_idx),
+{_curve()}, {_best(compat=False)} SELECT method, round(average_precision, 6) + 0.0 AS average_precision, threshold, round(f1, 6) + 0.0 AS f1 FROM ap JOIN best USING (method)""",
     "normalize_text": f"SELECT doc_id, {_normalized('text')} AS normalized FROM documents",
     "pages_text": f"SELECT page_id, {_normalized('html')} AS normalized FROM pages",
     "sentences": f"WITH {SENT} SELECT doc_id, sent_pos, array_to_string(tokens, ' ') AS tokens, len(tokens)::BIGINT AS n_tokens FROM sent",
