@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsieve.sources.scratch import Scratch
@@ -54,6 +54,16 @@ class NgramModel:
         """Words without the padding markers."""
         return self.vocab.where(~F.col("w").isin(BOS, EOS))
 
+    def written(self, keep: Scratch) -> NgramModel:
+        """The same model with unigrams, bigrams and statistics as written tables; the trigrams must be one already.
+
+        Lookups read them as they are: no table is summed again, and small ones are sent out after a check of their size.
+        """
+        self.require_fit()
+        bi = keep.write(self.bi, "bigrams")
+        uni = keep.write(self.uni, "unigrams")
+        return NgramModel(self.params, uni, bi, self.tri, keep.write(statistics(uni), "stats"))
+
     def save(self, path: str) -> None:
         self.require_fit()
         for name in ("uni", "bi", "tri", "stats"):
@@ -79,18 +89,19 @@ def fit(sentences: DataFrame, params: LmParams | None = None, keep: Scratch | No
     bi = tri.groupBy("w1", "w").agg(F.sum("c").alias("c")).unionByName(n_sent.where("c > 0").select(F.lit(BOS).alias("w1"), F.lit(BOS).alias("w"), "c"))
     words = tri.groupBy("w").agg(F.sum("c").alias("c"))
     uni = words.unionByName(n_sent.where("c > 0").select(F.lit(BOS).alias("w"), (2 * F.col("c")).alias("c")))
-    stats = uni.agg(F.sum("c").alias("n_total"), F.count(F.lit(1)).alias("v_size"), F.sum(F.when(F.col("w") == EOS, F.col("c"))).alias("n_sent"))
-    return NgramModel(params or LmParams(), uni, bi, tri, stats)
+    return NgramModel(params or LmParams(), uni, bi, tri, statistics(uni))
+
+
+def statistics(uni: DataFrame) -> DataFrame:
+    return uni.agg(F.sum("c").alias("n_total"), F.count(F.lit(1)).alias("v_size"), F.sum(F.when(F.col("w") == EOS, F.col("c"))).alias("n_sent"))
 
 
 def contexts(sentences: DataFrame, *keys: str) -> DataFrame:
-    """One row per token: idx, word, two to the left (padding beyond the start), two to the right (the end marker once, then null)."""
+    """Rows (keys, idx, x, y, z): all runs of three of the padded sentence and a null behind it, so that the word idx is the z of
+    run idx, after its two words to the left, and the x of run idx + 2, before its two words to the right."""
     t = F.col("t")
-    row = F.transform(
-        F.sequence(F.lit(3), F.size("t") - 1),
-        lambda i: F.struct((i - 3).alias("idx"), F.element_at(t, i).alias("w"), F.element_at(t, i - 2).alias("l2"), F.element_at(t, i - 1).alias("l1"), F.element_at(t, i + 1).alias("r1"), F.when(i + 2 <= F.size(t), F.element_at(t, i + 2)).alias("r2")),
-    )
-    p = sentences.where(F.size("tokens") > 0).select(*keys, padded(F.col("tokens")).alias("t"))
+    row = F.transform(F.sequence(F.lit(1), F.size(t) - 2), lambda i: F.struct((i - 1).alias("idx"), F.element_at(t, i).alias("x"), F.element_at(t, i + 1).alias("y"), F.element_at(t, i + 2).alias("z")))
+    p = sentences.where(F.size("tokens") > 0).select(*keys, F.concat(padded(F.col("tokens")), F.array(F.lit(None).cast("string"))).alias("t"))
     return p.select(*keys, F.explode(row).alias("_x")).select(*keys, "_x.*")
 
 
@@ -105,44 +116,42 @@ def count_of(df: DataFrame, table: DataFrame, name: str, **on: str) -> DataFrame
     return df.join(t, list(on.values()), "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
-def forward_probability(grams: DataFrame, model: NgramModel) -> DataFrame:
-    """Adds p to rows (l2, l1, w)."""
-    model.require_fit()
-    a = model.params.alpha
-    x = count_of(grams, model.tri, "_t", w2="l2", w1="l1", w="w")
-    x = count_of(count_of(x, model.bi, "_b2", w1="l2", w="l1"), model.bi, "_b1", w1="l1", w="w")
-    x = count_of(count_of(x, model.uni, "_u1", w="l1"), model.uni, "_u", w="w").crossJoin(F.broadcast(model.stats))
-    av = a * F.col("v_size")
-    p = _interpolated(model.params, (F.col("_t") + a) / (F.col("_b2") + av), (F.col("_b1") + a) / (F.col("_u1") + av), (F.col("_u") + a) / (F.col("n_total") + av))
-    return x.select(*grams.columns, p.alias("p"))
-
+def run_probabilities(runs: DataFrame, model: NgramModel, direction: str = "both") -> DataFrame:
+    """Adds pf, the probability of z after x and y, and pb, that of x before y and z in reversed text, to distinct rows (x, y, z).
 
-def backward_probability(grams: DataFrame, model: NgramModel) -> DataFrame:
-    """Adds p, under the model of reversed text, to rows (w, r1, r2); r1 is the end marker at a sentence's end, where r2 is null."""
+    Both come from the same counts, as reversed text has the same runs; at a sentence's end y is the end marker and z null. Of
+    "forward" or "backward" alone the other one is null.
+    """
     model.require_fit()
     a = model.params.alpha
-    x = count_of(grams, model.tri, "_t", w2="w", w1="r1", w="r2")
-    x = count_of(count_of(x, model.bi, "_b2", w1="r1", w="r2"), model.bi, "_b1", w1="w", w="r1")
-    x = count_of(count_of(x, model.uni, "_u1", w="r1"), model.uni, "_u", w="w").crossJoin(F.broadcast(model.stats))
-    last, av = F.col("r1") == EOS, a * F.col("v_size")
-    t, b2, u1 = F.when(last, F.col("_b1")).otherwise(F.col("_t")), F.when(last, F.col("n_sent")).otherwise(F.col("_b2")), F.when(last, 2 * F.col("n_sent")).otherwise(F.col("_u1"))
-    p = _interpolated(model.params, (t + a) / (b2 + av), (F.col("_b1") + a) / (u1 + av), (F.col("_u") + a) / (F.col("n_total") + av))
-    return x.select(*grams.columns, p.alias("p"))
+    r = count_of(runs, model.tri, "_t", w2="x", w1="y", w="z")
+    r = count_of(count_of(r, model.bi, "_xy", w1="x", w="y"), model.bi, "_yz", w1="y", w="z")
+    for column in [c for c, unused in (("x", "forward"), ("y", ""), ("z", "backward")) if unused != direction]:
+        r = count_of(r, model.uni, f"_{column}", w=column)
+    r = r.crossJoin(F.broadcast(model.stats))
+    last, av = F.col("y") == EOS, a * F.col("v_size")
+    low = lambda u: (F.col(u) + a) / (F.col("n_total") + av)
+    ahead = _interpolated(model.params, (F.col("_t") + a) / (F.col("_xy") + av), (F.col("_yz") + a) / (F.col("_y") + av), low("_z"))
+    t, b2, u1 = F.when(last, F.col("_xy")).otherwise(F.col("_t")), F.when(last, F.col("n_sent")).otherwise(F.col("_yz")), F.when(last, 2 * F.col("n_sent")).otherwise(F.col("_y"))
+    back = _interpolated(model.params, (t + a) / (b2 + av), (F.col("_xy") + a) / (u1 + av), low("_x"))
+    none = F.lit(None).cast("double")
+    return r.select("x", "y", "z", (none if direction == "backward" else ahead).alias("pf"), (none if direction == "forward" else back).alias("pb"))
 
 
 def token_surprisal(sentences: DataFrame, model: NgramModel, direction: str = "both", keys: tuple[str, ...] = ("doc_id", "sent_pos")) -> DataFrame:
-    """(keys, idx, w, surprisal): -log p of each token, forward, backward, or the mean of both. Distinct n-grams are scored once."""
+    """(keys, idx, w, surprisal): -log p of each token, forward, backward, or the mean of both.
+
+    Distinct runs of three words are scored once, for both directions; the text meets them in one join.
+    """
     rows = contexts(sentences, *keys)
-    score = F.lit(0.0)
-    if direction in ("forward", "both"):
-        f = forward_probability(rows.select("l2", "l1", "w").distinct(), model).withColumnRenamed("p", "_pf")
-        rows = rows.join(f, ["l2", "l1", "w"])
-        score = score - F.log("_pf")
-    if direction in ("backward", "both"):
-        b = backward_probability(rows.select("w", "r1", "r2").distinct(), model).select(F.col("w").alias("_w"), F.col("r1").alias("_r1"), F.col("r2").alias("_r2"), F.col("p").alias("_pb"))
-        rows = rows.join(b, (rows["w"] == b["_w"]) & (rows["r1"] == b["_r1"]) & rows["r2"].eqNullSafe(b["_r2"]))
-        score = score - F.log("_pb")
-    return rows.select(*keys, "idx", "w", (score / 2 if direction == "both" else score).alias("surprisal"))
+    rows = rows.where(F.col("z") != EOS) if direction == "forward" else rows
+    p = run_probabilities(rows.select("x", "y", "z").distinct(), model, direction).select(*(F.col(c).alias(f"_{c}") for c in "xyz"), "pf", "pb")
+    met = rows.join(p, (rows["x"] == p["_x"]) & (rows["y"] == p["_y"]) & rows["z"].eqNullSafe(p["_z"])).select(*keys, "idx", F.col("z").alias("w"), "pf", "pb")
+    ahead, back = -F.log("pf"), -F.log("_back")
+    if direction != "forward":
+        met = met.withColumn("_back", F.lead("pb", 2).over(Window.partitionBy(*keys).orderBy("idx")))
+    found = met.where(F.col("w").isNotNull() & (F.col("w") != EOS))
+    return found.select(*keys, "idx", "w", (ahead if direction == "forward" else back if direction == "backward" else (ahead + back) / 2).alias("surprisal"))
 
 
 def gaps(sentences: DataFrame, *keys: str) -> DataFrame:

@@ -16,7 +16,7 @@ from textsieve.sources.scratch import Scratch
 
 SEED, P_DELETE, P_SUBSTITUTE, TOP_VOCAB, TOP = 7, 0.04, 0.12, 3000, 15
 KEYS = ("doc_id", "sent_pos")
-EMBEDDING = skipgram.SkipGramParams(dim=32, epochs=3)
+EMBEDDING = skipgram.SkipGramParams(dim=16, epochs=2, passes=2)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,7 @@ def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, lm.NgramModel]
     """Sentences and their model, both written once for all the steps of a query."""
     keep = Scratch(spark, "corpus")
     s = keep.write(_sentences(spark, sf_dir), "sentences")
-    return s, lm.fit(s, keep=keep)
+    return s, lm.fit(s, keep=keep).written(keep)
 
 
 def _model(spark: SparkSession, sf_dir: str) -> lm.NgramModel:
@@ -215,7 +215,7 @@ def suggest_insertions(spark, sf_dir):
 def correction_topk(spark, sf_dir):
     keep = Scratch(spark, "split")
     s = keep.write(split_train_test(_sentences(spark, sf_dir), 0.75, SEED), "sentences")
-    model = lm.fit(s.where("is_train"), keep=keep)
+    model = lm.fit(s.where("is_train"), keep=keep).written(keep)
     test = keep.write(noise.corrupt_corpus(s.where("not is_train"), model.vocab_full, P_DELETE, P_SUBSTITUTE, 2, False, SEED + 2), "test")
     ranks = suggest.correction_ranks(test, features.located_gaps(test), model, lm.top_frequent_vocab(model, TOP_VOCAB))
     return evaluate.topk_rates(ranks).select("kind", "events", _six("top1").alias("top1"), _six("topk").alias("topk"))
