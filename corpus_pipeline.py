@@ -47,9 +47,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes: a row for each, 0 for null and empty texts; a null source is one more
-    source; repeated rows are documents of their own."""
-    return mixing.mix_sources(docs)
+    """Each document as the stages left it, with how many of its words the mix takes: a row for each, 0 for null and empty
+    texts (a null text is empty); a null source is one more source; repeated rows are documents of their own."""
+    return mixing.mixed_texts(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -64,7 +64,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and read again."""
+    """All stages over documents; each stage's rows are written and read again. The rows have the cleaned texts."""
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:

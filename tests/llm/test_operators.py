@@ -400,6 +400,15 @@ def test_mixing(spark):
     assert mixing.mix_sources(table(spark, [])).count() == 0
 
 
+def test_mix_with_texts(spark):
+    rows = [(i, f"text of {i} " * (i % 9 + 1), f"s{i % 3}") for i in range(60)] + [(7, "many copies of one", None)] * 5 + [(8, " ", "s1"), (8, " ", "s1"), (None, None, "s1"), (None, "null id", "s2")]
+    docs = table(spark, rows)
+    got = mixing.mixed_texts(docs, block=2).collect()
+    assert keyed((r["doc_id"], r["text"], r["source"]) for r in got) == keyed((d, t if (t or "").split() else "", s) for d, t, s in rows)
+    plain = keyed((r["doc_id"], r["size"], r["taken"], r["source"]) for r in mixing.mix_sources(docs, block=2).collect())
+    assert keyed((r["doc_id"], r["size"], r["taken"], r["source"]) for r in got) == plain and all(r["size"] == len(r["text"].split()) for r in got)
+
+
 def test_mix_of_many_full_copies(spark):
     """3,000 rows that repeat in full: each a row of its own, and the words taken meet the target."""
     rows = [(7, "a b c", "s")] * 3000 + [(i, "d e f g h", "t") for i in range(100, 140)] + [(9, "x " * 40, "s")]
@@ -527,11 +536,15 @@ def test_toxicity_is_fitted_on_all_segments():
     score[toxicity._tokens(pa.array(["bad"]))[0][:, 0]] = 2.0
     model = toxicity.ToxicityModel(score, decay=5.0)
     batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array([1], pa.int32())], ["text", "toxic"])
-    (out,) = toxicity._best(type("Sent", (), {"value": model}))(iter([batch]))
-    fitted = [(0, 0, float(s)) for s in out["scores"][0].as_py().split()]
+    sent = type("Sent", (), {"value": model})
+    (out,) = toxicity._features(sent)(iter([batch]))
     bucket, _ = toxicity._tokens(batch.column(0))
-    scored = toxicity.maximal_segments(model.tokens(bucket))
-    assert len(scored) == 100 and model.features(fitted, 400) == model.features(scored, 400)
+    x = model.tokens(bucket)
+    scored = toxicity.maximal_segments(x)
+    assert len(scored) == 100 and (out["strongest"][0].as_py(), out["evidence"][0].as_py()) == model.features(scored, 400)
+    (sums,) = toxicity._sums(sent)(iter([batch, batch]))
+    want = [*(2 * np.exp(v * x).sum() for v in toxicity.LAMBDAS), 800, 2 * x.sum(), 2, 2 * max(s for *_, s in scored), 2 * np.log(400)]
+    assert np.allclose(sums["value"].to_numpy(), want)
 
 
 def test_toxicity_curve_is_fitted_to_the_optimum():
@@ -653,6 +666,7 @@ def test_stages_on_odd_tables(spark, tmp_path, k):
 def test_pipeline(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     work, columns = Workspace(spark, "t"), docs.columns
+    whole = {r["doc_id"]: r["text"] for r in docs.collect()}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "mixing"]
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -660,7 +674,7 @@ def test_pipeline(spark, small):
         docs = work.write(stage(spark, docs, small), name)
         if k < 4:
             assert docs.columns == columns
-        after = {r["doc_id"]: r["text"] if k < 4 else None for r in docs.collect()}
+        after = {r["doc_id"]: r["text"] for r in docs.collect()}
         if name == "near_duplicates":
             assert set(after) == {c for _, _, c in brute.components(list(before.items()), 5)}
         if name == "decontamination":
@@ -669,6 +683,10 @@ def test_pipeline(spark, small):
             assert all(len(after[d]) < len(before[d]) for d in after if hits[d][2])
         if name in ("secrets", "mixing"):
             assert set(after) == set(before)
+        if name == "mixing":
+            assert after == {d: t if (t or "").split() else "" for d, t in before.items()} and {"taken", "target"} <= set(docs.columns)
+    # the result has the texts as the stages left them: without hit passages, with secrets replaced
+    assert any(len(after[d]) < len(whole[d] or "") for d in after) and any(after[d] != (whole[d] or "") for d in after)
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))

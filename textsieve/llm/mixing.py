@@ -76,8 +76,31 @@ def sainte_lague(parties: DataFrame, claim: str, seats: Column, group: Sequence[
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max_epochs: int = 3, block: int = 64, shard_words: int = 1 << 20, seed: int = 7) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source, shard, epochs) for every row of docs."""
+    return _mixed(docs, weights, max_epochs, block, shard_words, seed).drop("draw")
+
+
+def mixed_texts(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max_epochs: int = 3, block: int = 64, shard_words: int = 1 << 20, seed: int = 7) -> DataFrame:
+    """mix_sources with the text of each row beside it; a text without words comes as the empty one.
+
+    Texts are moved once, to the rows that the mix made of them; rows without words take nothing and are not joined.
+    """
+    work = Workspace(docs.sparkSession, "mixed")
+    mixed = work.write(_mixed(docs, weights, max_epochs, block, shard_words, seed), "rows")
+    some, empty = mixed.where("size > 0"), mixed.where("size = 0").withColumn("text", F.lit(""))
+    keyed = texts(docs, "source").select(F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("_source"), _draw(seed).alias("_draw"), "text")
+    repeated = some.groupBy("doc_id", "source", "draw").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    keyed = keyed.dropDuplicates(["_id", "_source", "_draw"]) if repeated else keyed
+    same = some["doc_id"].eqNullSafe(keyed["_id"]) & (some["draw"] == keyed["_draw"]) & some["source"].eqNullSafe(keyed["_source"])
+    return some.join(keyed, same).drop("_id", "_source", "_draw").unionByName(empty).drop("draw")
+
+
+def _draw(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def _mixed(docs: DataFrame, weights: Sequence[float], max_epochs: int, block: int, shard_words: int, seed: int) -> DataFrame:
     work = Workspace(docs.sparkSession, "mix")
-    sized = texts(docs, "source").select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
+    sized = texts(docs, "source").select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _draw(seed).alias("draw"))
     # rows that repeat in full are one row with a number of copies until the end, so that they make no hot shard
     sized = work.write(sized.groupBy("doc_id", "source", "size", "draw").agg(F.count(F.lit(1)).alias("copies")), "sized")
     weight = F.col("size") * F.col("copies")
@@ -109,4 +132,4 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max
     overlap = lambda lo, hi: F.greatest(F.least(F.col("to"), hi) - F.greatest(F.col("from"), lo), F.lit(0))
     end = F.col("start") + F.col("rest")
     part = overlap(F.col("start"), F.least(end, F.col("shard_size"))) + F.when(end > F.col("shard_size"), overlap(F.lit(0), end - F.col("shard_size"))).otherwise(F.lit(0))
-    return at.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "source", "shard", F.col("epochs").cast("long").alias("epochs"))
+    return at.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "source", "shard", F.col("epochs").cast("long").alias("epochs"), "draw")

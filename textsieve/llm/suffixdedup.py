@@ -17,8 +17,9 @@ only elected positions (about 2 of 257) need ranks, at the W offsets d at which
 In the last step both are the window itself. No step needs the rows of one rank in one task: they are counted with
 partial sums and joined back on plain exchanges, which Spark splits where hot. Bytes of repeated windows are removed.
 
-Beside what is removed, `n_passages` reports passages of `passage` words (51: over 50) that texts share, which may be
-shorter than `length` bytes and then stay (see `shared_passages`).
+Beside what is removed, `n_passages` counts strings of half of `passage` words (26 of 51) that a text elects and shares with
+another text. It is above 0 for every text that shares a passage of `passage` words, which may be shorter than `length`
+bytes and then stays, and for some that share fewer words, from that half on (see `shared_passages`).
 
 Strings are compared by hashes of 128 bits. Defined cases: a null text is empty; texts shorter than the threshold
 repeat nothing; repeated rows are documents of their own, so each makes the other's strings repeat; an empty table

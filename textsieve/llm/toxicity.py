@@ -36,6 +36,7 @@ BITS = 20
 PREFIXES: tuple[int, ...] = (4, 5, 6)
 BATCH_BYTES = 4 << 20
 LAMBDAS = tuple(0.05 * 1.25**k for k in range(24))
+_TOKENS_AT, _TOTAL, _DOCS, _BEST, _LOG_N = range(len(LAMBDAS), len(LAMBDAS) + 5)
 SEGMENTS = "array<struct<first:int,last:int,score:double,e_value:double>>"
 
 
@@ -155,14 +156,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, prior
     model = ToxicityModel(np.where((score > 0) & (score < weak), 0, score).astype(np.float32), drift)
     while True:
         sent = docs.sparkSession.sparkContext.broadcast(model)
-        best = rows.mapInArrow(_best(sent), "toxic int, best double, scores string, n long, total double, powers array<double>").toPandas()
-        c = best[best.toxic == 0]
-        n_clean = max(int(c.n.sum()), 1)
-        mean = float(c.total.sum()) / n_clean
-        if mean < 0 or not c.n.sum():
+        sums = rows.where("toxic = 0").mapInArrow(_sums(sent), "k int, value double").groupBy("k").agg(F.sum("value").alias("value"))
+        found = {r["k"]: r["value"] for r in sums.collect()}  # a few numbers
+        n_clean = max(found.get(_TOKENS_AT, 0.0), 1.0)
+        mean = found.get(_TOTAL, 0.0) / n_clean
+        if mean < 0 or not found.get(_TOKENS_AT):
             break
         model.drift += mean + drift  # clean text must lose score
-    power = np.sum(np.stack(c.powers.to_list()), 0) / n_clean
+    power = np.array([found.get(k, 0.0) for k in range(len(LAMBDAS))]) / n_clean
     above = np.flatnonzero(power >= 1)
     k = int(above[0]) if len(above) else len(LAMBDAS) - 1
     if k and power[k] > power[k - 1]:  # between the last below 1 and the first above
@@ -170,8 +171,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, prior
         model.decay = float(LAMBDAS[k - 1] + part * (LAMBDAS[k] - LAMBDAS[k - 1]))
     else:
         model.decay = LAMBDAS[k]
-    model.size = float(np.exp(np.mean(model.decay * c.best - np.log(np.maximum(c.n, 1))) - np.euler_gamma))
-    x = np.array([[1.0, *model.features([(0, 0, float(s)) for s in segs.split()] if segs else [], k)] for segs, k in zip(best.scores, best.n, strict=True)])
+    n_docs = max(found.get(_DOCS, 0.0), 1.0)
+    model.size = float(np.exp((model.decay * found.get(_BEST, 0.0) - found.get(_LOG_N, 0.0)) / n_docs - np.euler_gamma))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    best = rows.mapInArrow(_features(sent), "toxic int, strongest double, evidence double").toPandas()  # three numbers for each of 2 * sample rows at most
+    x = np.column_stack([np.ones(len(best)), best.strongest, best.evidence])
     t = best.toxic.to_numpy(float)
     weight = np.where(t > 0, share[1] / max(t.sum(), 1), share[0] / max((1 - t).sum(), 1))  # the sample's labels back to their shares
     weight *= len(t) / weight.sum()
@@ -179,18 +183,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, prior
     return model
 
 
-def _best(sent):
+def _sums(sent):
+    """(k, value): for a part of the texts, sums over tokens of exp(lambda * score) for each lambda (k from 0), then of what the last numbers name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, sums = sent.value, np.zeros(_LOG_N + 1)
+        for batch in (part for b in batches for part in slices(b, "text", BATCH_BYTES)):
+            bucket, begins = _tokens(batch.column(0))
+            x = model.tokens(bucket)
+            sizes = np.diff(begins)
+            best = [max((s for *_, s in maximal_segments(x[i:j])), default=0.0) for i, j in zip(begins[:-1], begins[1:], strict=True)]
+            sums += [*(np.exp(v * x).sum() for v in LAMBDAS), len(x), x.sum(), batch.num_rows, sum(best), np.log(np.maximum(sizes, 1)).sum()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], ["k", "value"])
+
+    return run
+
+
+def _features(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in (part for b in batches for part in slices(b, "text", BATCH_BYTES)):
             bucket, begins = _tokens(batch.column(0))
             x = model.tokens(bucket)
-            powers = np.stack([np.add.reduceat(np.append(np.exp(v * x), 0.0), begins[:-1]) * (np.diff(begins) > 0) for v in LAMBDAS], 1) if batch.num_rows else np.empty((0, len(LAMBDAS)))
-            totals = [float(x[i:j].sum()) for i, j in zip(begins[:-1], begins[1:], strict=True)]
-            segments = [maximal_segments(x[i:j]) for i, j in zip(begins[:-1], begins[1:], strict=True)]
-            best = [max((s for *_, s in g), default=0.0) for g in segments]
-            every = [" ".join(repr(float(s)) for *_, s in g) for g in segments]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(best, pa.float64()), pa.array(every), pa.array(np.diff(begins)), pa.array(totals, pa.float64()), pa.array(powers.tolist(), pa.list_(pa.float64()))], ["toxic", "best", "scores", "n", "total", "powers"])
+            found = [model.features(maximal_segments(x[i:j]), int(j - i)) for i, j in zip(begins[:-1], begins[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1))], ["toxic", "strongest", "evidence"])
 
     return run
 
