@@ -188,3 +188,36 @@ def test_only_the_first_candidates_count(spark, most):
         first = [w for w in words if w != t and w[0] == t[0] and abs(len(w) - len(t)) <= 2][:most]
         near = [w for w in first if edits(t, w) <= 2]
         assert got[t] in near if near else got[t] is None
+
+
+def test_models_load_as_they_were_saved(spark, tmp_path, trained):
+    from textsieve.operators import ml
+    from textsieve.plans import experiment
+    from textsieve.sources.store import ModelStore
+
+    _, _, s, _, found = trained
+    model = lm.fit(s, lm.LmParams(0.2, (0.5, 0.3, 0.2)))
+    fixed = ml.TokenClassifier(("ngram_surp", "ft_outlier", "log_freq", "char_len"), (5.0, 0.5, 3.0, 6.0), (2.0, 0.2, 2.0, 2.5), (0.7, 1.1, -0.8, 0.3), -1.5)
+    docs = s.limit(20).select("doc_id", F.array_join("tokens", " ").alias("text"))
+    first = experiment.save_models(spark, str(tmp_path), model, found.vectors, fixed, {"seed": 7})
+    got = experiment.load_models(spark, str(tmp_path))
+    assert got[0].params == model.params and got[2] == fixed
+    shown = lambda m: sorted((r["doc_id"], r["token_idx"], round(r["lr_score"], 12)) for r in experiment.score_documents(docs, *m).collect())
+    assert shown(got) == shown((model, found.vectors, fixed)) and len(shown(got)) > 100
+    store = ModelStore(spark, f"{tmp_path}/models")
+    # a write that broke off before its commit is not there; the next version gets a name of its own
+    (tmp_path / "models" / "v2-broken" / "uni").mkdir(parents=True)
+    assert store.versions() == [first]
+    small = store.save({"one": spark.range(3)}, {"x": "ж"})
+    assert store.versions() == [first, small] and small.startswith("v3-")
+    tables, about = store.load()
+    assert tables["one"].count() == 3 and about == {"x": "ж"}
+    store.load(first)
+    for part in (tmp_path / "models" / small / "one").glob("*.parquet"):
+        part.unlink()
+    with pytest.raises(ValueError):
+        store.load(small)
+    with pytest.raises(FileNotFoundError):
+        store.load("v9-none")
+    with pytest.raises(FileNotFoundError):
+        ModelStore(spark, str(tmp_path / "nothing")).load()
