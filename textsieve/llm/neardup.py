@@ -15,8 +15,9 @@ pair of similarity 0.8 shares none of the 48 regions with a chance of about 5e-7
    less are compared in pairs. A more crowded region is split further: more minimum hashes can't do that, as texts of
    similarity 0.75 share them nearly as often as texts of 0.8. Its node with the most company becomes the pivot, to
    which every other is compared. Then a node goes on, in a region of the next level each, under the shingles by which
-   it can still be linked across components (see `_deeper`), and these smaller regions are treated in the same way. From
-   level LEVELS on regions are compared in pairs.
+   it can still be linked across components (see `_deeper`), and these smaller regions are treated in the same way,
+   until none is crowded. As a shingle outside the core is in at most half of the members drawn for it, a region has
+   about half of the nodes of the one above it at most; each level draws anew, so one unlucky draw does not last.
 
 A pair is first compared by bitmaps of its sets, 8 bits a shingle: they differ in no more bits than the sets do in
 shingles, so a pair whose bitmaps differ too much for the threshold is none, without doubt. The others are confirmed on
@@ -44,7 +45,7 @@ from textsieve.llm.common import Workspace, bitmap, connected_components, split_
 
 TREES, DEPTH, MORE, BEST = 48, 6, 2, 3
 HASHES = TREES * DEPTH
-FEW, LEVELS, SAMPLE = 8, 5, 64
+FEW, SAMPLE = 8, 64
 BATCH_BYTES = 4 << 20
 RARITY_BITS = 16
 DEEPER = {"kind": np.int32, "key": np.int64, "group": np.int64, "node": np.int64, "root": np.int64, "n": np.int32, "room": np.float64, "mask": np.int64}
@@ -243,12 +244,12 @@ def _bucket(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
 
 
-def _consensus(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _consensus(members: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     """(group, core) for members (group, node, m): the shingles of more than half of about SAMPLE members of each group.
 
     What follows holds for any core; a good one only makes the next regions small.
     """
-    drawn = members.where(F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / SAMPLE)) == 0)
+    drawn = members.where(F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("m") / SAMPLE)) == 0)
     drawn = drawn.select("group", "node").join(sets.select("node", "set"), "node")
     n = drawn.groupBy("group").agg(F.count(F.lit(1)).alias("drawn"))
     each = drawn.select("group", F.explode("set").alias("shingle")).groupBy("group", "shingle").agg(F.count(F.lit(1)).alias("c"))
@@ -361,7 +362,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         total = mixed.agg(F.sum("cross"), F.sum("m")).first()
         if not total[1] and more is None:
             break
-        every = level == LEVELS or (total[0] or 0) <= FEW * (total[1] or 0)
+        every = (total[0] or 0) <= FEW * (total[1] or 0)
         few = F.lit(True) if every else F.col("cross") <= FEW * F.col("m")
         once = mixed.groupBy("m", "h", "x").agg(F.min(F.struct("region", "top", few.alias("few"))).alias("r")).select("r.*", "m")  # regions of the same nodes (count, sum and parity of 104 hashed bits) are one
         inside = step.write(inside.join(once, "region"), "open")
@@ -393,7 +394,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         placed = step.write(placed, "placed")
         still = placed.groupBy("group").agg(F.max("outside").alias("any"), F.count(F.lit(1)).alias("m")).where("any").select("group", "m")
         placed = step.write(placed.join(still, "group"), "left")
-        cores = _consensus(placed, sets)
+        cores = _consensus(placed, sets, level)
         rarity = spark.sparkContext.broadcast(_rarity(sets)) if rarity is None else rarity
         with_sets = placed.join(sets.select("node", F.col("set").alias("x")), "node").join(cores, "group", "left")
         kinds = "kind int, key long, group long, node long, root long, n int, room double, mask long"
