@@ -299,6 +299,27 @@ def test_lm_scores(spark):
     assert all(r["score"] < 0 and r["n_known"] == 0 for r in lmscore.score_texts(table(spark, rows), F.lit(False)).collect())
 
 
+def test_lm_scores_do_not_depend_on_how_many_counts_are_sent(spark, monkeypatch):
+    """Words that repeat in a text, of every count, among the counts sent or joined."""
+    monkeypatch.setattr(lmscore, "TREE_WORDS", 8)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(80)) + f" only{i} only{i} only{i}") for i in range(60)]
+    each = [{r["doc_id"]: r["score"] for r in lmscore.score_texts(table(spark, rows), lmscore.fold() != 1, frequent).collect()} for frequent in (1 << 20, 100, 20, 9)]
+    for other in each[1:]:
+        assert other.keys() == each[0].keys() and all(abs(other[k] - x) < 1e-6 for k, x in each[0].items())
+
+
+def test_lm_learns_from_long_texts_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "PIECE", 50)
+    words = [f"w{i % 37}" for i in range(300)]
+    rows = [(1, " ".join(words)), (2, "x" * 120), (3, ""), (4, "a b"), (5, " ".join(words) + " \n")]
+    got = [r["text"] for r in lmscore.in_pieces(table(spark, rows).orderBy("doc_id").coalesce(1)).collect()]
+    assert "".join(got) == "".join(t for _, t in rows) and max(map(len, got)) <= 100 and "" in got
+    assert [w for t in got for w in t.split() if "x" not in w] == [w for _, t in rows for w in t.split() if "x" not in w]
+    scores = lmscore.score_texts(table(spark, rows * 5), F.lit(True)).collect()
+    assert len(scores) == 25 and all(np.isfinite(r["score"]) and r["score"] < 0 for r in scores)
+
+
 def test_lm_beats_its_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = lmscore.digest(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
@@ -479,6 +500,34 @@ def test_crowded_regions_lose_no_link_and_list_few_pairs(spark, monkeypatch):
     assert len(tested) > 2 and sum(tested) < across / 2 and len(set(roots)) > 50
 
 
+def test_crowded_regions_go_deeper_until_none_is_left(spark, monkeypatch):
+    """Texts of a short core and seven parts of two forms each: no level but the last tells all of them apart."""
+    rng, levels, tested = random.Random(5), [], []
+    rows = []
+    for i in range(128):
+        w = [f"core{k}" for k in range(16)]
+        for part in range(7):
+            w += [f"p{part}f{i >> part & 1}x{k}" for k in range(10)]
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, " ".join([*t.split()[:-1], f"y{rng.randrange(900)}"])) for i, (_, t) in enumerate(rows[:20])]  # near copies
+    monkeypatch.setattr(neardup, "FEW", 0)
+    consensus, confirm = neardup._consensus, neardup._confirm
+
+    def deeper(members, sets, level):
+        levels.append(members.groupBy("group").count().agg(F.max("count")).first()[0])
+        return consensus(members, sets, level)
+
+    def counted(pairs, *more):
+        tested.append(pairs.count())
+        return confirm(pairs, *more)
+
+    monkeypatch.setattr(neardup, "_consensus", deeper)
+    monkeypatch.setattr(neardup, "_confirm", counted)
+    got = neardup.near_duplicates(table(spark, rows), 2).collect()
+    assert keyed((r["doc_id"], r["n"], r["component_id"]) for r in got) == keyed(brute.components(rows, 2))
+    assert len(levels) > 5 and all(y <= 0.75 * x for x, y in zip(levels[1:], levels[2:], strict=False)), levels
+
+
 def test_maximal_segments():
     rng = np.random.default_rng(0)
 
