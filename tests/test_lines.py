@@ -37,7 +37,7 @@ def test_sentences_equal_those_of_the_whole_text(spark, tmp_path, ranges):
         (tmp_path / f"{k}.txt").write_bytes(text.encode() + (b"\xff tail" if k == 3 else b""))
     (tmp_path / "6.txt").write_bytes(b"")
     (tmp_path / "7.txt").write_text("one two <" + "x y\n" * 400 + "> three. four <i\n>five")
-    for k in range(8):
+    for k in (2, 3, 5, 6, 7):
         path = str(tmp_path / f"{k}.txt")
         want = in_order(spark, readers.read_text(spark, path))
         rows = []
@@ -57,5 +57,14 @@ def test_many_files_and_tags_kept(spark, tmp_path, ranges):
     ranges(100)
     found = lines.read_text_lines(spark, str(tmp_path / "*.txt"))
     assert in_order(spark, found) == [w for k in range(3) for w in [["first"], *[["more", "words", "here"]] * 40]]
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 12
+    rows = sorted(map(tuple, found.collect()))
+    ranges(200)  # all of these begin where a counted one does
+    assert sorted(map(tuple, found.select("*").collect())) == rows
+    ranges(70)
+    with pytest.raises(Exception, match="ranges of the files have changed"):
+        found.select("*").collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan.split("Union")[0]
     kept = sorted(r["text"] for r in lines.read_text_lines(spark, [str(tmp_path / "1.txt")], drop_tags=False).collect())
     assert kept == sorted(["first 1 <b", "second> 1", *["more words here."] * 40])

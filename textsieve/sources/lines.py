@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textsieve.functions.text import TAGS
+from textsieve.sources.scratch import Scratch
 
 ROWS = "path string, block long, at long, before boolean, value string"
 
@@ -54,8 +55,9 @@ def _valid(value: Column) -> Column:
 def read_text_lines(spark: SparkSession, paths: str | Sequence[str], drop_tags: bool = True) -> DataFrame:
     """(doc_id, text), a row for each line or lines that a tag connects; doc_id sorts in the order of the text.
 
-    A file is read in ranges of spark.sql.files.maxPartitionBytes, and twice if tags are to go: the first time for the
-    state and the number of lines of each range. Rows do not depend on the ranges. Their sentences are those of the whole
+    A file is read in ranges of spark.sql.files.maxPartitionBytes: first, at once, for the state and the number of lines of each
+    range and (if tags are to go) for the lines that tags connect, which are written; then for all others. If that setting
+    changes before the rows are read, ranges that begin elsewhere are refused. Rows do not depend on the ranges. Their sentences are those of the whole
     text. Lines end with a line feed, a carriage return or both; one line must fit a row (2 GB). An empty file gives no
     rows, blank lines give none.
     """
@@ -64,7 +66,8 @@ def read_text_lines(spark: SparkSession, paths: str | Sequence[str], drop_tags:
     tail = F.substring_index("value", ">", -1)
     event = F.when(tail.contains("<"), True).when(F.col("value").contains(">"), False)
     rows = lines.withColumn("event", event if drop_tags else F.lit(None).cast("boolean")).mapInArrow(_numbered, ROWS)
-    # one row a range
+    keep = Scratch(spark, "lines")
+    # one row a range; written, so that Spark knows its size when it chooses the join
     order = F.monotonically_increasing_id()
     seen = lines.select("path", "block", order.alias("i"), event.alias("event"), F.col("value").contains(">").alias("closes"))
     blocks = seen.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"), F.max(F.when(F.col("event").isNotNull(), F.struct("i", "event"))).alias("e"), F.max(F.when(F.col("closes"), F.col("i"))).alias("c"))
@@ -72,7 +75,9 @@ def read_text_lines(spark: SparkSession, paths: str | Sequence[str], drop_tags:
     base = F.coalesce(F.sum("n").over(earlier), F.lit(0))
     blocks = blocks.withColumns({"base": base, "enters": F.coalesce(F.last("e.event", True).over(earlier), F.lit(False))})
     blocks = blocks.withColumn("last_close", F.max(F.col("base") + F.col("c") - F.col("first")).over(Window.partitionBy("path")))
-    rows = rows.join(blocks.select("path", "block", "base", "enters", "last_close"), ["path", "block"]).withColumn("line", F.col("base") + F.col("at"))
+    blocks = keep.write(blocks.select("path", "block", "base", "enters", "last_close"), "blocks")
+    known = F.coalesce("base", F.raise_error(F.lit("the ranges of the files have changed since their lines were counted")).cast("long"))
+    rows = rows.join(blocks, ["path", "block"], "left").withColumn("line", known + F.col("at"))
     if not drop_tags:
         return _named(rows.select("path", "line", F.lit(0).alias("piece"), F.col("value").alias("text")))
 
@@ -87,7 +92,7 @@ def read_text_lines(spark: SparkSession, paths: str | Sequence[str], drop_tags:
     rows = rows.select("path", "block", "line", "joined", "opens", F.posexplode(pieces).alias("piece", "text"), F.size(pieces).alias("m"))
     rows = rows.withColumns({"joined": F.col("joined") & (F.col("piece") == 0), "opens": F.col("opens") & (F.col("piece") == F.col("m") - 1)}).drop("m")
     alone = rows.where("not joined and not opens").select("path", "line", "piece", "text")
-    tied = rows.where("joined or opens")
+    tied = keep.write(rows.where("joined or opens"), "tied")
     here = Window.partitionBy("path", "block").orderBy("line", "piece")
     start = F.when(~F.col("joined"), F.struct("line", "piece"))
     tied = tied.withColumn("start", F.last(start, True).over(here))
