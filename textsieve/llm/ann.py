@@ -6,13 +6,13 @@ x, which moves large inner products, counts eta times (Guo et al. 2020). Both ar
 subspaces; codewords on a bounded sample, codes for every row.
 
 Rows lie in cells, by the nearest of up to MAX_CELLS centroids that are fitted on the sample, about CELL rows each. A query
-is sent to as many of its nearest cells as hold the wanted share (`coverage`) of true neighbours in the sample; one that
-meets less than k rows there goes to all. Cells meet their queries by a shuffle; large ones are dealt out to chunks of about
+is sent to as many of its nearest cells as hold the wanted share (`coverage`) of the neighbours that ASKED drawn queries have
+in the sample; one that meets less than k rows there goes to all. Cells meet their queries by a shuffle; large ones are dealt out to chunks of about
 CHUNK rows and QUERIES queries, so no cell is too large for a task.
 
 In a chunk a search adds up, for each row, the entries of the query's tables (one per subspace, 8 bits an entry) that the
 row's codes name. The `rerank` rows with the highest sums, and all that tie with the last, are measured on the original
-vectors in double precision. A window over the chunks' k best picks the k best of all.
+vectors in double precision, and then every row whose sum does not rule out that it is among the k best. A window over the chunks' k best picks the k best of all.
 
 Defined cases: null, zero, non-finite vectors or such with null components take no part, neither do those of another
 length than most vectors have; rows with a query's own id are not its candidates; a query id that repeats counts with its
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from textsieve.llm.common import Workspace
 
 CODES = 16
-MAX_CELLS, CELL, CHUNK, QUERIES = 4096, 1024, 8192, 2048
+MAX_CELLS, CELL, CHUNK, QUERIES, ASKED = 4096, 1024, 8192, 2048, 512
 
 
 class Quantiser:
@@ -94,11 +94,21 @@ class Quantiser:
                 total = rest + along[:, m]
         return codes
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """(queries, subspaces, CODES) in 8 bits, one scale per query."""
+    def tables(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, subspaces, CODES) in 8 bits, and of each query the step of its entries and what is added to their sum."""
         t = np.einsum("qmd,mkd->qmk", self.split(q), self.codebook)
-        t -= t.min(2, keepdims=True)
-        return np.round(t * (255 / np.maximum(t.max((1, 2), keepdims=True), 1e-12))).astype(np.uint8)
+        least = t.min(2, keepdims=True)
+        step = np.maximum((t - least).max((1, 2)), 1e-12) / 255
+        return np.round((t - least) / step[:, None, None]).astype(np.uint8), step, least.sum((1, 2))
+
+    def residuals(self, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each unit vector's residual the part along the vector and the length of the rest."""
+        s, along, square = self.split(x), np.zeros(len(x)), np.zeros(len(x))
+        for m in range(self.subspaces):
+            r = s[:, m] - self.codebook[m, codes[m]]
+            along += (r * s[:, m]).sum(1)
+            square += (r * r).sum(1)
+        return along, np.sqrt(np.maximum(square - along * along, 0))
 
 
 def pack(codes: np.ndarray) -> np.ndarray:
@@ -128,8 +138,8 @@ class Cells:
     probes: int = 1
 
     @classmethod
-    def fit(cls, x: np.ndarray, rows: int, coverage: float, rounds: int = 8, seed: int = 9) -> Cells:
-        """x: the sample's unit vectors; rows: of the whole table."""
+    def fit(cls, x: np.ndarray, rows: int, coverage: float, rounds: int = 8, seed: int = 9, ids: np.ndarray | None = None, asked: np.ndarray | None = None, asked_ids: np.ndarray | None = None) -> Cells:
+        """x: the sample's unit vectors; rows: of the whole table; asked: unit vectors of drawn queries (rows of the sample if there are none)."""
         k = min(MAX_CELLS, max(1, rows // CELL), max(1, len(x) // 8))
         rng = np.random.default_rng(seed)
         out = cls(x[rng.choice(len(x), k, replace=False)].copy())
@@ -140,10 +150,12 @@ class Cells:
             length = np.sqrt((sums * sums).sum(1))
             out.centroids[length > 0] = sums[length > 0] / length[length > 0, None]
         if k > 1:  # in which of its nearest cells a query's true neighbours lie
-            queries = rng.choice(len(x), min(len(x), 256), replace=False)
-            own, places = out.order(x, 1)[:, 0], out.order(x[queries], k).argsort(1)
-            score = x[queries] @ x.T
-            score[np.arange(len(queries)), queries] = -2
+            if asked is None or not len(asked):
+                drawn = rng.choice(len(x), min(len(x), 256), replace=False)
+                ids, asked, asked_ids = np.arange(len(x)), x[drawn], drawn
+            own, places = out.order(x, 1)[:, 0], out.order(asked, k).argsort(1)
+            score = asked @ x.T
+            score[asked_ids[:, None] == ids] = -2
             near = np.argpartition(-score, min(5, len(x) - 1), 1)[:, :5]
             rank = np.take_along_axis(places, own[near], 1)
             out.probes = int(np.quantile(rank, coverage, method="higher")) + 1
@@ -188,17 +200,30 @@ def _encoded(sent, dim: int):
 
 
 def _best(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, quantiser: Quantiser, k: int, rerank: int) -> Iterator[tuple[int, int, float]]:
-    """(query, row, score) of each query's k best rows; codes by subspace."""
-    tables, lengths, sizes = quantiser.tables(_unit(queries)), np.sqrt((queries * queries).sum(1)), np.sqrt((x * x).sum(1))
+    """(query, row, score) of each query's k best rows; codes by subspace.
+
+    The `rerank` highest sums give a k-th best score s. A row of score s or more has a coded score of at least
+    s (1 - a) - sqrt(1 - s^2) b, with a and b its residual along and across the vector; all rows that reach it are measured.
+    """
+    (tables, step, least), lengths, sizes = quantiser.tables(_unit(queries)), np.sqrt((queries * queries).sum(1)), np.sqrt((x * x).sum(1))
+    along, across = quantiser.residuals(_unit(x), codes)
+    slack, lowest = step * (quantiser.subspaces / 2) + 1e-9, -(1 - along) / np.maximum(np.hypot(1 - along, across), 1e-300)
     for b in range(0, len(q_ids), 64):
         sums = np.zeros((min(64, len(q_ids) - b), len(ids)), np.uint16 if quantiser.subspaces <= 256 else np.uint32)
         for m in range(quantiser.subspaces):
             sums += tables[b : b + 64, m][:, codes[m]]
         floor = np.partition(sums, -rerank, 1)[:, -rerank] if len(ids) > rerank else np.zeros(len(sums), sums.dtype)
         for j in range(len(sums)):
-            near = np.flatnonzero(sums[j] >= floor[j])
-            near = near[ids[near] != q_ids[b + j]]
-            score = (x[near] * queries[b + j]).sum(1) / (sizes[near] * lengths[b + j])
+            own, chosen = ids == q_ids[b + j], sums[j] >= floor[j]
+            measure = lambda rows, q=b + j: (x[rows] * queries[q]).sum(1) / (sizes[rows] * lengths[q])
+            near = np.flatnonzero(chosen & ~own)
+            score = measure(near)
+            if len(near) < len(ids) - own.sum():
+                least_score = np.partition(score, -k)[-k] - 1e-9 if len(near) >= k else -1.0
+                at = np.clip(least_score, lowest, 1.0)
+                reach = sums[j] * step[b + j] + least[b + j] + slack[b + j] >= at * (1 - along) - np.sqrt(1 - at * at) * across
+                more = np.flatnonzero(reach & ~chosen & ~own)
+                near, score = np.concatenate([near, more]), np.concatenate([score, measure(more)])
             for i in np.lexsort((ids[near], -score))[:k]:
                 yield int(q_ids[b + j]), int(ids[near[i]]), float(score[i])
 
@@ -223,11 +248,14 @@ def build_index(vectors: DataFrame, is_query: Column, work: Workspace, sample: i
     sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.col("count").desc(), "n").limit(1).collect()
     dim = sizes[0]["n"] if sizes else 1
     usable = work.write(_vectors(rows, dim), "vectors")
-    drawn = usable.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(sample).select("vec").toArrow()
+    drawn = usable.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(sample).select("vec_id", "vec").toArrow()
     if not len(drawn):
         return None, None, dim
-    x = _unit(_matrix(drawn.column("vec"), dim))
-    sent = vectors.sparkSession.sparkContext.broadcast((Quantiser(dim).fit(x), Cells.fit(x, usable.count(), coverage)))
+    # queries may be of another kind than most rows, so they are drawn by themselves
+    asked = usable.where("is_query").orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(ASKED).select("vec_id", "vec").toArrow()
+    x, q = _unit(_matrix(drawn.column("vec"), dim)), _unit(_matrix(asked.column("vec"), dim)) if len(asked) else None
+    cells = Cells.fit(x, usable.count(), coverage, ids=drawn.column("vec_id").to_numpy(), asked=q, asked_ids=asked.column("vec_id").to_numpy())
+    sent = vectors.sparkSession.sparkContext.broadcast((Quantiser(dim).fit(x), cells))
     index = usable.mapInArrow(_encoded(sent, dim), "vec_id long, vec binary, code binary, cell int, near array<int>")
     return work.write(index.withColumn("rid", F.monotonically_increasing_id()), "index"), sent, dim
 
