@@ -1,11 +1,14 @@
 """Counts and vectors that reach tokens in two ways, by what is sent to all tasks and by a shuffle: any share of each gives the same rows."""
 
 import math
+import random
 from collections import Counter
+from unittest import mock
 
 import pytest
+from pyspark.sql import functions as F
 
-from textsieve.operators import lm
+from textsieve.operators import embed, features, lm
 from textsieve.sources.scratch import Scratch
 
 S = "doc_id long, sent_pos int, tokens array<string>"
@@ -37,3 +40,19 @@ def test_surprisal_by_any_way(spark, direction, own, most):
     assert sorted((r["tokens"], [round(x["surprisal"], 9) for x in r["scored"]]) for r in got) == want
     counts = Counter(w for t in TEXTS for w in t)
     assert all(x["c"] == counts[x["w"]] and r["tokens"][x["idx"]] == x["w"] for r in got for x in r["scored"])
+
+
+@pytest.mark.parametrize("most", [0, 4, 100])
+def test_outliers_by_any_way(spark, most):
+    rng = random.Random(most)
+    words = [f"w{i}" for i in range(12)]
+    s = spark.createDataFrame([(i, 0, [words[int(12 * rng.random() ** 2)] for _ in range(rng.choice([0, 1, 5, 40]))]) for i in range(30)], S)
+    vectors = spark.createDataFrame([(w, [0.0, 0.0] if w == "w3" else None if w == "w5" else [rng.uniform(-1, 1), rng.uniform(-1, 1)]) for w in words if w != "w2"], "w string, vec array<double>")
+    rows = s.select(F.col("doc_id"), F.posexplode("tokens").alias("i", "w")).join(vectors, "w", "left")
+    want = {(r["doc_id"], r["i"]): r["outlier"] for r in embed.neighbour_outliers(rows, "doc_id", "i", "vec").collect()}
+    with mock.patch.object(embed, "CHUNK", 7):
+        got = {(r["doc_id"], r["token_idx"]): r["ft_outlier"] for r in embed.token_outliers(s, vectors, most=most).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+    model = lm.fit(s, order=1, keep=Scratch(spark, "t"))
+    each = features.token_features(s, model, vectors, own=True).collect()
+    assert {(r["doc_id"], r["token_idx"]): r["ft_outlier"] for r in each} == pytest.approx(want, abs=1e-12)
