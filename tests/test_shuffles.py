@@ -8,7 +8,7 @@ from unittest import mock
 import pytest
 from pyspark.sql import functions as F
 
-from textsieve.operators import embed, features, lm
+from textsieve.operators import embed, features, lm, ml
 from textsieve.sources.scratch import Scratch
 
 S = "doc_id long, sent_pos int, tokens array<string>"
@@ -56,3 +56,19 @@ def test_outliers_by_any_way(spark, most):
     model = lm.fit(s, order=1, keep=Scratch(spark, "t"))
     each = features.token_features(s, model, vectors, own=True).collect()
     assert {(r["doc_id"], r["token_idx"]): r["ft_outlier"] for r in each} == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("most", [0, 4, 100])
+def test_counts_by_any_way(spark, most):
+    s = spark.createDataFrame([(i, 0, t) for i, t in enumerate(TEXTS)], S)
+    uni, counts = lm.fit(s, order=1).uni.where("w <> 'd'"), Counter(w for t in TEXTS for w in t if w != "d")
+    got = lm.with_counts(s.select("doc_id", F.posexplode("tokens").alias("i", "w")), uni, most).collect()
+    assert sorted((r["doc_id"], r["i"], r["w"], r["c"]) for r in got) == [(k, i, w, counts[w]) for k, t in enumerate(TEXTS) for i, w in enumerate(t)]
+
+
+def test_scaler_of_counted_rows(spark):
+    rows = spark.createDataFrame([(1.0, 5.0, 3), (4.0, 5.0, 1), (None, 5.0, 2)], "a double, b double, n int")
+    each = rows.select("a", "b", F.explode(F.sequence(F.lit(1), "n")))
+    shown = lambda df: {r["feature"]: (r["mean"], r["std"]) for r in df.collect()}
+    got, want = shown(ml.scaler_stats(rows, ("a", "b"), "n")), shown(ml.scaler_stats(each, ("a", "b")))
+    assert got == {k: pytest.approx(v) for k, v in want.items()} and want["b"] == (5.0, 1.0)
