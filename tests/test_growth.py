@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from textsieve.functions import text
+from textsieve.operators import corrupt, features
 from textsieve.operators.sentences import text_to_sentences
+from textsieve.sources.scratch import Scratch
 
 PIECES = ["a", "Bc", "ж", "Ꙋ", "б҃г", "҃", "ⷠ", "7", "x9", "é", "ß", "K", "İ", "😀", "­", " ", "﻿", " ", "\x00", "\t", " ", " ", " ", "\n", "\n\n\n\n", "\r", ".", "!?", ";", ":", "·", "1:23", "38.9a", "<b>", "<", ">", "|", "—", "“", "»", '"', "-", "_", "'"]
 
@@ -25,3 +27,20 @@ def test_tokens_of_whole_texts(spark, tags, verses, numeric):
     got = docs.select(text.sentence_tokens(F.col("text"), drop_tags=tags, drop_verse_refs=verses, drop_numeric=numeric).alias("t"))
     assert got.collect() == want.collect()
     assert "regexp_extract_all" not in plan(text_to_sentences(docs))  # tries the class at every character
+
+
+def test_labels_and_corruption_move_few_rows(spark):
+    rows = [(i % 200 if i else None, i // 200, [f"w{(i * k) % 17}" for k in range(1, 9)]) for i in range(800)]
+    keep = Scratch(spark, "t")
+    s = keep.write(spark.createDataFrame(rows, "doc_id long, sent_pos int, tokens array<string>"), "s")
+    vocab = s.select(F.explode("tokens").alias("w")).distinct()
+    found = corrupt.corrupt_corpus(s, vocab, 0.5, 0.5, 2, False, 8)
+    assert "Union" in plan(found)  # sentences that stay as they are pass by
+    c = keep.write(found, "c")
+    assert c.count() == 800 and 0 < c.where(F.size("substitutions") > 0).count() < 800
+    assert c.where("size(substitutions) = 0 and size(deletions) = 0 and tokens <> tokens_corrupted").count() == 0
+    labels = features.gap_labels(c)
+    assert "Exchange" not in plan(labels)
+    marked = features.located_gaps(c).where("gap_idx is not null and doc_id is not null").select("doc_id", "sent_pos", "gap_idx")
+    assert labels.where("label = 1").select("doc_id", "sent_pos", "gap_idx").exceptAll(marked).count() == 0 == marked.count() - labels.where("label = 1").count()
+    assert labels.count() == c.agg(F.sum(F.size("tokens_corrupted") - 1)).first()[0]
