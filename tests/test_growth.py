@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textsieve.functions import text
-from textsieve.operators import corrupt, features
+from textsieve.operators import corrupt, features, lm
 from textsieve.operators.sentences import text_to_sentences
 from textsieve.sources.scratch import Scratch
 
@@ -44,3 +44,19 @@ def test_labels_and_corruption_move_few_rows(spark):
     marked = features.located_gaps(c).where("gap_idx is not null and doc_id is not null").select("doc_id", "sent_pos", "gap_idx")
     assert labels.where("label = 1").select("doc_id", "sent_pos", "gap_idx").exceptAll(marked).count() == 0 == marked.count() - labels.where("label = 1").count()
     assert labels.count() == c.agg(F.sum(F.size("tokens_corrupted") - 1)).first()[0]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_best_pairs_by_any_way(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, 0, [f"w{int(40 * rng.random() ** (1 + seed))}" for _ in range(rng.randrange(12))]) for i in range(60)]
+    s = spark.createDataFrame(rows, "doc_id long, sent_pos int, tokens array<string>")
+    keep = Scratch(spark, "t")
+    other = Scratch(spark, "t")
+    model = lm.fit(s, keep=keep, order=1).written(keep)
+    every = lm.own_pair_scores(lm.fit(s, keep=other, order=2).written(other)).collect()
+    for few, most, top_n in ((3, 1000, 5), (10, 1000, 5), (10, 2, 5), (1000, 1000, 20), (10, 1000, 5000)):
+        least = sorted((round(r["gap_score"], 6) for r in every), reverse=True)[:top_n][-1]
+        want = sorted((r["left"], r["right"], round(r["gap_score"], 6)) for r in every if round(r["gap_score"], 6) >= least)
+        got = lm.best_pair_scores(s, model, top_n, few=few, most=most).collect()
+        assert sorted((r["left"], r["right"], round(r["gap_score"], 6)) for r in got) == want
