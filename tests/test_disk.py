@@ -1,9 +1,15 @@
 """What steps leave on disk and what they shuffle: less than before, with the same rows."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from textsieve.operators import lm, suggest
 from textsieve.sources.scratch import SHUFFLES_GO, Scratch
 
+from .test_models import plain_suggestions
+
 
 def shuffle_files(spark):
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
@@ -16,3 +22,27 @@ def test_written_tables_leave_no_shuffle(spark):
     assert not shuffle_files(spark) - before
     assert sorted((r["k"], r["n"]) for r in table.collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]
     assert spark.conf.get(SHUFFLES_GO) == setting
+
+
+@pytest.mark.parametrize("per_block", [2, 7, 1000])
+def test_places_in_blocks_share_lists(spark, per_block):
+    """The lists of a word go to a block once, however many of its places name it; any blocks give the same rows."""
+    rng = random.Random(5)
+    s = spark.createDataFrame([(i, 0, [f"w{int(12 * rng.random() ** 2):02}" for _ in range(rng.randrange(2, 9))]) for i in range(80)], "doc_id long, sent_pos int, tokens array<string>")
+    keep = Scratch(spark, "t")
+    model = lm.fit(s, keep=keep).written(keep)
+    words = lm.top_frequent_vocab(model, 9)
+    targets = keep.write(suggest.replacement_targets(s.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("idx"))).select("doc_id", "idx", *suggest.PLACE, "current"), "targets")
+    uni, bi, tri, st = {r["w"]: r["c"] for r in model.uni.collect()}, {(r["w1"], r["w"]): r["c"] for r in model.bi.collect()}, {(r["w2"], r["w1"], r["w"]): r["c"] for r in model.tri.collect()}, model.stats.first()
+    candidates, got = [x["w"] for x in words.collect()], {}
+    for doc, idx, rank, word, score in sorted(map(tuple, suggest.suggest(targets, ["doc_id", "idx"], model, words, per_block=per_block).collect())):
+        got.setdefault((doc, idx), []).append((score, word))
+        assert rank == len(got[doc, idx])
+    for r in targets.collect():
+        assert got[r["doc_id"], r["idx"]] == plain_suggestions((uni, bi, tri, st), candidates, (r["l2"], r["l1"], r["r1"]), r["current"], 5)
+    places = suggest._in_blocks(targets.select(*suggest.PLACE).distinct(), per_block)
+    numbered = words.select(F.col("w").alias("candidate"), (F.row_number().over(suggest.Window.orderBy("w")) - 1).alias("hi"))
+    lists = suggest._block_lists(keep.write(places, "places"), numbered, model, keep)
+    once = sum(places.select("block", *on).distinct().count() for on in (["l1"], ["r1"], ["l2", "l1"], ["l1", "r1"]))
+    assert lists.count() == lists.select("block", "key").distinct().count() <= once
+    assert places.groupBy("block").count().agg(F.max("count")).first()[0] <= 6 * per_block
