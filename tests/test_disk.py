@@ -1,11 +1,12 @@
 """What steps leave on disk and what they shuffle: less than before, with the same rows."""
 
 import random
+from unittest import mock
 
 import pytest
 from pyspark.sql import functions as F
 
-from textsieve.operators import lm, suggest
+from textsieve.operators import lm, skipgram, suggest
 from textsieve.sources.scratch import SHUFFLES_GO, Scratch
 
 from .test_models import plain_suggestions
@@ -46,3 +47,31 @@ def test_places_in_blocks_share_lists(spark, per_block):
     once = sum(places.select("block", *on).distinct().count() for on in (["l1"], ["r1"], ["l2", "l1"], ["l1", "r1"]))
     assert lists.count() == lists.select("block", "key").distinct().count() <= once
     assert places.groupBy("block").count().agg(F.max("count")).first()[0] <= 6 * per_block
+
+
+@pytest.mark.parametrize("most", [0, 4, 100])
+def test_pairs_are_counted_once_for_both_directions(spark, most):
+    rng = random.Random(most)
+    s = spark.createDataFrame([(i, 0, [f"w{int(9 * rng.random() ** 2)}" for _ in range(rng.choice([0, 1, 2, 7, 12]))]) for i in range(60)], "doc_id long, sent_pos int, tokens array<string>")
+    codes, pairs = skipgram.coded_pairs(s, 3, Scratch(spark, "t"), most)
+    word = {r["code"]: r["w"] for r in codes.collect()}
+    rows = [(word[r["a"]], word[r["b"]], r["n"]) for r in pairs.collect()]
+    want = {(r["w"], r["x"]): r["n"] for r in skipgram.context_pairs(s, 3).collect()}
+    assert len(rows) == len({frozenset((a, b)) for a, b, _ in rows}) < len(want)
+    assert {(a, b): n for a, b, n in rows} | {(b, a): n for a, b, n in rows} == want
+
+
+def test_vectors_do_not_depend_on_what_shares_a_task(spark):
+    rng = random.Random(2)
+    s = spark.createDataFrame([(i, 0, [f"{'ab'[i % 2]}w{int(30 * rng.random() ** 2)}" for _ in range(10)]) for i in range(80)], "doc_id long, sent_pos int, tokens array<string>")
+    p = skipgram.SkipGramParams(dim=4, epochs=2, bucket=50, least_blocks=12, pairs_per_block=200)
+    want = None
+    for cores, most in ((16, 1000), (1, 1000), (1, 7)):
+        # 2 x cores tasks at least; words beyond `most` go by their hash
+        with mock.patch.object(type(spark.sparkContext), "defaultParallelism", cores), mock.patch.object(skipgram, "PER_TASK", 5):
+            found = skipgram.train_skipgram(s, p, most)
+        rows = {r["w"]: r["vec"] for r in found.vectors.collect()}
+        if most == 1000:
+            want = want or (rows, found.losses)
+            assert (rows, found.losses) == want
+        assert rows.keys() == want[0].keys()
