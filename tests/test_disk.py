@@ -1,12 +1,13 @@
 """What steps leave on disk and what they shuffle: less than before, with the same rows."""
 
+import math
 import random
 from unittest import mock
 
 import pytest
 from pyspark.sql import functions as F
 
-from textsieve.operators import lm, skipgram, suggest
+from textsieve.operators import features, lm, skipgram, suggest
 from textsieve.sources.scratch import SHUFFLES_GO, Scratch
 
 from .test_models import plain_suggestions
@@ -75,3 +76,39 @@ def test_vectors_do_not_depend_on_what_shares_a_task(spark):
             want = want or (rows, found.losses)
             assert (rows, found.losses) == want
         assert rows.keys() == want[0].keys()
+
+
+def noisy(spark, ids):
+    rng = random.Random(4)
+    texts = [[f"w{int(9 * rng.random() ** 2)}" for _ in range(rng.choice([0, 1, 2, 7, 12]))] for _ in ids]
+    d = lambda t: [(2, t[2], t[1], t[3])] if len(t) > 5 and t[0] < "w3" else []
+    rows = [(k, i % 2, t, [x for j, x in enumerate(t) if not d(t) or j != 2], d(t)) for i, (k, t) in enumerate(zip(ids, texts, strict=True))]
+    return spark.createDataFrame(rows, "doc_id long, sent_pos int, tokens array<string>, tokens_corrupted array<string>, deletions array<struct<pos:int,token:string,left:string,right:string>>")
+
+
+@pytest.mark.parametrize("ids", [range(90), [*range(40), *range(40), *[None] * 4]])
+@pytest.mark.parametrize("shown", ["tokens", "tokens_corrupted"])
+def test_labels_stay_with_their_gaps(spark, ids, shown):
+    keep = Scratch(spark, "t")
+    c = keep.write(noisy(spark, ids), "c")
+    model = lm.fit(c.select("doc_id", "sent_pos", "tokens"), keep=keep, order=2).written(keep)
+    got = features.matched_gap_scores(c, model, shown)
+    scores = lm.gap_scores(c.select("doc_id", "sent_pos", F.col(shown).alias("tokens")), model).withColumn("gap_score", F.round("gap_score", 6) + 0.0)
+    want = features.matched_scores(scores, features.gap_labels(c), ["doc_id", "sent_pos", "gap_idx"], "gap_score")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.where("label = 1").count()
+    joined = "sent_pos" in got._jdf.queryExecution().executedPlan().toString()
+    assert joined == (None in ids)  # only ids that repeat take the join
+
+
+@pytest.mark.parametrize("most", [0, 4, 100])
+def test_gap_scores_by_any_way(spark, most):
+    keep = Scratch(spark, "t")
+    s = keep.write(noisy(spark, range(60)).select("doc_id", "sent_pos", "tokens"), "s")
+    model = lm.fit(s, keep=keep, order=2).written(keep)
+    uni, bi, st = {r["w"]: r["c"] for r in model.uni.collect()}, {(r["w1"], r["w"]): r["c"] for r in model.bi.collect()}, model.stats.first()
+    av = 0.1 * st["v_size"]
+    score = lambda x, y: (math.log(uni[x] + av) + math.log(uni[y] + av)) / 2 - math.log(bi[x, y] + 0.1)
+    want = sorted((r["doc_id"], r["sent_pos"], i, x, y, round(score(x, y), 9)) for r in s.collect() for i, (x, y) in enumerate(zip(r["tokens"], r["tokens"][1:], strict=False)))
+    for own in (True, False):
+        got = lm.gap_scores(s, model, own=own, most=most).collect()
+        assert sorted((*r[:5], round(r[5], 9)) for r in got) == want
