@@ -112,3 +112,15 @@ def test_gap_scores_by_any_way(spark, most):
     for own in (True, False):
         got = lm.gap_scores(s, model, own=own, most=most).collect()
         assert sorted((*r[:5], round(r[5], 9)) for r in got) == want
+
+
+def test_runs_meet_word_counts_without_a_shuffle(spark):
+    keep = Scratch(spark, "t")
+    s = lm.numbered(noisy(spark, range(60)).select("doc_id", "sent_pos", "tokens"), keep)
+    model = lm.fit(s, keep=keep).written(keep)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    shown = plan(lm.own_run_scores(model))
+    # all words are frequent, so that their counts are sent out
+    assert shown.count("strategy=broadcast") >= 3 and sorted(map(tuple, lm.own_run_scores(model).select("x", "y", "w").collect())) == sorted((r["w2"], r["w1"], r["w"]) for r in model.tri.where("w <> '</s>'").collect())
+    # what counts the runs of sentences is written before they go back
+    assert "Window" not in plan(lm.scored_sentences(s, model, own=True))
